@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each step groups by node with a partial minimum and joins that back, so a node with very many links never meets in
     one task; each round is written to the shared folder. Links may repeat, point either way, or join a node to itself.
     An empty link table gives an empty result. It ends when a round changes nothing; log2(longest path) rounds are usual."""
-    clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null")
+    clean = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null").distinct(), "edges")
     loops = clean.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     now = materialize(clean.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _checksum(now)

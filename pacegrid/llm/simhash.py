@@ -46,19 +46,27 @@ def with_fingerprint(docs: DataFrame, words: int = 3, column: str = "fp") -> Dat
     return docs.withColumn(column, of(F.col("text")))
 
 
-def trie_pairs(fps: np.ndarray, bits: list[int], budget: int, frontier: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of distinct fingerprints that differ in at most `budget` of the given bits, in blocks.
+def trie_pairs(fps: np.ndarray, bits: list[int], budget: int, groups: np.ndarray | None = None, frontier: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of distinct fingerprints of one group that differ in at most `budget` of the given bits, in blocks.
 
     A binary trie over those bits (highest first) is held as the sorted codes: a node at depth d is a range of them. Pairs
     of nodes are walked down together, a node also with itself; a pair carries its differing bits so far, and is dropped
-    once they exceed the budget. Wide frontiers are walked in parts, depth first, so memory is bounded by `frontier`."""
+    once they exceed the budget. Wide frontiers are walked in parts, depth first, so memory is bounded by `frontier`.
+    groups: small numbers, put before the bits, so that many tries are walked at once, each from its own root."""
     n, depth = len(fps), len(bits)
     code = np.zeros(n, np.uint64)
     for b in bits:
         code = code << np.uint64(1) | (fps >> np.uint64(b) & np.uint64(1))
+    if groups is None:
+        groups = np.zeros(n, np.uint64)
+    else:
+        code |= groups.astype(np.uint64) << np.uint64(depth)
     order = np.argsort(code, kind="stable")
-    code = code[order]
-    stack = [(0, np.array([[0, n, 0, n, 0]], np.int64))]  # ranges of the two nodes, differing bits
+    code, groups = code[order], groups[order]
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, np.int64)
+    last = np.concatenate([first[1:], [n]]) if n else first
+    roots = np.stack([first, last, first, last, np.zeros_like(first)], 1)[last - first > 1]
+    stack = [(0, roots[k : k + frontier]) for k in range(0, len(roots), frontier)]  # ranges of the two nodes, differing bits
     while stack:
         d, pairs = stack.pop()
         if d == depth:
@@ -169,23 +177,42 @@ def near_links(fps: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
         level = dealt.join(sizes, ["path", "group"], "left_semi")
     rest_of = dict(_rests(parts))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
-        sets = Union(len(fp))
-        for i, j in trie_pairs(fp, rest_of[pdf["path"].iloc[0]], budget):
-            for a, b in zip(i.tolist(), j.tolist()):
-                sets.join(a, b)
-        up = np.array([sets.find(k) for k in range(len(fp))], np.int64)
-        moved = np.flatnonzero(up != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[up[moved]].view(np.int64)})
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, rows in batch.groupby("path"):
+                for some in _parts(rows["fps"].tolist()):
+                    fp = np.concatenate(some).astype(np.int64).view(np.uint64)
+                    group = np.repeat(np.arange(len(some)), [len(x) for x in some])
+                    sets = Union(len(fp))
+                    for i, j in trie_pairs(fp, rest_of[path], budget, group):
+                        for a, b in zip(i.tolist(), j.tolist()):
+                            sets.join(a, b)
+                    up = np.array([sets.find(k) for k in range(len(fp))], np.int64)
+                    moved = np.flatnonzero(up != np.arange(len(fp)))
+                    yield pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[up[moved]].view(np.int64)})
 
     links = None
     for x in levels:
-        made = x.groupBy("path", "group").applyInPandas(join, "a long, b long")
+        # a group is one row, at most `most` fingerprints of eight bytes; those of one fingerprint are gone before
+        rows = x.groupBy("path", "group").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1).select("path", "fps")
+        made = rows.mapInPandas(join, "a long, b long")
         links = made if links is None else links.unionByName(made)
     return links
 
 
+def _parts(arrays: list, most: int = 1 << 17) -> Iterator[list]:
+    """The arrays in lists of about so many numbers."""
+    part, n = [], 0
+    for x in arrays:
+        part.append(np.asarray(x, np.int64))
+        n += len(part[-1])
+        if n >= most:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def _runs(bits: list[int]) -> list[list[int]]:
     """Runs of neighbouring bits."""
     out: list[list[int]] = []
