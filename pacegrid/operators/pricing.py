@@ -70,7 +70,7 @@ def subset_count_pmf(orders: DataFrame, members: DataFrame, draws: int, top: int
     """P08. race_id, k, p: the probability that k of the contest's members finish in the top N, for every k up to their number."""
     t = orders.join(members, ["race_id", "driver_id"], "left_semi").groupBy("race_id", "draw").agg(F.count_if(F.col("place") <= top).alias("k"))
     seen = t.groupBy("race_id", "k").agg(F.count("*").alias("c"))
-    all_k = members.groupBy("race_id").agg(F.count("*").alias("m")).select("race_id", F.explode(F.sequence(F.lit(0), F.col("m").cast("int"))).cast("long").alias("k"))
+    all_k = members.groupBy("race_id").agg(F.count("*").alias("m")).select("race_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("k"))
     return all_k.join(seen, ["race_id", "k"], "left").select("race_id", "k", ((F.coalesce("c", F.lit(0)) + 0.5) / (draws + 1)).alias("p"))
 
 

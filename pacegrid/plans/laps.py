@@ -15,6 +15,11 @@ def r6(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def r7(df, *cols):
+    """Lap times are cents over at most 50: no half falls on the seventh place."""
+    return df.withColumns({c: F.round(c, 7) for c in cols})
+
+
 def green(v):
     return L.green_laps(v.laps, v.lap_flags)
 
@@ -23,14 +28,14 @@ MED = {"med": ("green", "select race_id, lap, median(lap_time) as med from green
        "rat": ("green med", "select g.*, lap_time / med as ratio from green g join med using (race_id, lap)")}
 
 
-@query("l01_green_laps", "green", "select race_id, driver_id, lap, round(lap_time, 6) as lap_time, running_pos from green where lap_time > 0")
+@query("l01_green_laps", "green", "select race_id, driver_id, lap, round(lap_time, 7) as lap_time, running_pos from green where lap_time > 0")
 def l01(v):
-    return r6(green(v).select("race_id", "driver_id", "lap", "lap_time", "running_pos"), "lap_time")
+    return r7(green(v).select("race_id", "driver_id", "lap", "lap_time", "running_pos"), "lap_time")
 
 
-@query("l02_field_median", "med", "select race_id, lap, round(med, 6) as med from med", MED)
+@query("l02_field_median", "med", "select race_id, lap, round(med, 8) as med from med", MED)
 def l02(v):
-    return r6(L.field_median(green(v), 5), "med")
+    return L.field_median(green(v), 5).withColumn("med", F.round("med", 8))
 
 
 PACE = {"pace": ("rat", """select race_id, driver_id, median(ratio) filter (where nth <= greatest(3, trunc(n * 0.85::double))) as pace_med85,
@@ -83,16 +88,16 @@ def practice(v):
     return v.laps.filter("lap <= 8").select("race_id", "driver_id", F.when(F.col("lap") % 7 == 0, 0.0).otherwise(F.col("lap_time")).alias("best_lap_time"))
 
 
-@query("l06_best_practice", "practice", "select race_id, driver_id, round(min(best_lap_time), 6) as practice from practice where best_lap_time > 0 group by 1, 2", PRACTICE)
+@query("l06_best_practice", "practice", "select race_id, driver_id, round(min(best_lap_time), 7) as practice from practice where best_lap_time > 0 group by 1, 2", PRACTICE)
 def l06(v):
-    return r6(L.best_practice(practice(v)), "practice")
+    return r7(L.best_practice(practice(v)), "practice")
 
 
-@query("l07_entrant_race", "entries pace practice", """select e.race_id, e.driver_id, finish, start, status, laps_completed, round(pace_med85, 6) as pace_med85, nlaps, round(p.practice, 6) as practice
+@query("l07_entrant_race", "entries pace practice", """select e.race_id, e.driver_id, finish, start, status, laps_completed, round(pace_med85, 6) as pace_med85, nlaps, round(p.practice, 7) as practice
  from entries e left join pace using (race_id, driver_id) left join (select race_id, driver_id, min(best_lap_time) as practice from practice where best_lap_time > 0 group by 1, 2) p using (race_id, driver_id)""", PACE | PRACTICE)
 def l07(v):
     t = L.build_entrant_race(v.entries, L.pace_variants(green(v), 5, 3), L.fixed_effect_pace(L.effect_rows(green(v), 5, 3, skip=1), 10, 3, 1), L.best_practice(practice(v)))
-    return r6(t.select("race_id", "driver_id", "finish", "start", "status", "laps_completed", "pace_med85", "nlaps", "practice"), "pace_med85", "practice")
+    return r7(r6(t.select("race_id", "driver_id", "finish", "start", "status", "laps_completed", "pace_med85", "nlaps", "practice"), "pace_med85"), "practice")
 
 
 PASS = {"pas": ("seg", """select race_id, driver_id, count(*) filter (where next_pos < running_pos) as passes_made, count(*) filter (where next_pos > running_pos) as times_passed,
