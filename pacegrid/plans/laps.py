@@ -148,7 +148,7 @@ def l11(v):
 
 
 @query("l12_closers", "clo", "select race_id, driver_id, closers from clo", CLOSE)
-def l12(v):
+def closers_of(v):
     return L.closers(green(v))
 
 
