@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import archive as B
 from ..operators import conform as C
@@ -389,3 +390,70 @@ def c23(v):
     return C.schedule_features(v.contests, ["q1", "q2"], 1998)
 
 
+
+
+# Round trips through files in the shared folder.
+
+
+@query("s01_read_fetch_log", "", "select 'f' || event_id as path, event_type as feed, (user_id)::bigint as race_id, case event_id % 10 when 0 then 'absent' when 1 then 'failed' else 'stored' end as outcome from events")
+def s01(v):
+    path = S.scratch(v.spark, "fetch-log")
+    t = ledger(v).select(F.concat(F.lit("f"), "event_id").alias("path"), "feed", "race_id", "outcome", F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at"))
+    t.write.json(path)
+    empty = S.read_fetch_log(v.spark, path + "-missing")
+    return S.read_fetch_log(v.spark, path).unionByName(empty).select("path", "feed", "race_id", "outcome")
+
+
+@query("s03_read_nested", "entries", f"select race_id, driver_id, finish, start from entries where {_IN}")
+def s03(v):
+    path = S.scratch(v.spark, "weekend")
+    weekend(v).write.json(path)
+    schema = T._parse_datatype_string(C.WEEKEND)
+    # one document a line here; multi-line files are read the same way
+    t = v.spark.read.schema(schema).json(path)
+    return C.extract_results(t).select("race_id", "driver_id", "finish", "start")
+
+
+@query("s07_write_table", "entries", "select race_id, driver_id, case when race_id % 4 = 1 then finish + 1 else finish end as finish, race_id % 4 as bucket from entries")
+def s07(v):
+    path = S.scratch(v.spark, "table")
+    schema = T._parse_datatype_string("race_id int, driver_id bigint, finish int, bucket int")
+    t = v.entries.withColumn("bucket", F.col("race_id") % 4)
+    S.write_table(t, path, schema, "bucket")
+    S.write_table(t.filter("bucket = 1").withColumn("finish", F.col("finish") + 1), path, schema, "bucket")  # only that partition is replaced
+    return v.spark.read.schema(schema).parquet(path)
+
+
+@query("s08_register_layer", "contests", "select race_id, venue from contests")
+def s08(v):
+    path = S.scratch(v.spark, "layer")
+    v.contests.write.parquet(path)
+    made = S.register_layer(v.spark, "silver", {"contests": path, "nothing": path + "-missing"})
+    if made != ["silver_contests"]:
+        raise ValueError(made)
+    return v.spark.sql("select race_id, venue from silver_contests")
+
+
+@query("s09_read_csv_table", "entries", "select race_id, driver_id, finish, status, start % 2 = 0 as even from entries")
+def s09(v):
+    path = S.scratch(v.spark, "csv")
+    t = v.entries.select("race_id", "driver_id", "finish", "status", F.when(F.col("start") % 4 == 0, "True").when(F.col("start") % 2 == 0, "true").otherwise("False").alias("even"))
+    t.write.option("header", True).csv(path)
+    return S.read_csv_table(v.spark, path, T._parse_datatype_string("race_id int, driver_id bigint, finish int, status string, even boolean"))
+
+
+@query("s10_read_json_union", "entries", "select race_id, driver_id, case when race_id % 2 = 0 then finish end as finish, case when race_id % 2 = 1 then status end as status from entries")
+def s10(v):
+    a, b = S.scratch(v.spark, "json"), S.scratch(v.spark, "json")
+    v.entries.filter("race_id % 2 = 0").select("race_id", "driver_id", "finish").write.json(a)
+    v.entries.filter("race_id % 2 = 1").select("race_id", "driver_id", "status").write.json(b)
+    schema = T._parse_datatype_string("race_id int, driver_id bigint, finish int, status string")
+    return v.spark.read.schema(schema).json([a, b])
+
+
+@query("s14_append_log", "contests", "select race_id, 'a' as src from contests union all select race_id, 'b' from contests where month = 1")
+def s14(v):
+    path = S.scratch(v.spark, "log")
+    S.append_log(v.contests.select("race_id", F.lit("a").alias("src")), path)
+    S.append_log(v.contests.filter("month = 1").select("race_id", F.lit("b").alias("src")), path)
+    return v.spark.read.parquet(path)
