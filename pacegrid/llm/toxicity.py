@@ -27,7 +27,7 @@ LOOKALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 MARKS = {"@": "a", "$": "s", "!": "i"}
 _FOLD = str.maketrans({c: k for k, cs in LOOKALIKES.items() for c in cs} | DIGITS | {c: "" for c in "​‌‍­﻿"})
-_INNER = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
+_INNER = re.compile(r"[@$](?=[^\W\d_])|(?<=[^\W\d_])!(?=[^\W\d_])")
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -131,7 +131,7 @@ def train(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 20.
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int = 9, exceptions: tuple[str, ...] = ()) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, seed: int = 9, exceptions: tuple[str, ...] = ()) -> Model:
     """A model from about per_class labelled documents of each class at most (a documented bound). Rows of fold 1 are never
     read for it. Without labelled rows the lexicon is empty."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(fold("doc_id") != 1).dropDuplicates(["doc_id"])

@@ -203,8 +203,8 @@ def has_template(slot: Slot, least: float) -> bool:
 
 
 def extract(root: Node, wrapper: Slot | None, share: float = 0.6, least_pages: int = 5) -> str:
-    """The page's main text. Template slots go unless that would take more than half of what stands in the region, as
-    on a host that shows one article again and again."""
+    """The page's main text. Template slots go unless that would take more than half of an article, or all of a page without
+    one, as on a host that shows one article again and again."""
     at: dict[int, Slot] = {}
 
     def align(node: Node, slot: Slot) -> None:
@@ -227,6 +227,7 @@ def extract(root: Node, wrapper: Slot | None, share: float = 0.6, least_pages: i
     if wrapper is not None and wrapper.pages >= least_pages and wrapper.label == root.label:
         align(root, wrapper)
     picked: list[tuple[str, bool]] = []
+    found = regions(root)
 
     def walk(node: Node, inside: bool, whole: bool, header: bool = False) -> None:
         for c in node.children:
@@ -237,10 +238,10 @@ def extract(root: Node, wrapper: Slot | None, share: float = 0.6, least_pages: i
             elif not serves_another_end(c, inside) or (whole and _holds(c, frozenset(["article", "main"]))):
                 walk(c, inside, whole, header or c.tag == "header")
 
-    for region in regions(root):
+    for region in found:
         walk(region, region.tag in ("article", "main"), region is root)
     varying = [t for t, template in picked if not template]
-    if 2 * sum(map(len, varying)) < sum(len(t) for t, _ in picked):
+    if not varying or (found[0] is not root and 2 * sum(map(len, varying)) < sum(len(t) for t, _ in picked)):
         varying = [t for t, _ in picked]
     return " ".join(varying)
 
