@@ -87,8 +87,31 @@ def candidates(text: str, shortest: int = 4, longest: int = 9) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in range(shortest, min(longest, len(w)) + 1)}
 
 
-def train(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 20.0, exceptions: tuple[str, ...] = ()) -> Model:
-    """least: toxic rows that must have an entry. odds: how much larger its share of toxic rows must be than that of the others."""
+def unlike(texts: list[str], words: int = 8, most: float = 0.3) -> list[int]:
+    """The texts of which at most that share of word runs was there in texts before. Copies of a text count as one, else all its words
+    would seem to go with its label."""
+    seen: set[int] = set()
+    keep = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        runs = {hash(tuple(w[k : k + words])) for k in range(max(1, len(w) - words + 1))}
+        if len(runs & seen) <= most * len(runs):
+            keep.append(i)
+        seen |= runs
+    return keep
+
+
+def evidence(bad: int, good: int, share: float) -> float:
+    """Log-likelihood ratio of an entry's toxic rows against the sample's share of toxic rows; it grows with the rows that have the entry."""
+    n = bad + good
+    return bad * np.log(bad / (n * share)) + (good * np.log(good / (n * (1 - share))) if good else 0.0)
+
+
+def train(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 20.0, sure: float = 10.0, exceptions: tuple[str, ...] = ()) -> Model:
+    """least: toxic rows that must have an entry. odds: how much larger its share of toxic rows must be than that of the others. sure: the
+    evidence it needs, as among very many rare words some are in a few toxic rows by chance."""
+    keep = unlike([folded(t) for t in texts])
+    texts, toxic = [texts[i] for i in keep], toxic[keep]
     plain = [folded(t) for t in texts]
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
     bad, good = Counter(), Counter()
@@ -100,9 +123,9 @@ def train(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 20.
         if not y:
             good.update(candidates(t) & wanted)
     ratio = {k: (bad[k] + 0.1) / n_toxic / ((good[k] + 0.5) / n_clean) for k in wanted}
-    # an entry must lift the odds by far; random words of few rows pass by chance, so rarer ones need more
+    share = n_toxic / (n_toxic + n_clean)
     chosen: dict[str, float] = {}
-    for k in sorted((k for k in wanted if ratio[k] >= odds and bad[k] >= least + 2 * good[k]), key=lambda k: (-bad[k], len(k), k)):
+    for k in sorted((k for k in wanted if ratio[k] >= odds and evidence(bad[k], good[k], share) >= sure), key=lambda k: (-bad[k], len(k), k)):
         if not any(k != p and k.startswith(p) for p in (k[:n] for n in range(4, len(k))) if p in chosen and good[p] <= good[k] + 0.02 * bad[p]):
             chosen[k] = float(np.log(ratio[k]))
     model = Model(chosen, [folded(x) for x in exceptions])

@@ -280,7 +280,9 @@ def test_classifiers_on_odd_rows(spark, docs, empty):
     odd = docs.select("doc_id", "text", F.lit("en").alias("lang"))
     named = language.with_language(odd, language.fit(odd)).collect()
     assert all((r["language"]["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", r["text"] or "")) for r in named)
-    model = toxicity.train([*["a scum here", "scum bag", "you scum", "big scum"] * 3, *["clean text"] * 36, "pond scum is green", "pond scum grows"], np.array([1] * 12 + [0] * 38), least=3, odds=2)
+    bad = [f"{k}a {k}b here is a scum of {k}c {k}d" for k in range(12)]
+    good = [f"{k}e {k}f here is a text of {k}g {k}h" for k in range(36)] + [f"{k}i {k}j the pond scum is {k}k {k}l" for k in range(2)]
+    model = toxicity.train([*bad, *bad, *good], np.array([1] * 24 + [0] * 38), least=3, odds=2, sure=8)
     m = toxicity.Matcher(model)
     assert toxicity.folded("Y0u $CUM, sсum! f@ce") == " you scum scum face "
     assert m.found(toxicity.folded("you ѕсum")) and not m.found(toxicity.folded("the pond scum"))
