@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..functions.stats import avg_rank, pearson, safe_div, signed_rank_sf, student_sf, uniform
 
 
@@ -146,7 +147,7 @@ def bootstrap_mean_ci(rows: DataFrame, value: str, key: str, group: str, reps: i
 
 def two_sample(rows: DataFrame, value: str, flag: str) -> DataFrame:
     """M11. One row: one-sample t of the flagged rows with its p, Mann-Whitney U of flagged against others, and z of U."""
-    t = rows.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1)).withColumn("r", avg_rank(F.col(value), "_one"))
+    t = ranked(rows.filter(F.col(value).isNotNull()), value, [], name="r")
     on = F.col(flag)
     x = F.when(on, F.col(value).cast("double"))
     s = t.agg(F.count(x).alias("n1"), F.count_if(~on).alias("n2"), F.sum(F.when(on, F.col("r"))).alias("r1"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))

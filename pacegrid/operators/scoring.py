@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..functions.stats import safe_div, student_sf, uniform
 
 
@@ -183,8 +184,7 @@ def skill(units: DataFrame, keys: list[str], sets: list[list[str]] | None = None
 
 def equal_mass_bins(units: DataFrame, keys: list[str], tie: list[str], n_bins: int = 10) -> DataFrame:
     """K04. Bins of near equal counts by p_model: bin i has the places from n*i/n_bins cut to a whole number. Ties by `tie`."""
-    w = W.partitionBy(*keys)
-    t = units.withColumns({"_k": F.row_number().over(w.orderBy("p_model", *tie)) - 1, "_n": F.count("*").over(w)})
+    t = ranked(units, "p_model", keys, tie, name="_at").withColumns({"_k": F.col("_at") - 1, "_n": F.col("_at_n")})
     i = F.floor((F.col("_k") * n_bins + n_bins - 1) / F.col("_n"))  # the largest i whose first place is not past k
     edge = F.floor(i * F.col("_n") / n_bins)
     t = t.withColumn("bin", F.least(F.when(edge > F.col("_k"), i - 1).otherwise(i), F.lit(n_bins - 1)).cast("int"))

@@ -321,9 +321,9 @@ def bins(v):
     return D.equal_mass_bins(units(v), ["market"], ["race_id", "id"])
 
 
-@query("k04_equal_mass_bins", "bins", "select market, bin, n, round(mean_pred, 6) as mean_pred, round(obs_freq, 6) as obs_freq from bins", BINS)
+@query("k04_equal_mass_bins", "bins", "select market, bin, n, round(mean_pred, 8) as mean_pred, round(obs_freq, 8) as obs_freq from bins", BINS)
 def k04(v):
-    return r6(bins(v), "mean_pred", "obs_freq")
+    return bins(v).withColumns({c: F.round(c, 8) for c in ("mean_pred", "obs_freq")})  # means of six-place numbers: no half on the eighth
 
 
 @query("k05_murphy", "line", "select market, round(reliability, 6) as reliability, round(resolution, 6) as resolution, round(uncertainty, 6) as uncertainty from line", LINE)
@@ -337,9 +337,10 @@ def k06(v):
     return t.select("market", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
-@query("k07_fixed_bins", "units", "select ttype, bin, count(*) as n, round(avg(p_model), 6) as mean_pred, round(avg(outcome), 6) as obs_freq from (select *, case when p_model >= 0.8 then 4 when p_model >= 0.6 then 3 when p_model >= 0.4 then 2 when p_model >= 0.2 then 1 else 0 end as bin from units where market = 'pair') group by 1, 2 having count(*) > 20", UNITS)
+@query("k07_fixed_bins", "units", "select ttype, bin, count(*) as n, round(avg(p_model), 8) as mean_pred, round(avg(outcome), 8) as obs_freq from (select *, case when p_model >= 0.8 then 4 when p_model >= 0.6 then 3 when p_model >= 0.4 then 2 when p_model >= 0.2 then 1 else 0 end as bin from units where market = 'pair') group by 1, 2 having count(*) > 20", UNITS)
 def k07(v):
-    return r6(D.fixed_bins(units(v).filter("market = 'pair'"), [0.0, 0.2, 0.4, 0.6, 0.8], ["ttype"], 20), "mean_pred", "obs_freq")
+    t = D.fixed_bins(units(v).filter("market = 'pair'"), [0.0, 0.2, 0.4, 0.6, 0.8], ["ttype"], 20)
+    return t.withColumns({c: F.round(c, 8) for c in ("mean_pred", "obs_freq")})
 
 
 BOOT = {"ut": ("units", f"select market, race_id, sum(pow(p_model - outcome, 2)) as bm, sum(pow(p_base - outcome, 2)) as bb, sum({_LL.format(p='p_model')}) as lm, sum({_LL.format(p='p_base')}) as lb, count(*) as n, row_number() over (partition by market order by race_id) - 1 as idx, count(*) over (partition by market) as K from units group by 1, 2"),
