@@ -8,7 +8,6 @@ blocks' candidates is verified by the exact cosine; a pair that several blocks f
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,8 +65,7 @@ def linked(vectors: DataFrame, threshold: float = 0.93, blocks: int = 4, tile: i
     Equal vectors of one label are one class, and are linked without being compared. A cell of more than `tile` vectors is
     cut into tiles, and each pair of tiles is a group of its own, so no task holds more than two tiles whatever a label
     or a cell holds. Groups return sums and forests, never their pairs."""
-    spark = vectors.sparkSession
-    good = usable(vectors)
+    spark, good = vectors.sparkSession, usable(vectors)
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(classes, "vector-classes")
     members = good.join(classes.select("label", "embedding", "rep", "n"), ["label", "embedding"]).select("vec_id", "rep", "n")
@@ -85,7 +83,6 @@ def linked(vectors: DataFrame, threshold: float = 0.93, blocks: int = 4, tile: i
 
 def _linked(classes: DataFrame, dims: int, threshold: float, blocks: int, tile: int) -> tuple[DataFrame, DataFrame]:
     turn = rotation(second_moments(classes, dims), blocks)
-    cut = np.array([round(k * dims / blocks) for k in range(blocks + 1)])
     sizes = [len(range(b, dims, blocks)) for b in range(blocks)]
     cut = np.concatenate([[0], np.cumsum(sizes)])
     whole = 2 - 2 * threshold + SLACK
