@@ -146,17 +146,27 @@ def closers(green_pos: DataFrame, frac: float = 0.10) -> DataFrame:
     return t.select(*RUN, F.when(F.col("any"), (F.col("a") - F.col("b")).cast("double")).alias("closers"))
 
 
-def loop_metrics(green: DataFrame, flags: DataFrame) -> DataFrame:
-    """L11. Loop metrics of each (contest, entrant): mean running position, green laps, passes, shares of the contest's green laps."""
-    n_green = flags.filter("flag_state = 1").groupBy("race_id").agg(F.countDistinct("lap").alias("n_green_race"))
-    base = green.groupBy(*RUN).agg(F.count("*").alias("green_flag_laps"), F.avg("running_pos").alias("arp"), F.count_if(F.col("running_pos") <= 15).alias("laps_top15"))
-    t = base.join(passes(green), RUN).join(fastest_laps(green), RUN, "left").join(closers(green), RUN, "left").join(n_green, "race_id")
-    fastest = F.coalesce("fastest_laps", F.lit(0)).cast("long")
-    share = lambda c: c / F.col("n_green_race")
-    return t.select(
+def loop_metrics(green: DataFrame, flags: DataFrame, frac: float = 0.10) -> DataFrame:
+    """L11. Loop metrics of each (contest, entrant): mean running position, green laps, passes, shares of the contest's green laps, closers.
+
+    One pass over the laps: the fastest of each lap is marked by a window over (contest, lap), runs and next positions by one over
+    (contest, entrant), on whose partitioning the aggregate then runs; a small row a contest is joined in between."""
+    race = flags.filter("flag_state = 1").groupBy("race_id").agg(F.sort_array(F.collect_set("lap")).alias("g"))
+    race = race.select("race_id", F.size("g").cast("long").alias("n_green_race"), F.element_at("g", F.floor(F.lit(1 - frac) * F.size("g")).cast("int") + 1).alias("l_start"))
+    t = green.withColumn("fast", F.rank().over(W.partitionBy("race_id", "lap").orderBy("lap_time")) == 1)
+    t = steps(t).join(race, "race_id")
+    pos, nxt, late = F.col("running_pos"), F.col("next_pos"), F.col("lap") >= F.col("l_start")
+    g = t.groupBy(*RUN).agg(
+        F.first("n_green_race").alias("n_green_race"), F.count("*").alias("green_flag_laps"), F.avg(pos).alias("arp"),
+        F.count_if(nxt < pos).alias("passes_made"), F.count_if(nxt > pos).alias("times_passed"), F.count_if((nxt < pos) & (nxt <= 15)).alias("quality_passes"),
+        F.count_if("fast").alias("fastest_laps"), F.count_if(pos <= 15).alias("laps_top15"),
+        F.min_by(pos, F.when(late, F.col("lap"))).alias("a"), F.max_by(pos, "lap").alias("b"), F.max(late).alias("any"),
+    )
+    share = lambda c: F.col(c) / F.col("n_green_race")
+    return g.select(
         *RUN, "n_green_race", "green_flag_laps", "arp", "passes_made", "times_passed", (F.col("passes_made") - F.col("times_passed")).alias("pass_diff"),
-        "quality_passes", share(F.col("quality_passes")).alias("quality_pass_rate"), fastest.alias("fastest_laps"), share(fastest).alias("fastest_lap_share"),
-        "laps_top15", share(F.col("laps_top15")).alias("laps_top15_rate"), "closers",
+        "quality_passes", share("quality_passes").alias("quality_pass_rate"), "fastest_laps", share("fastest_laps").alias("fastest_lap_share"),
+        "laps_top15", share("laps_top15").alias("laps_top15_rate"), F.when(F.col("any"), (F.col("a") - F.col("b")).cast("double")).alias("closers"),
     )
 
 
