@@ -22,7 +22,7 @@ class WordEncoder:
     """Ids of whole texts. The vocabulary's rules never join what white space parts, so the ids of each word are made
     once, by the library, and then looked up; a test holds the ids against the library's own over whole texts."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,28 +37,27 @@ class WordEncoder:
 
     def _empty(self) -> None:
         self.codes.restart()
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}  # ids as 16-bit numbers
         self.flat, self.starts, self.lengths, self.used = np.zeros(1 << 16, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         for k in range(0, len(pieces), 500):
             some = pieces[k : k + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(some) and at[-1] == len(ids):
-                cut = [0, *at.tolist()]
-                ids = ids.tolist()
-                self.pieces.update((p, tuple(ids[a:b])) for p, a, b in zip(some, cut, cut[1:]))
+                cut, raw = [0, *(2 * at).tolist()], ids.tobytes()
+                self.pieces.update((p, raw[a:b]) for p, a, b in zip(some, cut, cut[1:]))
             else:
-                self.pieces.update((p, tuple(e.ids)) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+                self.pieces.update((p, np.array(e.ids, np.uint16).tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
 
     def _learn(self) -> None:
         parts = [[w] if w.isalpha() else PIECES.findall(w) for w in self.codes.fresh]
         self.codes.fresh = []
         self._encode_pieces(list(dict.fromkeys(p for x in parts for p in x if p not in self.pieces)))
-        ids = [self.pieces[x[0]] if len(x) == 1 else sum((self.pieces[p] for p in x), ()) for x in parts]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(lengths.sum()))
+        ids = [self.pieces[x[0]] if len(x) == 1 else b"".join([self.pieces[p] for p in x]) for x in parts]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        flat = np.frombuffer(b"".join(ids), np.uint16)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
