@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -218,6 +217,3 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
     listed = spark.createDataFrame([(x[0], x[3]) for x in files.files], "name string, base long").repartition(len(files.files))
     return listed.mapInPandas(run, schema)
 
-
-def crc_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
