@@ -1,0 +1,116 @@
+"""Near copies by exact Jaccard similarity of word shingles; MinHash bands (Broder, 1997) only name the candidates."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import connected_components
+from .simhash import Union
+
+#: Bands and rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^40, about 1e-7.
+BANDS, ROWS = 40, 5
+_RNG = np.random.default_rng(17)
+_TIMES = _RNG.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The set of the text's shingles as sorted hashes, words as in simhash.fingerprint; fewer words: the whole sequence."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    digest, n = xxhash.xxh3_64_intdigest, max(1, len(found) - words + 1)
+    return np.unique(np.fromiter((digest(b" ".join(found[k : k + words])) for k in range(n)), np.uint64, n))
+
+
+def set_id(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band of the set: equal where all its minima are."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 256):
+        mixed = hashes[k : k + 256, None] * _TIMES + _PLUS
+        np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(0), out=least)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def forest(sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
+    """Index pairs that join what the pairs at `share` or more of Jaccard similarity join; every pair is counted exactly."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    shared = times[at] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[at[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner, both = column[order], owner[order], np.zeros((n, n), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [k, k + 4096])
+        block = np.zeros((n, min(4096, int(column[b - 1]) - k + 1)), np.float32)
+        block[owner[a:b], column[a:b] - k] = 1
+        both += block @ block.T
+    either = size[:, None] + size[None] - both
+    union = Union(n)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(both >= share * either - 1e-6, 1)))):
+        union.join(i, j)
+    return [(i, r) for i in range(n) if (r := union.find(i)) != i]
+
+
+def keep_one(docs: DataFrame, words: int = 5, share: float = 0.8, tile: int = 256) -> DataFrame:
+    """docs with one document of each group of near copies: that with the smallest doc_id. A group is what links of `share`
+    or more of the shingles join; texts without words are one group. Rows without a doc_id stay and link nothing; of repeated
+    rows of one doc_id, all stay or go.
+
+    Documents that share a band are joined to components first, a superset of the groups. Each is then compared pair by pair
+    on its shingles, components over `tile` sets in pairs of tiles, so that a large one spreads over tasks."""
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingles(t, words) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "node": [set_id(s) for s in sets], "bands": [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    signs = materialize(texts.mapInPandas(signed, "doc_id long, node long, bands array<long>"), "signs")
+    nodes = materialize(signs.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    dealt = materialize(signs.join(nodes.withColumnRenamed("least", "doc_id"), ["node", "doc_id"], "left_semi").select("node", F.explode("bands").alias("band")).distinct(), "bands")
+    first = dealt.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", "first")
+    coarse = materialize(connected_components(dealt.join(first, "band").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a <> b")), "coarse")
+    tiles = coarse.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = coarse.join(tiles, "component").join(nodes, "node").select(F.col("least").alias("doc_id"), "node", "component", "tiles")
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingles(t, words) for t in b["text"]]
+            own = np.array([set_id(s) for s in sets], np.int64) == b["node"].to_numpy()
+            out = b.loc[own, ["component", "tiles"]]
+            out["row"] = [np.concatenate([[n], s.view(np.int64)]) for n, s, k in zip(b["node"], sets, own) if k]
+            yield out
+
+    members = texts.join(placed, "doc_id").mapInPandas(taken, "component long, tiles int, row array<long>")
+    mine = F.pmod(F.xxhash64(F.col("row")[0]), F.col("tiles"))
+    pairs = members.select("component", mine.alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)).alias("o"), "row")
+    groups = pairs.groupBy("component", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).agg(F.collect_list("row").alias("rows")).select("rows")
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = []
+            for rows in b["rows"]:
+                ids = [int(r[0]) for r in rows]
+                made += [(ids[i], ids[j]) for i, j in forest([np.asarray(r[1:]) for r in rows], share)]
+            yield pd.DataFrame(made, columns=["a", "b"], dtype="int64")
+
+    links = groups.mapInPandas(linked, "a long, b long")
+    found = connected_components(links)
+    roots = materialize(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("least").alias("stays"))
+    stays = materialize(roots.join(least, "root").select("node", "stays"), "stays")
+    gone = signs.select("doc_id", "node").join(stays, "node").filter("doc_id <> stays").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

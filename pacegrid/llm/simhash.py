@@ -157,10 +157,10 @@ def near_links(fps: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
                 nxt.append((path, rest, None))
                 continue
             for k, block in enumerate(blocks_of(rest, parts)):
-                nxt.append((f"{path}{k}", [b for b in rest if b not in block], (path, block)))
+                nxt.append((path + chr(48 + k), [b for b in rest if b not in block], (path, block)))
         key = F.create_map(*[x for p, _, made in nxt if made for x in (F.lit(p), F.concat_ws(":", *[block_value(F.col("fp"), run).cast("string") for run in _runs(made[1])]))])
         known = "group" in level.columns
-        dealt = level.select("fp", "path", *(["group"] if known else []), F.explode(F.array(*[F.lit(str(k)) for k in range(parts)])).alias("k"))
+        dealt = level.select("fp", "path", *(["group"] if known else []), F.explode(F.array(*[F.lit(chr(48 + k)) for k in range(parts)])).alias("k"))
         dealt = dealt.withColumn("path", F.concat("path", "k")).drop("k")
         group = key[F.col("path")]
         dealt = dealt.withColumn("group", F.concat_ws("/", F.col("group"), group) if known else group)
@@ -180,7 +180,7 @@ def near_links(fps: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, rows in batch.groupby("path"):
-                for some in _parts(rows["fps"].tolist()):
+                for some in _parts(rows["fps"].tolist(), groups=1 << BITS - len(rest_of[path])):
                     fp = np.concatenate(some).astype(np.int64).view(np.uint64)
                     group = np.repeat(np.arange(len(some)), [len(x) for x in some])
                     sets = Union(len(fp))
@@ -200,13 +200,13 @@ def near_links(fps: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
     return links
 
 
-def _parts(arrays: list, most: int = 1 << 17) -> Iterator[list]:
-    """The arrays in lists of about so many numbers."""
+def _parts(arrays: list, most: int = 1 << 17, groups: int = 1 << 17) -> Iterator[list]:
+    """The arrays in lists of about so many numbers, and of as many arrays at most as have a number beside the bits."""
     part, n = [], 0
     for x in arrays:
         part.append(np.asarray(x, np.int64))
         n += len(part[-1])
-        if n >= most:
+        if n >= most or len(part) >= groups:
             yield part
             part, n = [], 0
     if part:
@@ -228,7 +228,7 @@ def _rests(parts: int) -> list[tuple[str, list[int]]]:
     """For each path of blocks, the bits that its groups don't share."""
     found, at = [], [("", list(range(BITS - 1, -1, -1)))]
     for _ in range(3):
-        at = [(f"{p}{k}", [b for b in rest if b not in block]) for p, rest in at for k, block in enumerate(blocks_of(rest, parts))]
+        at = [(p + chr(48 + k), [b for b in rest if b not in block]) for p, rest in at for k, block in enumerate(blocks_of(rest, parts))]
         found += at
     return found
 
