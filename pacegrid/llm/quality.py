@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import Codes, fold, sample_by
 
 BUCKETS = 1 << 16
+PIECE = 1 << 18  # bytes of words whose features are made at once
 _SPAN = (3, 5)  # lengths of the character n-grams
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,10 +29,14 @@ _RUN = re.compile(r"(.)\1+", re.S)
 _KINDS = {k: "0" if chr(k).isdigit() else ("X" if chr(k).isupper() else "x") for k in range(0x530) if chr(k).isalnum()}
 
 
-@lru_cache(maxsize=200_000)
 def shape(word: str) -> str:
-    """Xx, X, x, 0 and marks: the word's pattern, runs as one."""
-    return _RUN.sub(r"\1", word[:24].translate(_KINDS))
+    """Xx, X, x, 0 and marks: the whole word's pattern, runs as one."""
+    return _short_shape(word) if len(word) <= 64 else _RUN.sub(r"\1", word.translate(_KINDS))
+
+
+@lru_cache(maxsize=200_000)
+def _short_shape(word: str) -> str:
+    return _RUN.sub(r"\1", word.translate(_KINDS))
 
 
 def _bucket(data: bytes, seed: int) -> int:
@@ -40,18 +45,39 @@ def _bucket(data: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(data, seed) % BUCKETS
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, bucket) of every feature of the words: the word, its n-grams of bytes with edges marked, its shape."""
-    raw = [b"<%b>" % w.encode("utf-8", "surrogatepass")[:64] for w in words]
+def word_features(words: list[str], most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, word index from a on, bucket) of every feature of words a to b-1: the word, its n-grams of bytes with edges
+    marked, its shape. Some words at once, of about `most` bytes; a longer word alone, in pieces that overlap by an n-gram."""
+    b = 0
+    while b < len(words):
+        a, raw, size = b, [], 0
+        while b < len(words) and (not raw or size + len(words[b]) < most):
+            raw.append(b"<%b>" % words[b].encode("utf-8", "surrogatepass"))
+            size, b = size + len(raw[-1]), b + 1
+        owner = np.arange(b - a)
+        whole = np.concatenate(
+            [
+                np.fromiter((_bucket(w, 1) for w in raw), np.int64, len(raw)),
+                np.fromiter((_bucket(shape(w).encode("utf-8", "surrogatepass"), 2) for w in words[a:b]), np.int64, len(raw)),
+            ]
+        )
+        if len(raw) > 1:
+            where, bucket = _grams(raw)
+            yield a, b, np.concatenate([owner, owner, where]), np.concatenate([whole, bucket])
+            continue
+        for k in range(0, size, most):
+            where, bucket = _grams([raw[0][k : k + most + _SPAN[1] - 1]], most)
+            yield a, b, np.zeros(len(bucket) + 2 * (k == 0), np.int64), bucket if k else np.concatenate([whole, bucket])
+
+
+def _grams(raw: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, bucket) of the n-grams of bytes; most: of those that start in so many bytes."""
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(raw)), lengths)
     left = np.repeat(ends, lengths) - np.arange(len(data))  # bytes to the end of the own word
-    where, bucket = [np.arange(len(raw)), np.arange(len(raw))], [
-        np.fromiter((_bucket(w, 1) for w in raw), np.int64, len(raw)),
-        np.fromiter((_bucket(shape(w).encode("utf-8", "surrogatepass"), 2) for w in words), np.int64, len(raw)),
-    ]
+    where, bucket = [], []
     h = np.zeros(len(data), np.uint64)
     for n in range(1, _SPAN[1] + 1):
         shifted = data if n == 1 else np.concatenate([data[n - 1 :], np.zeros(n - 1, np.uint64)])[: len(data)]
@@ -59,6 +85,8 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = h ^ h >> np.uint64(31)
         if n >= _SPAN[0]:
             fits = left >= n
+            if most is not None:
+                fits[most:] = False
             where.append(owner[fits])
             bucket.append(((h[fits] >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64))
     return np.concatenate(where), np.concatenate(bucket)
@@ -84,7 +112,11 @@ class Bags:
 
     def restart(self) -> None:
         self.codes.restart(), self.pairs.restart(), self.shapes.restart()
-        self.shape_of = np.zeros(0, np.int64)
+        self.shape_of, self.size = np.zeros(0, np.int64), 0
+
+    def full(self) -> bool:
+        """By the number of words or pairs, or by the length of the words, which has no bound."""
+        return self.codes.full() or self.pairs.full() or self.size > 1 << 24
 
     def pair_codes(self, codes: np.ndarray) -> np.ndarray:
         """A code for each pair of neighbours: their shapes, and whether the words are the same."""
@@ -96,6 +128,7 @@ class Bags:
         codes = self.codes.of((text or "").split())
         if len(self.codes) > len(self.shape_of):
             new = self.codes.fresh[len(self.codes.fresh) - (len(self.codes) - len(self.shape_of)) :]
+            self.size += sum(map(len, new))
             self.shape_of = np.concatenate([self.shape_of, self.shapes.of([shape(w) for w in new])])
         return codes
 
@@ -110,9 +143,17 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 16, epochs: int = 4,
     bags, rng = Bags(1 << 62), np.random.default_rng(seed)
     coded = [bags.words(t) for t in texts]
     paired = [bags.pair_codes(c) for c in coded]
-    where, bucket = word_features(list(bags.codes))
+    where, bucket, many = [], [], []
+    for a, b, w, found in word_features(list(bags.codes)):
+        if b - a == 1:  # perhaps a piece of a long word
+            found, n = np.unique(found, return_counts=True)
+            w = np.zeros(len(found), np.int64)
+        else:
+            n = np.ones(len(found), np.int32)
+        where.append(a + w), bucket.append(found), many.append(n.astype(np.int32))
+    where, bucket, many = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (where, bucket, many))
     order = np.argsort(where, kind="stable")
-    bucket, per_word = bucket[order], np.bincount(where, minlength=len(bags.codes))
+    bucket, many, per_word = bucket[order], many[order], np.bincount(where, minlength=len(bags.codes))
     first = np.cumsum(per_word) - per_word
     pair_bucket = bags.pair_buckets(list(bags.pairs))
     docs = []
@@ -121,7 +162,7 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 16, epochs: int = 4,
         n = per_word[words]
         spots = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[words], n)
         ids = np.concatenate([bucket[spots], pair_bucket[p]])
-        weight = np.concatenate([np.repeat(times, n), np.ones(len(p), np.int64)])
+        weight = np.concatenate([np.repeat(times, n) * many[spots], np.ones(len(p), np.int64)])
         ids, at = np.unique(ids, return_inverse=True)
         sums = np.bincount(at, weight, len(ids))
         docs.append((ids, (sums / max(1.0, sums.sum())).astype(np.float32)))
@@ -186,15 +227,17 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
         for k in range(0, len(texts), 500):
-            if self.bags.codes.full() or self.bags.pairs.full():
+            if self.bags.full():
                 self.restart()
             some = [self.bags.words(t) for t in texts[k : k + 500]]
             pairs = [self.bags.pair_codes(c) for c in some]
             fresh, self.bags.codes.fresh = self.bags.codes.fresh, []
             if fresh:
-                where, bucket = word_features(fresh)
-                self.word = np.concatenate([self.word, np.bincount(where, self.margins[bucket], len(fresh))])
-                self.features = np.concatenate([self.features, np.bincount(where, minlength=len(fresh))])
+                word, features = np.zeros(len(fresh)), np.zeros(len(fresh))
+                for a, b, where, bucket in word_features(fresh):
+                    word[a:b] += np.bincount(where, self.margins[bucket], b - a)
+                    features[a:b] += np.bincount(where, minlength=b - a)
+                self.word, self.features = np.concatenate([self.word, word]), np.concatenate([self.features, features])
             fresh, self.bags.pairs.fresh = self.bags.pairs.fresh, []
             if fresh:
                 self.pair = np.concatenate([self.pair, self.margins[self.bags.pair_buckets(fresh)]])
