@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
 from ..functions.stats import avg_rank, pearson, safe_div, signed_rank_sf, student_sf, uniform
+from ..sources.shared import materialize
 
 
 def pl_terms(rows: DataFrame, xs: list[str], u: Column, keys: list[str], hessian: bool = False) -> DataFrame:
@@ -164,76 +165,88 @@ def variance_shares(lambdas: DataFrame) -> DataFrame:
     return lambdas.select("factor", "lam", F.sqrt(v).alias("sd"), (v / F.sum(v).over(W.partitionBy())).alias("share"))
 
 
-def block_pl_fit(rows: DataFrame, factors: list[str], lambdas: dict[str, float], steps: int = 12, keys: tuple[str, ...] = ()) -> DataFrame:
-    """M14. (keys), factor, entity, worth, one fit for each value of the keys: a Plackett-Luce fit with a dummy for each entity of each factor and a ridge weight a factor.
+def block_pl_fit(rows: DataFrame, factors: list[str], lambdas: dict[str, float | Column], steps: int = 60, keys: tuple[str, ...] = (), tol: float = 1e-5) -> DataFrame:
+    """M14. (keys), factor, entity, worth, gradient, one fit for each value of the keys: a Plackett-Luce fit with a dummy for each entity
+    of each factor and a ridge weight a factor (a number, or a column of the keys).
 
-    Utilities are sums of the entities' worths, found by joins; a step adds up gradient and the diagonal of the Hessian by
-    entity, and moves each worth by a damped Newton step. Worths stay in DataFrames, whatever the number of entities."""
+    Utilities are sums of the entities' worths, found by joins; a step adds up the gradient and the Hessian's diagonal by entity, divides
+    one by the other, and goes along that by the Barzilai-Borwein length of its key. It ends when no key's largest gradient is over `tol`
+    of its first one. Each step is a written table, so plans stay short whatever the number of steps; the driver holds a row a key."""
     from functools import reduce
 
-    base = rows.select(*keys, "race_id", "driver_id", "finish", *[F.col(f).cast("string").alias(f"_f_{f}") for f in factors]).persist()
+    spark = rows.sparkSession
     names = [f"_f_{f}" for f in factors]
-    worth = reduce(lambda a, b: a.unionByName(b), [base.select(*keys, F.lit(f).alias("factor"), F.col(f"_f_{f}").alias("entity")).distinct() for f in factors])
-    worth = worth.withColumn("worth", F.lit(0.0))
-    ridge = F.coalesce(*[F.when(F.col("factor") == f, F.lit(float(lambdas[f]))) for f in factors])
-    for k in range(steps):
-        t = base
-        for f, c in zip(factors, names):
-            t = t.join(worth.filter(F.col("factor") == f).select(*keys, F.col("entity").alias(c), F.col("worth").alias(f"_w_{f}")), [*keys, c])
-        t = t.withColumn("_u", sum((F.col(f"_w_{f}") for f in factors), F.lit(0.0)))
-        race = W.partitionBy(*keys, "race_id")
-        t = t.withColumn("_e", F.exp(F.col("_u") - F.max("_u").over(race)))
-        t = t.withColumn("_S", F.sum("_e").over(race.orderBy(F.desc("finish")).rowsBetween(W.unboundedPreceding, 0)))
-        upto = race.orderBy("finish").rowsBetween(W.unboundedPreceding, 0)
-        q = F.col("_e") * F.sum(1 / F.col("_S")).over(upto)
-        t = t.withColumns({"_g": q - 1, "_h": q - F.col("_e") * F.col("_e") * F.sum(1 / (F.col("_S") * F.col("_S"))).over(upto)})
-        long = t.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(c).alias("entity")) for f, c in zip(factors, names)])).alias("x"), "_g", "_h")
-        sums = long.groupBy(*keys, "x").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).select(*keys, "x.*", "g", "h")
-        step = (F.col("g") + 2 * ridge * F.col("worth")) / (F.col("h") + 2 * ridge) / F.lit(float(len(factors)))
-        worth = worth.join(sums, [*keys, "factor", "entity"]).select(*keys, "factor", "entity", (F.col("worth") - step).alias("worth"))
-        if k % 3 == 2 or k == steps - 1:
-            worth = cut(worth)
-    base.unpersist()
-    return worth
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; one of our own where spark.checkpoint.dir is unset (tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
-def held_out_nll(rows: DataFrame, worth: DataFrame, factors: list[str], fold: str) -> float:
-    """The nll of each row's contest under the worths of its own fold; an entity unknown there has worth 0."""
+    base = rows.select(*keys, "race_id", "driver_id", "finish", *[F.col(f).cast("string").alias(c) for f, c in zip(factors, names)]).repartition(*keys, "race_id").persist()
+    entities = reduce(lambda a, b: a.unionByName(b), [base.select(*keys, F.lit(f).alias("factor"), F.col(c).alias("entity")).distinct() for f, c in zip(factors, names)])
+    none = F.lit(None).cast("double")
+    now = materialize(entities.withColumns({"worth": F.lit(0.0), "old": none, "g_old": none}), "worths")
+    ridge = F.coalesce(*[F.when(F.col("factor") == f, x if isinstance(x := lambdas[f], Column) else F.lit(float(x))) for f in factors])
+    race = W.partitionBy(*keys, "race_id")
+    upto = race.orderBy("finish").rowsBetween(W.unboundedPreceding, 0)
+    first: dict[tuple, float] = {}
+    try:
+        for k in range(steps + 1):
+            t = base
+            for f, c in zip(factors, names):
+                t = t.join(now.filter(F.col("factor") == f).select(*keys, F.col("entity").alias(c), F.col("worth").alias(f"_w_{f}")), [*keys, c])
+            t = t.withColumn("_u", sum((F.col(f"_w_{f}") for f in factors), F.lit(0.0)))
+            t = t.withColumn("_e", F.exp(F.col("_u") - F.max("_u").over(race)))
+            t = t.withColumn("_S", F.sum("_e").over(race.orderBy(F.desc("finish")).rowsBetween(W.unboundedPreceding, 0)))
+            q = F.col("_e") * F.sum(1 / F.col("_S")).over(upto)
+            t = t.withColumns({"_g": q - 1, "_h": q - F.col("_e") * F.col("_e") * F.sum(1 / (F.col("_S") * F.col("_S"))).over(upto)})
+            long = t.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(c).alias("entity")) for f, c in zip(factors, names)])).alias("x"), "_g", "_h")
+            sums = long.groupBy(*keys, "x").agg(F.sum("_g").alias("sg"), F.sum("_h").alias("sh")).select(*keys, "x.*", "sg", "sh")
+            g, d = F.col("sg") + 2 * ridge * F.col("worth"), F.col("sh") + 2 * ridge
+            state = materialize(now.join(sums, [*keys, "factor", "entity"]).select(*keys, "factor", "entity", "worth", g.alias("gradient"), d.alias("d"), "old", "g_old"), "worths")
+            moved, bent = F.col("worth") - F.col("old"), F.col("gradient") - F.col("g_old")
+            lengths, flat = [], True
+            for r in state.groupBy(*keys).agg(F.max(F.abs("gradient")).alias("top"), F.sum(moved * moved * F.col("d")).alias("a"), F.sum(moved * bent).alias("b")).collect():
+                key = tuple(r[c] for c in keys)
+                flat &= r["top"] is None or r["top"] <= tol * first.setdefault(key, max(1.0, r["top"]))
+                length = r["a"] / r["b"] if r["a"] and r["b"] and r["b"] > 0 else 1.0
+                lengths.append((*key, min(max(length, 0.02), 5.0) if k else 1.0 / len(factors)))
+            if flat or k == steps:
+                return state.select(*keys, "factor", "entity", "worth", "gradient")
+            step = spark.createDataFrame(lengths, ", ".join([*[f"`{c}` {state.schema[c].dataType.simpleString()}" for c in keys], "step double"]))
+            by = state.join(F.broadcast(step), list(keys)) if keys else state.withColumn("step", F.lit(lengths[0][-1]))
+            now = by.select(*keys, "factor", "entity", (F.col("worth") - F.col("step") * F.col("gradient") / F.col("d")).alias("worth"), F.col("worth").alias("old"), F.col("gradient").alias("g_old"))
+    finally:
+        base.unpersist()
+
+
+def held_out_nll(rows: DataFrame, worth: DataFrame, factors: list[str], fold: str, by: list[str]) -> dict:
+    """By value of one key: the nll of each row's contest under the worths of its own fold; an entity unknown there has worth 0."""
     t = rows
     for f in factors:
-        w = worth.filter(F.col("factor") == f).select(fold, F.col("entity").alias(f"_e_{f}"), F.col("worth").alias(f"_w_{f}"))
-        t = t.withColumn(f"_e_{f}", F.col(f).cast("string")).join(w, [fold, f"_e_{f}"], "left")
+        w = worth.filter(F.col("factor") == f).select(*by, fold, F.col("entity").alias(f"_e_{f}"), F.col("worth").alias(f"_w_{f}"))
+        t = t.withColumn(f"_e_{f}", F.col(f).cast("string")).join(w, [*by, fold, f"_e_{f}"], "left")
     u = sum((F.coalesce(F.col(f"_w_{f}"), F.lit(0.0)) for f in factors), F.lit(0.0))
-    return pl_terms(t, [], u, []).first()["nll"] or 0.0
+    return {r[by[0]]: r["nll"] or 0.0 for r in pl_terms(t, [], u, by).collect()}
 
 
-def cv_select_lambda(rows: DataFrame, factors: list[str], grid: list[float], fold: str = "year", sweeps: int = 4, steps: int = 6) -> dict[str, float]:
-    """M15. Ridge weights by leave-one-season-out nll: coordinate descent over the factors, ties to the larger weight. The fits of
-    all folds of a candidate are one job: each row stands in the training set of every other fold."""
+def cv_select_lambda(rows: DataFrame, factors: list[str], grid: list[float], fold: str = "year", sweeps: int = 4, steps: int = 60, tol: float = 1e-2) -> dict[str, float]:
+    """M15. Ridge weights by leave-one-season-out nll: coordinate descent over the factors, ties to the larger weight. The fits of all
+    folds of all of a factor's candidates are one job: a row stands in the training set of every other fold, once a candidate."""
+    spark = rows.sparkSession
     folds = rows.select(F.col(fold).alias("_fold")).distinct()
-    train = rows.join(F.broadcast(folds), F.col(fold) != F.col("_fold")).drop(fold).withColumnRenamed("_fold", fold)
+    train = materialize(rows.join(folds, F.col(fold) != F.col("_fold")).drop(fold).withColumnRenamed("_fold", fold), "folds")
     best, known = {f: grid[len(grid) // 2] for f in factors}, {}
 
-    def cost(lam: dict[str, float]) -> float:
-        key = tuple(lam[f] for f in factors)
-        if key not in known:
-            known[key] = held_out_nll(rows, block_pl_fit(train, factors, lam, steps, (fold,)), factors, fold)
-        return known[key]
+    def learn(candidates: list[dict[str, float]]) -> None:
+        new = [c for c in candidates if tuple(c[f] for f in factors) not in known]
+        if not new:
+            return
+        of = spark.createDataFrame([(k,) for k in range(len(new))], "_c int")  # a row a candidate
+        lam = {f: F.element_at(F.array(*[F.lit(float(c[f])) for c in new]), F.col("_c") + 1) for f in factors}
+        worth = block_pl_fit(train.join(F.broadcast(of)), factors, lam, steps, ("_c", fold), tol)
+        nll = held_out_nll(rows.join(F.broadcast(of)), worth, factors, fold, ["_c"])
+        known.update({tuple(new[k][f] for f in factors): x for k, x in nll.items()})
 
     for _ in range(sweeps):
         before = dict(best)
         for f in factors:
-            best[f] = min(grid, key=lambda x: (round(cost(best | {f: x}), 9), -x))
+            learn([best | {f: x} for x in grid])
+            best[f] = min(grid, key=lambda x: (round(known[tuple((best | {f: x})[g] for g in factors)], 9), -x))
         if best == before:
             break
     return best
@@ -245,38 +258,41 @@ def ahead_edges(runs: DataFrame, entity: str) -> DataFrame:
     return runs.select(F.col(entity).cast("string").alias("a"), nxt.cast("string").alias("b")).filter("b is not null and a <> b").distinct()
 
 
-def strong_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """M17. node, component (its smallest node): nodes that reach each other.
 
-    Colouring: each round the smallest colour flows forward to a fixed point; the nodes that reach back to their colour's
-    own node inside that colour are one component and leave. Each step is a join and a minimum; lineage is cut by checkpoint()."""
-    nodes = cut(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct())
-    edges, out = cut(edges), None
+    Colouring: each round the smallest colour flows forward to a fixed point; the nodes that reach back to their colour's own node
+    inside that colour are one component and leave. A written table a step, of two hops each; steps grow with the longest path."""
+    nodes = materialize(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "nodes")
+    edges, out = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None
+
+    def flow(colour: DataFrame) -> DataFrame:
+        got = edges.join(colour, edges["a"] == F.col("node")).groupBy("b").agg(F.min("colour").alias("c"))
+        return colour.join(got, colour["node"] == got["b"], "left").select("node", "old", F.least("colour", F.coalesce("c", "colour")).alias("colour"))
+
     for _ in range(rounds):
-        colour = nodes.withColumn("colour", F.col("node"))
-        while True:
-            got = edges.join(colour, edges["a"] == F.col("node")).groupBy("b").agg(F.min("colour").alias("c"))
-            new = cut(colour.join(got, colour["node"] == got["b"], "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour")))
-            moved = new.join(colour.withColumnRenamed("colour", "old"), "node").filter("colour <> old").limit(1).count()
-            colour = new
-            if not moved:
+        colour, moved = nodes.select("node", F.col("node").alias("colour")), True
+        while moved:
+            colour = materialize(flow(flow(colour.withColumn("old", F.col("colour")))), "colours")
+            moved = not colour.filter("colour <> old").isEmpty()
+            colour = colour.select("node", "colour")
+        of = colour.withColumnRenamed("colour", "c")
+        inside = edges.join(of.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").filter("ca = cb").select("a", "b")
+        inside = materialize(inside, "inside")
+        found = edge = materialize(colour.filter("node = colour"), "back")
+        while True:  # the nodes found last lead back to those before them
+            more = inside.join(edge.select(F.col("node").alias("b"), "colour"), "b").select(F.col("a").alias("node"), "colour").distinct()
+            edge = materialize(more.join(found.select("node"), "node", "left_anti"), "back")
+            if edge.isEmpty():
                 break
-        inside = edges.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b").filter("ca = cb").select("a", "b")
-        back = colour.filter("node = colour")
-        while True:
-            more = inside.join(back.select(F.col("node").alias("b"), "colour"), "b").select(F.col("a").alias("node"), "colour")
-            new = cut(back.unionByName(more).distinct())
-            grew = new.count() > back.count()
-            back = new
-            if not grew:
-                break
-        part = back.select("node", F.col("colour").alias("component"))
+            found = materialize(found.unionByName(edge), "back")
+        part = found.select("node", F.col("colour").alias("component"))
         out = part if out is None else out.unionByName(part)
-        nodes = cut(nodes.join(back, "node", "left_anti"))
+        nodes = materialize(nodes.join(found, "node", "left_anti"), "nodes")
         if nodes.isEmpty():
-            break
-        edges = cut(edges.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi"))
-    return out
+            return out
+        edges = materialize(edges.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi"), "edges")
+    raise RuntimeError(f"components left after {rounds} rounds")
 
 
 def weighted_pearson(x: Column, y: Column, w: Column) -> Column:

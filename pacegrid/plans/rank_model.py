@@ -47,9 +47,16 @@ def m02(v):
     return t.select(*[F.lit(float(k)).alias(f"w_{x}") for x, k in zip(xs, w)], *[F.round(F.col(f"g_{x}") + F.lit(float(k)), 5).alias(f"residual_{x}") for x, k in zip(xs, w)])
 
 
+@query("m02_pl_flat", "mrows", "select true as flat_fin, true as flat_start, count(*) as n from mrows", ROWS)
+def m02_flat(v):
+    """Whether the penalised likelihood is flat at the fitted weights, as at its least."""
+    t = m02(v)
+    return t.select((F.abs("residual_x_fin") < 1e-4).alias("flat_fin"), (F.abs("residual_x_start") < 1e-4).alias("flat_start")).join(model_rows(v).agg(F.count("*").alias("n")))
+
+
 @query("m03_pl_walk_forward")
 def m03(v):
-    return r6(M.pl_walk_forward(model_rows(v), ["x_fin", "x_start"], least=20, every=10), "u")
+    return r6(M.pl_walk_forward(model_rows(v), ["x_fin", "x_start"], least=20), "u")
 
 
 @query("m04_pl_score_field")
@@ -180,17 +187,28 @@ def m13(v):
 
 
 FACTORS = {"driver_id": 3.0, "team_name": 10.0, "make": 30.0}
+LAMBDAS = [0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0]
+
+
+def block_fit(v):
+    return M.block_pl_fit(v.entries, list(FACTORS), FACTORS)
 
 
 @query("m14_block_pl_fit")
 def m14(v):
-    return r6(M.block_pl_fit(v.entries, list(FACTORS), FACTORS, steps=4), "worth")
+    return r6(block_fit(v).select("factor", "entity", "worth"), "worth")
+
+
+@query("m14_block_pl_flat", "entries", " union all ".join(f"select distinct '{f}' as factor, {f}::varchar as entity, true as flat from entries" for f in FACTORS))
+def m14_flat(v):
+    """Whether the penalised likelihood is flat at each worth, as at its least."""
+    return block_fit(v).select("factor", "entity", (F.abs("gradient") < 0.01).alias("flat"))
 
 
 @query("m15_cv_select_lambda")
 def m15(v):
-    rows = v.runs.select("race_id", "driver_id", "finish", "year", "make")
-    best = M.cv_select_lambda(rows, ["make"], [3.0, 30.0], sweeps=1, steps=3)
+    rows = v.runs.select("race_id", "driver_id", "finish", "year", "team_name", "make")
+    best = M.cv_select_lambda(rows, list(FACTORS), LAMBDAS)
     return rows.limit(1).select(*[F.lit(x).alias(f"lam_{f}") for f, x in best.items()])
 
 

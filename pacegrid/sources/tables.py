@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEDGER = T.StructType([T.StructField(n, t) for n, t in (("feed", T.StringType()), ("series", T.IntegerType()), ("year", T.IntegerType()), ("race_id", T.LongType()), ("path", T.StringType()), ("fetched_at", T.TimestampType()), ("outcome", T.StringType()), ("sha256", T.StringType()), ("bytes", T.LongType()))])
-
+from .shared import scratch  # noqa: F401
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+LEDGER = T.StructType([T.StructField(n, t) for n, t in (("feed", T.StringType()), ("series", T.IntegerType()), ("year", T.IntegerType()), ("race_id", T.LongType()), ("path", T.StringType()), ("fetched_at", T.TimestampType()), ("outcome", T.StringType()), ("sha256", T.StringType()), ("bytes", T.LongType()))])
 
 
 def read_fetch_log(spark: SparkSession, path: str) -> DataFrame:
