@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ragged
 from .components import connected_components
 
 BITS = 64
@@ -46,13 +46,14 @@ def with_fingerprint(docs: DataFrame, words: int = 3, column: str = "fp") -> Dat
     return docs.withColumn(column, of(F.col("text")))
 
 
-def trie_pairs(fps: np.ndarray, bits: list[int], budget: int, groups: np.ndarray | None = None, frontier: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(fps: np.ndarray, bits: list[int], budget: int, groups: np.ndarray | None = None, frontier: int = 1 << 18, meets: list[tuple[int, int]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of distinct fingerprints of one group that differ in at most `budget` of the given bits, in blocks.
 
     A binary trie over those bits (highest first) is held as the sorted codes: a node at depth d is a range of them. Pairs
     of nodes are walked down together, a node also with itself; a pair carries its differing bits so far, and is dropped
     once they exceed the budget. Wide frontiers are walked in parts, depth first, so memory is bounded by `frontier`.
-    groups: small numbers, put before the bits, so that many tries are walked at once, each from its own root."""
+    groups: small numbers, put before the bits, so that many tries are walked at once, each from its own root.
+    meets: the pairs of groups whose tries are walked together, instead of each with itself."""
     n, depth = len(fps), len(bits)
     code = np.zeros(n, np.uint64)
     for b in bits:
@@ -66,20 +67,20 @@ def trie_pairs(fps: np.ndarray, bits: list[int], budget: int, groups: np.ndarray
     first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, np.int64)
     last = np.concatenate([first[1:], [n]]) if n else first
     roots = np.stack([first, last, first, last, np.zeros_like(first)], 1)[last - first > 1]
+    if meets is not None:
+        at = {int(g): (a, b) for g, a, b in zip(groups[first], first, last)}
+        roots = np.array([(*at[g], *at[k], 0) for g, k in meets if g in at and k in at], np.int64).reshape(-1, 5)
+    low = np.uint64((1 << depth) - 1)
     stack = [(0, roots[k : k + frontier]) for k in range(0, len(roots), frontier)]  # ranges of the two nodes, differing bits
     while stack:
         d, pairs = stack.pop()
         if d == depth:
-            for a0, a1, b0, b1, _ in pairs.tolist():  # leaves: equal codes on these bits
-                for i in range(a0, a1):
-                    j = np.arange(max(b0, i + 1) if (a0, a1) == (b0, b1) else b0, b1)
-                    if len(j):
-                        yield np.full(len(j), order[i]), order[j]
+            yield from _leaves(pairs, order, frontier)
             continue
         single = (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1)
         if single.any():  # one leaf below each: the rest of the path at once
             a, b = pairs[single, 0], pairs[single, 2]
-            apart = np.bitwise_count(code[a] ^ code[b]) <= budget
+            apart = np.bitwise_count((code[a] ^ code[b]) & low) <= budget
             keep = (a != b) & apart
             if keep.any():
                 yield order[a[keep]], order[b[keep]]
@@ -109,6 +110,21 @@ def trie_pairs(fps: np.ndarray, bits: list[int], budget: int, groups: np.ndarray
             stack.append((d + 1, down[k : k + frontier]))
 
 
+def _leaves(pairs: np.ndarray, order: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs below pairs of leaves: ranges of equal codes. Large products are cut by rows of the first range."""
+    a0, a1, b0, b1 = pairs[:, :4].T
+    own = a0 == b0
+    rows = ragged(a0, a1 - a0)  # each row of a first range meets the second, from itself on where both are one
+    of = np.repeat(np.arange(len(pairs)), a1 - a0)
+    start, stop = np.where(own[of], rows + 1, b0[of]), b1[of]
+    ends = np.cumsum(stop - start)
+    cut = np.searchsorted(ends, np.arange(most, int(ends[-1]) + most, most), side="left") + 1 if len(ends) else []
+    for lo, hi in zip([0, *cut], cut):
+        n = stop[lo:hi] - start[lo:hi]
+        if n.sum():
+            yield order[np.repeat(rows[lo:hi], n)], order[ragged(start[lo:hi], n)]
+
+
 class Union:
     """Disjoint sets of 0 .. n-1; the root is the smallest."""
 

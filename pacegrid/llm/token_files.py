@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path
+from .common import scratch
 from .tokens import default_vocabulary, encoder
 
 MAGIC = b"PGTOK001"
@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, root: str | None = None, vocabulary: str | Non
     nothing behind that is read. Ids go to the file batch by batch; a task keeps the lengths and doc_ids of its documents.
     files: ranges to cut the doc_ids into, by default as many as shuffle partitions."""
     spark = docs.sparkSession
-    root, vocabulary = root or new_path(spark, "tokens"), vocabulary or default_vocabulary()
+    root, vocabulary = root or scratch(spark, "tokens"), vocabulary or default_vocabulary()
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,6 @@
 
 import re
 
-import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -11,11 +10,9 @@ from pacegrid.llm import quality, tokens, toxicity
 ROOT = "/root/testdata/sf0.001"
 
 
-def fingerprint(text):
+def shingles(text):
     words = text.encode().lower().split()
-    shingles = [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
 def test_stages(spark):
@@ -38,14 +35,14 @@ def test_stages(spark):
     matcher = toxicity.Matcher(toxicity.fit(docs, labels))
     want = {d for d in want if matcher.score(before[d]) < 0.7}
     assert after("toxicity") == want
-    ids, prints = sorted(want), {d: fingerprint(before[d]) for d in want}
+    ids, sets = sorted(want), {d: shingles(before[d]) for d in want}
     root = {d: d for d in ids}
     moved = True
     while moved:
         moved = False
         for a in ids:
             for b in ids:
-                if root[a] < root[b] and bin(prints[a] ^ prints[b]).count("1") <= 2:
+                if root[a] < root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[b], moved = root[a], True
     want = {d for d in ids if root[d] == d}
     assert after("near_duplicates") == want
