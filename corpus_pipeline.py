@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacegrid.llm import copies, decontaminate, packing, quality, toxicity
+from pacegrid.llm import decontaminate, packing, quality, similar, toxicity
 from pacegrid.llm.common import materialize
 
 
@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more."""
-    return copies.keep_one(docs, words=5, share=0.8)
+    """One document of each group of near copies: SimHash of five-word shingles, a similarity of 0.8 or more."""
+    return similar.keep_one(docs, words=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
