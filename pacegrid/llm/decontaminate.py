@@ -2,7 +2,10 @@
 
 A seed is a fixed mask over a run of words: hashes are taken of the words it keeps, so a hit survives any change of the
 words it ignores. Hashes of benchmark items and of documents are joined; each hit fixes a diagonal (item, offset), along which
-the overlap is verified word by word and grown, with substitutions counted."""
+the overlap is verified word by word, with substitutions counted.
+
+The masks leave no overlap of the rule out, by trial over all substitutions: items of 20 words or more have masks of five words, shorter
+ones masks of three, and those of one or two words are seeds as they are."""
 
 from __future__ import annotations
 
@@ -14,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes
+from .common import Codes, ragged
 
-#: Masks of 12 words each that keep 7; no two ignore the same words.
-MASKS = ("110010110101", "101101001011", "111000011101")
+#: Masks for items of at least so many words, the largest bound that fits.
+MASKS = {20: ("11111", "110111", "111000101"), 3: ("111", "1101", "1011"), 2: ("11",), 1: ("1",)}
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,57 +70,77 @@ class Hasher:
 
 
 class Seeds:
-    """The hashes of a block of benchmark items, sorted, with their items and places. A mask longer than the item: the whole
-    item counts as one seed without ignored words."""
-
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
-        self.items = [(i, word_hash(words_of(t))) for i, t in items]
-        self.masks = masks
-        self.short: dict[int, list[int]] = {}
+    """The hashes of a block of benchmark items, sorted by mask, with their items and places, and a bit map of their upper bits that
+    most hashes of documents fail."""
+
+    def __init__(self, items: list[tuple[int, str]], masks: dict[int, tuple[str, ...]] = MASKS):
+        hashes = [word_hash(words_of(t)) for _, t in items]
+        self.ids = [i for i, _ in items]
+        self.sizes = np.array([len(h) for h in hashes], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.tables = []
-        for m in masks:
-            made = [(seed_hashes(h, m), k) for k, (_, h) in enumerate(self.items)]
-            hashes = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in made)])
-            item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(x), k) for x, k in made)])
-            place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x, _ in made)])
-            order = np.argsort(hashes, kind="stable")
-            self.tables.append((hashes[order], item[order], place[order]))
-        for k, (_, h) in enumerate(self.items):
-            if 0 < len(h) < len(masks[0]):
-                self.short.setdefault(len(h), []).append(k)
-
-    def overlaps(self, doc: np.ndarray, share: float, rate: float) -> list[tuple[int, int, int, int]]:
-        """(item, start in the document, length, substitutions) of each verified overlap: at least `share` of the item's
-        words lie on one diagonal, at most `rate` of them substituted."""
-        found: set[tuple[int, int]] = set()
-        for m, (hashes, item, place) in zip(self.masks, self.tables):
-            own = seed_hashes(doc, m)
-            if not len(own) or not len(hashes):
-                continue
-            first = np.searchsorted(hashes, own)
-            at = np.flatnonzero(hashes[np.minimum(first, len(hashes) - 1)] == own)
-            for p in at.tolist():
-                k = int(first[p])
-                while k < len(hashes) and hashes[k] == own[p]:
-                    found.add((int(item[k]), p - int(place[k])))
-                    k += 1
-        for n, ks in self.short.items():
-            for k in ks:
-                h = self.items[k][1]
-                for p in np.flatnonzero(doc[: len(doc) - n + 1] == h[0]).tolist() if len(doc) >= n else []:
-                    if (doc[p : p + n] == h).all():
-                        found.add((k, p))
-        out = []
-        for k, diagonal in sorted(found):
-            h = self.items[k][1]
-            a, b = max(0, diagonal), min(len(doc), diagonal + len(h))
-            same = doc[a:b] == h[a - diagonal : b - diagonal]
-            best = best_run(same, rate)
-            if best and best[1] - best[0] >= share * len(h):
-                out.append((k, a + best[0], best[1] - best[0], int((~same[best[0] : best[1]]).sum())))
+        bounds = sorted(masks, reverse=True)
+        for k, low in enumerate(bounds):
+            own = [i for i, n in enumerate(self.sizes) if n >= low and (k == 0 or n < bounds[k - 1])]
+            for m in masks[low] if own else ():
+                made = [seed_hashes(hashes[i], m) for i in own]
+                found = np.concatenate(made)
+                item = np.repeat(own, [len(x) for x in made])
+                place = np.concatenate([np.arange(len(x)) for x in made])
+                order = np.argsort(found, kind="stable")
+                there = np.zeros(1 << 20, bool)
+                there[found >> np.uint64(44)] = True
+                self.tables.append((m, there, found[order], item[order], place[order]))
+
+    def diagonals(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(document, item, offset of the item in the document) of every hit, once each; documents one after the other in flat."""
+        out = [np.zeros((0, 3), np.int64)]
+        for m, there, hashes, item, place in self.tables:
+            own = seed_hashes(flat, m)
+            at = np.flatnonzero(there[own >> np.uint64(44)])
+            lo, hi = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
+            doc = np.searchsorted(starts, at, "right") - 1
+            keep = (hi > lo) & (at + len(m) <= starts[doc] + sizes[doc])
+            at, lo, n, doc = at[keep], lo[keep], (hi - lo)[keep], doc[keep]
+            ends = np.cumsum(n)
+            cut = np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) + (1 << 20), 1 << 20)) + 1 if len(n) else []
+            for a, b in zip([0, *cut], cut):  # a seed that is very frequent on both sides is paired in parts
+                k = ragged(lo[a:b], n[a:b])
+                d = np.repeat(doc[a:b], n[a:b])
+                out.append(np.unique(np.stack([d, item[k], np.repeat(at[a:b], n[a:b]) - starts[d] - place[k]], 1), axis=0))
+                if len(out) > 16:
+                    out = [np.unique(np.concatenate(out), axis=0)]
+        return np.unique(np.concatenate(out), axis=0)
+
+    def overlaps(self, docs: list[np.ndarray], share: float, rate: float, run: int, least: int) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, start in the document, length, substitutions) of each verified overlap; see overlaps()."""
+        sizes = np.array([len(d) for d in docs], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.concatenate([np.zeros(0, np.uint64), *docs])
+        out, found = [], self.diagonals(flat, starts, sizes)
+        for k in range(0, len(found), 20_000):
+            doc, item, offset = found[k : k + 20_000].T
+            first, last = np.maximum(0, offset), np.minimum(sizes[doc], offset + self.sizes[item])
+            n = last - first
+            same = flat[ragged(starts[doc] + first, n)] == self.flat[ragged(self.starts[item] + first - offset, n)]
+            ends = np.cumsum(n)
+            need = np.minimum(run, np.maximum(np.ceil(share * self.sizes[item] - 1e-9), whole(self.sizes[item], rate, least)))
+            equal = np.add.reduceat(same, ends - n, dtype=np.int64) if len(n) else n
+            for i in np.flatnonzero(equal >= need * (1 - rate) - 1e-9).tolist():
+                own = same[ends[i] - n[i] : ends[i]]
+                best = best_run(own, rate)
+                if best and best[1] - best[0] >= need[i]:
+                    out.append((int(doc[i]), int(item[i]), int(first[i]) + best[0], best[1] - best[0], int((~own[best[0] : best[1]]).sum())))
         return out
 
 
+def whole(size: np.ndarray, rate: float, least: int) -> np.ndarray:
+    """Words that the shortest overlap has whatever the share: `least`, of which some may be substituted at the ends; of a shorter item, all."""
+    n = np.minimum(size, least)
+    return n - np.floor(rate * n + 1e-9)
+
+
 def best_run(same: np.ndarray, rate: float) -> tuple[int, int] | None:
     """The longest run that begins and ends with equal words and holds at most `rate` unequal ones."""
     hits = np.flatnonzero(same)
@@ -147,29 +170,41 @@ def best_run(same: np.ndarray, rate: float) -> tuple[int, int] | None:
 OVERLAPS = "doc_id long, item_id long, start int, n_words int, substitutions int, item_words int"
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, rate: float = 0.2, masks: tuple[str, ...] = MASKS, block_words: int = 2_000_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, rate: float = 0.2, run: int = 13, least: int = 8, masks: dict[int, tuple[str, ...]] = MASKS, block_words: int = 2_000_000) -> DataFrame:
     """One row per document, item and diagonal with a verified overlap; places count words of the document from 0.
 
+    An overlap is a run of words on one diagonal that begins and ends with equal words and has at most `rate` of its words
+    substituted. It counts from `run` words on, and from half (`share`) of the item's words on, if that is less; yet `least`
+    words must be there, less those that may be substituted, or so many of a shorter item's. An item with words put in or left out between
+    has an overlap on each side, which count by the same rule.
+
     The benchmark is read in blocks of at most `block_words` words, each sent to the tasks as a sorted hash table; documents
     are read whole, once a block, and not shuffled. Null texts and texts without words overlap nothing; an item or a
-    document that is there twice gives its rows twice. Items shorter than a mask must be there whole, word by word."""
+    document that is there twice gives its rows twice, a null doc_id or item_id stays null."""
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in _blocks(benchmark, block_words):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             seeds, hasher = Seeds(shared.value, masks), Hasher()
+
+            def rows(ids: list, texts: list[np.ndarray]) -> pd.DataFrame:
+                made = [(ids[d], seeds.ids[k], at, n, subs, int(seeds.sizes[k])) for d, k, at, n, subs in seeds.overlaps(texts, share, rate, run, least)]
+                return pd.DataFrame(made, columns=["doc_id", "item_id", "start", "n_words", "substitutions", "item_words"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+
             for b in batches:
-                rows = [
-                    (d, seeds.items[k][0], at, n, subs, len(seeds.items[k][1]))
-                    for d, t in zip(b["doc_id"], b["text"])
-                    for k, at, n, subs in seeds.overlaps(hasher(t), share, rate)
-                ]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "n_words", "substitutions", "item_words"]).astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        part = narrow.mapInPandas(run, OVERLAPS)
+                ids, texts, size = [], [], 0
+                for d, t in zip(b["doc_id"], b["text"]):
+                    ids.append(d), texts.append(hasher(t))
+                    size += len(texts[-1])
+                    if size > 100_000:
+                        yield rows(ids, texts)
+                        ids, texts, size = [], [], 0
+                yield rows(ids, texts)
+
+        part = narrow.mapInPandas(search, OVERLAPS)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], OVERLAPS)
 
