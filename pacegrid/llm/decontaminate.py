@@ -95,7 +95,9 @@ class Seeds:
 
     def diagonals(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(document, item, offset of the item in the document) of every hit, once each; documents one after the other in flat."""
-        out = [np.zeros((0, 3), np.int64)]
+        reach = int(self.sizes.max(initial=0))
+        span = reach + int(sizes.max(initial=0)) + 1
+        out = [np.zeros(0, np.int64)]  # the three as one number
         for m, there, hashes, item, place in self.tables:
             own = seed_hashes(flat, m)
             at = np.flatnonzero(there[own >> np.uint64(44)])
@@ -106,12 +108,14 @@ class Seeds:
             ends = np.cumsum(n)
             cut = np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) + (1 << 20), 1 << 20)) + 1 if len(n) else []
             for a, b in zip([0, *cut], cut):  # a seed that is very frequent on both sides is paired in parts
-                k = ragged(lo[a:b], n[a:b])
-                d = np.repeat(doc[a:b], n[a:b])
-                out.append(np.unique(np.stack([d, item[k], np.repeat(at[a:b], n[a:b]) - starts[d] - place[k]], 1), axis=0))
+                k, times = ragged(lo[a:b], n[a:b]), n[a:b]
+                offset = np.repeat((at - starts[doc])[a:b], times) - place[k]
+                out.append(np.unique((np.repeat(doc[a:b], times) * len(self.ids) + item[k]) * span + offset + reach))
                 if len(out) > 16:
-                    out = [np.unique(np.concatenate(out), axis=0)]
-        return np.unique(np.concatenate(out), axis=0)
+                    out = [np.unique(np.concatenate(out))]
+        found = np.unique(np.concatenate(out))
+        of, offset = np.divmod(found, span)
+        return np.stack([of // max(1, len(self.ids)), of % max(1, len(self.ids)), offset - reach], 1)
 
     def overlaps(self, docs: list[np.ndarray], share: float, rate: float, run: int, least: int) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start in the document, length, substitutions) of each verified overlap; see overlaps()."""

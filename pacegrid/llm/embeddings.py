@@ -4,7 +4,8 @@ Unit vectors x, y with cosine >= c have squared distance <= 2 - 2c. Rotated by t
 split into m blocks of d / m coordinates, they are within (2 - 2c) / m of each other, squared, in at least one block. Each block is
 range-joined under that budget: its leading coordinate (that of the largest spread) is cut into cells as wide as the
 budget's root, so a pair lies in one cell or in neighbours, and the block distance is then checked. The union of the
-blocks' candidates is verified by the exact cosine; a pair that several blocks find counts in the first of them alone."""
+blocks' candidates is verified by the distance over all blocks, and where that is near the bound, by the cosine of the stored components
+in double precision; a pair that several blocks find counts in the first of them alone."""
 
 from __future__ import annotations
 
@@ -12,21 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .simhash import Union
 
 SLACK = 1e-9
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, embedding of the vectors that can link: label and vector there, no null or non-finite component, not all zero."""
+def usable() -> Column:
+    """Whether a vector can link: label and vector there, no null or non-finite component, not all zero."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    return vectors.filter(F.col("label").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", "label", e.cast("array<double>").alias("embedding"))
+    return F.col("label").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False))
 
 
 def second_moments(classes: DataFrame, dims: int) -> np.ndarray:
@@ -47,10 +47,21 @@ def second_moments(classes: DataFrame, dims: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow in the squares
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no digit, so that squares neither overflow nor underflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, of stored components."""
+    x, y = _scaled(x), _scaled(y)
+    return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+
 def rotation(moments: np.ndarray, blocks: int) -> np.ndarray:
     """Eigenvectors as columns, dealt to the blocks in turn by falling eigenvalue: block b has columns b*d/m .. , its widest first."""
     values, vectors = np.linalg.eigh(moments)
@@ -58,27 +69,19 @@ def rotation(moments: np.ndarray, blocks: int) -> np.ndarray:
     return vectors[:, np.concatenate([order[b::blocks] for b in range(blocks)])]
 
 
-def linked(vectors: DataFrame, threshold: float = 0.93, blocks: int = 4, tile: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, counts, forest): vec_id with its class `rep`; rep with the `links` to vectors of other classes; links (a, b)
-    between reps that join what all links join.
-
-    Equal vectors of one label are one class, and are linked without being compared. A cell of more than `tile` vectors is
-    cut into tiles, and each pair of tiles is a group of its own, so no task holds more than two tiles whatever a label
-    or a cell holds. Groups return sums and forests, never their pairs."""
-    spark, good = vectors.sparkSession, usable(vectors)
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes, "vector-classes")
-    members = good.join(classes.select("label", "embedding", "rep", "n"), ["label", "embedding"]).select("vec_id", "rep", "n")
-    none = spark.createDataFrame([], "rep long, links long"), spark.createDataFrame([], "a long, b long")
-    sizes = [r["s"] for r in classes.select(F.size("embedding").alias("s")).distinct().collect()]
-    if not sizes:
-        return members, *none
-    counts, forest = none
-    for dims in sizes:  # vectors of different lengths never link
-        of_size = classes.filter(F.size("embedding") == dims)
-        c, f = _linked(of_size, dims, threshold, min(blocks, dims), tile)
+def linked(classes: DataFrame, threshold: float, blocks: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(counts, forest) of classes (cid, label, embedding, n): cid with its `links` to vectors of other classes; links (a, b) between
+    classes that join what all links join. A class is all vectors of one label with equal components.
+
+    A cell of more than `tile` vectors is cut into tiles, and each pair of tiles is a group of its own, so no task holds more than two
+    tiles whatever a label or a cell holds. Groups return sums and forests, never their pairs."""
+    spark = classes.sparkSession
+    counts, forest = spark.createDataFrame([], "cid long, links long"), spark.createDataFrame([], "a long, b long")
+    for r in classes.select(F.size("embedding").alias("s")).distinct().collect():  # vectors of different lengths never link
+        of_size = classes.filter(F.size("embedding") == r["s"])
+        c, f = _linked(of_size, r["s"], threshold, min(blocks, r["s"]), tile)
         counts, forest = counts.unionByName(c), forest.unionByName(f)
-    return members, counts, forest
+    return counts, forest
 
 
 def _linked(classes: DataFrame, dims: int, threshold: float, blocks: int, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -87,25 +90,26 @@ def _linked(classes: DataFrame, dims: int, threshold: float, blocks: int, tile:
     cut = np.concatenate([[0], np.cumsum(sizes)])
     whole = 2 - 2 * threshold + SLACK
     budget = np.array([whole * s / dims for s in sizes])
-    widths = np.sqrt(budget)
+    widths = np.sqrt(budget + SLACK)
+    kind = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 2000):
                 b = batch.iloc[k : k + 2000]
-                z = _unit(np.stack(b["embedding"].to_numpy())) @ turn
-                raw = [row.tobytes() for row in z]
+                x = np.stack(b["embedding"].to_numpy())
+                z = _unit(x.astype(np.float64)) @ turn
+                raw = [row.tobytes() for row in x.astype(kind)]
                 for block in range(blocks):
                     cell = np.floor(z[:, cut[block]] / widths[block]).astype(np.int64)
                     for guest in (0, 1):  # at home in its own cell, a guest in the next
-                        yield pd.DataFrame({"label": b["label"].to_numpy(), "block": block, "cell": cell + guest, "guest": guest, "rep": b["rep"].to_numpy(), "n": b["n"].to_numpy(), "z": raw})
+                        yield pd.DataFrame({"label": b["label"].to_numpy(), "block": block, "cell": cell + guest, "guest": guest, "cid": b["cid"].to_numpy(), "n": b["n"].to_numpy(), "x": raw})
 
-    dealt = classes.select("label", "embedding", "rep", "n").mapInPandas(deal, "label long, block int, cell long, guest int, rep long, n long, z binary")
-    dealt = materialize(dealt, "vector-cells")
+    dealt = classes.select(F.col("label").cast("string").alias("label"), "embedding", "cid", "n").mapInPandas(deal, "label string, block int, cell long, guest int, cid long, n long, x binary")
     homes = dealt.groupBy("label", "block", "cell").agg(F.sum(F.when(F.col("guest") == 0, 1).otherwise(0)).alias("homes"), F.sum("guest").alias("guests"))
-    plan = homes.filter("homes > 0 and homes + guests > 1").select("label", "block", "cell", F.ceil(F.greatest("homes", "guests") / F.lit(float(tile))).cast("int").alias("tiles"))
+    plan = materialize(homes.filter("homes > 0 and homes + guests > 1").select("label", "block", "cell", F.ceil(F.greatest("homes", "guests") / F.lit(float(tile))).cast("int").alias("tiles")), "vector-plan")
     rows = dealt.join(plan, ["label", "block", "cell"])
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
     # homes of tile i meet homes of tile j >= i, and guests of every tile j; the group (i, j, kind) has both
     meets = F.when(
@@ -115,64 +119,69 @@ def _linked(classes: DataFrame, dims: int, threshold: float, blocks: int, tile:
             F.transform(others, lambda t: F.struct(own.alias("i"), t.alias("j"), F.lit(1).alias("kind"))),
         ),
     ).otherwise(F.transform(others, lambda t: F.struct(t.alias("i"), own.alias("j"), F.lit(1).alias("kind"))))
-    groups = rows.withColumn("own", own).withColumn("m", F.explode(meets)).select("label", "block", "cell", "m.*", "own", "guest", "rep", "n", "z")
-
-    def near(za, zb, block, same):
-        """Index pairs within the block's budget, a block of rows at a time."""
-        xa, xb = za[:, cut[block] : cut[block + 1]], zb[:, cut[block] : cut[block + 1]]
-        na, nb = (xa * xa).sum(1), (xb * xb).sum(1)
-        for k in range(0, len(xa), 512):
-            d = na[k : k + 512, None] + nb[None] - 2 * (xa[k : k + 512] @ xb.T)
-            i, j = np.nonzero(d <= budget[block] + SLACK)
-            if same:
-                i, j = i[i + k < j], j[i + k < j]
-            if len(i):
-                yield i + k, j
+    # a key of its own, so that the groups of one cell are dealt to many tasks
+    groups = rows.withColumn("own", own).withColumn("m", F.explode(F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("kind")))).otherwise(meets)))
+    groups = groups.select("block", F.xxhash64("label", "block", "cell", "m.i", "m.j", "m.kind").alias("key"), "label", "cell", "m.*", "own", "guest", "cid", "n", "x")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, i, j, kind = (int(pdf[c].iloc[0]) for c in ("block", "i", "j", "kind"))
-        pdf = pdf.sort_values(["guest", "own", "rep"])
-        left = pdf[(pdf["guest"] == 0) & (pdf["own"] == i)]
-        right = pdf[pdf["guest"] == 1] if kind else left if i == j else pdf[pdf["own"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        za, zb = (np.frombuffer(b"".join(x["z"]), np.float64).reshape(len(x), dims) for x in (left, right))
-        reps = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()]) if right is not left else left["rep"].to_numpy()
-        n = np.concatenate([left["n"].to_numpy(), right["n"].to_numpy()]) if right is not left else left["n"].to_numpy()
-        shift = 0 if right is left else len(left)
-        sets, links = Union(len(reps)), np.zeros(len(reps), np.int64)
-        for x, y in near(za, zb, block, right is left):
-            for k in range(0, len(x), 20_000):
-                p, q = x[k : k + 20_000], y[k : k + 20_000]
-                apart = (za[p] - zb[q]) ** 2
-                by_block = np.stack([apart[:, cut[b] : cut[b + 1]].sum(1) for b in range(blocks)], 1)
-                first = (by_block <= budget).argmax(1)  # the first block that finds the pair has it
-                ok = (by_block[np.arange(len(p)), first] <= budget[first]) & (first == block) & ((za[p] * zb[q]).sum(1) >= threshold)
-                p, q = p[ok], q[ok] + shift
-                np.add.at(links, p, n[q])
-                np.add.at(links, q, n[p])
-                for a, b in zip(p.tolist(), q.tolist()):
-                    sets.join(a, b)
-        touched = np.flatnonzero(links)
-        up = np.array([sets.find(k) for k in touched.tolist()], np.int64)
-        return pd.DataFrame({"a": reps[touched], "b": reps[up] if len(up) else touched, "links": links[touched]})
-
-    found = materialize(groups.groupBy("label", "block", "cell", "i", "j", "kind").applyInPandas(join, "a long, b long, links long"), "vector-links")
-    return found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links")), found.filter("a <> b").select("a", "b")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 4, tile: int = 2000) -> DataFrame:
+        block, i, j, meet = (int(pdf[c].iloc[0]) for c in ("block", "i", "j", "kind"))
+        pdf = pdf.sort_values(["guest", "own", "cid"])
+        left = (pdf["guest"] == 0).to_numpy() & ((pdf["own"] == i).to_numpy() | (meet == 2))
+        right = (pdf["guest"] == 1).to_numpy() if meet == 1 else left if meet == 0 and i == j else (pdf["own"] == j).to_numpy() if meet == 0 else np.ones(len(pdf), bool)
+        x = np.frombuffer(b"".join(pdf["x"]), kind).reshape(len(pdf), dims).astype(np.float64)
+        z, n = _unit(x) @ turn, pdf["n"].to_numpy()
+        squares = [(z[:, a:b] ** 2).sum(1) for a, b in zip(cut, cut[1:])]
+        rows, columns, label, links = np.flatnonzero(left), np.flatnonzero(right), np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
+        step = max(16, 2_000_000 // max(1, len(columns)))
+        for k in range(0, len(rows), step):
+            p = rows[k : k + step]
+            total, ok = np.zeros((len(p), len(columns))), np.ones((len(p), len(columns)), bool)
+            for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
+                d = squares[b][p, None] + squares[b][columns] - 2 * (z[p, lo:hi] @ z[columns, lo:hi].T)
+                total += d
+                if b <= block:  # the first block that finds a pair has it
+                    ok &= (d <= budget[b] + SLACK) if b == block else (d > budget[b] + SLACK)
+            ok &= total <= whole + SLACK
+            if meet != 1:
+                ok &= p[:, None] < columns  # one of the two orders; homes come before guests
+            u, v = np.nonzero(ok)
+            near = np.abs(total[u, v] - (2 - 2 * threshold)) < 4 * SLACK
+            if near.any():
+                at = np.flatnonzero(near)
+                drop = at[cosines(x[p[u[at]]], x[columns[v[at]]]) < threshold]
+                ok[u[drop], v[drop]] = False
+                u, v = np.nonzero(ok)
+            np.add.at(links, p[u], n[columns[v]])
+            np.add.at(links, columns[v], n[p[u]])
+            for r in np.unique(u).tolist():  # joins what is still apart: once for each pair of parts, at most
+                parts = np.unique(label[columns[ok[r]]])
+                parts = parts[parts != label[p[r]]]
+                if len(parts):
+                    merged = np.append(parts, label[p[r]])
+                    label[np.isin(label, merged)] = merged.min()
+        touched, cid = np.flatnonzero(links), pdf["cid"].to_numpy()
+        return pd.DataFrame({"a": cid[touched], "b": cid[label[touched]], "links": links[touched]})
+
+    found = materialize(groups.groupBy("key", "label", "block", "cell", "i", "j", "kind").applyInPandas(join, "a long, b long, links long"), "vector-links")
+    return found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links")), found.filter("a <> b").select("a", "b")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 4, tile: int = 8000) -> DataFrame:
     """One row per row of vectors: vec_id, n_links (other vectors at cosine >= threshold and the same label), component_id
-    (the smallest vec_id reachable by links, itself included), kept (vec_id = component_id).
-
-    Vectors without label, null, all zero or with a null or non-finite component link with nothing. Repeated rows count as
-    vectors of their own. Cosines are taken in double precision."""
-    members, counts, forest = linked(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding"), threshold, blocks, tile)
-    table = connected_components(forest)
-    reps = members.groupBy("rep").agg(F.first("n").alias("n")).join(counts, "rep", "left").join(table, F.col("rep") == F.col("node"), "left")
-    reps = materialize(reps.select("rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-reps")
-    alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    mine = members.select("vec_id", "rep").distinct()
-    out = alone.select("vec_id").join(mine, "vec_id", "left").join(reps, "rep", "left")
-    own = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
+    (the smallest vec_id reachable by links, itself included), kept (vec_id = component_id, null-safe).
+
+    Vectors without label, null, all zero or with a null or non-finite component link with nothing. Repeated rows, and rows of one
+    vec_id or of none, are vectors of their own; a null vec_id counts as larger than any other. Labels may be of any type. Cosines
+    are taken in double precision of the stored components. Other columns are not read."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    good, bad = rows.filter(usable()), rows.filter(~F.coalesce(usable(), F.lit(False)))
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    counts, forest = linked(classes, threshold, blocks, tile)
+    table = materialize(connected_components(forest), "vector-components")
+    reps = classes.select("cid", "least", "n").join(counts, "cid", "left").join(table, F.col("cid") == F.col("node"), "left")
+    reps = materialize(reps.select("cid", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "cid").alias("root")), "vector-reps")
+    of = reps.join(reps.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cid", "n_links", "component_id")
+    found = good.join(classes.select("label", "embedding", "cid"), ["label", "embedding"]).join(of, "cid").select("vec_id", "n_links", "component_id")
+    alone = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

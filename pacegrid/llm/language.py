@@ -20,7 +20,7 @@ from .common import fold, sample_by
 BITS = 12
 DIMS = 1 << BITS
 UNKNOWN = "und"
-_ASCII_LETTER, _LETTER = re.compile("[a-z]"), re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[a-z]")
 _K = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77)]
 
 
@@ -30,7 +30,7 @@ _TABLE = bytes(c if 97 <= c < 123 or c > 127 else 32 for c in range(256))
 def letters(text: str | None) -> np.ndarray:
     """The text's letters in lower case as bytes, each run of anything else in ASCII as one space; empty if there is no letter."""
     low = (text or "").lower()
-    if not (_ASCII_LETTER.search(low) or _LETTER.search(low)):
+    if not (_ASCII_LETTER.search(low) or any(map(str.isalpha, low))):  # numerals such as ½ ² Ⅷ are no letters
         return np.zeros(0, np.uint8)
     raw = np.frombuffer(b" %b " % low.encode("utf-8", "surrogatepass").translate(_TABLE), np.uint8)
     space = raw == 32

@@ -86,6 +86,13 @@ QUERIES = {
     )
 }
 
-#: None of these can be told in SQL over the given tables (learned models, tokenizer ids, XXH64, CRC-32): tests/llm hold
+#: The others can't be told in SQL over the given tables (learned models, tokenizer ids, XXH64, CRC-32): tests/llm hold
 #: each against a brute-force version, an exact round trip or held-out labels.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dedup": """with recursive v as (select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings),
+ ok as (select * from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+ links as (select a.r as a, b.r as b from ok a join ok b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+ reach(r, o) as (select a, b from links union select reach.r, links.b from reach join links on links.a = reach.o)
+ select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(least(low, vec_id), vec_id) as component_id, coalesce(least(low, vec_id), vec_id) is not distinct from vec_id as kept
+ from v left join (select a, count(*) as n from links group by 1) c on c.a = v.r left join (select reach.r, min(w.vec_id) as low from reach join v w on w.r = reach.o group by 1) m on m.r = v.r""",
+}
