@@ -21,12 +21,21 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def sample_by(df: DataFrame, by: str, key: str, per_class: int, seed: int = 11) -> DataFrame:
-    """About per_class rows of each value of `by` (a column of few values), picked by a hash of `key`; no shuffle of rows."""
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect() if r[by] is not None}
-    if not counts:
-        return df.filter(F.lit(False))
-    rate = F.coalesce(*[F.when(F.col(by) == F.lit(k), F.lit(min(1.0, per_class / n))) for k, n in sorted(counts.items(), key=str)])
-    return df.filter(F.col(by).isNotNull() & (uniform(F.col(key), seed) < rate))
+    """About per_class rows of each value of `by`, picked by a hash of `key`, whatever the number of values."""
+    known = df.filter(F.col(by).isNotNull())
+    rates = known.groupBy(F.col(by).alias("__by")).agg((F.lit(float(per_class)) / F.count("*")).alias("__rate"))
+    return known.join(rates, known[by] == F.col("__by")).filter(uniform(F.col(key), seed) < F.col("__rate")).drop("__by", "__rate")
+
+
+def labelled(documents: DataFrame, labels: DataFrame, column: str, per_class: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(counts, rows): the number of labelled documents by label, 0 or 1; doc_id, text, label of about per_class of each, none of fold 1.
+    Of several labels of a doc_id the largest counts, of several texts the smallest."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(fold("doc_id") != 1)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    picked = sample_by(known, "label", "doc_id", per_class, seed)  # two classes: broadcast below is of 2 * per_class rows or so
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return known.groupBy("label").agg(F.count("*").alias("n")), rows
 
 
 class Codes(dict):

@@ -7,7 +7,7 @@ import re
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|object|select|math|canvas|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title|iframe|svg|object|select|canvas|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -15,6 +15,7 @@ _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+DEEPEST = 200
 #: What a start tag closes when it is open, up to the nearest of the second set.
 _BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSES = {
@@ -104,9 +105,12 @@ def parse(page: str | None) -> Node:
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
                 hidden = True
         node = Node(tag, frozenset(names), hidden=hidden)
-        stack[-1].children.append(node)
-        if len(stack) < 200:
+        if len(stack) < DEEPEST:
+            stack[-1].children.append(node)
             stack.append(node)
+        else:  # as browsers do: what is nested deeper stands beside, and keeps its own names
+            stack[-1:] = [node]
+            stack[-2].children.append(node)
     if at < len(page):
         text.append(page[at:])
         links += len(page) - at if in_link else 0

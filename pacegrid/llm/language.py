@@ -99,15 +99,16 @@ def train(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 1
 
 
 def fit(documents: DataFrame, per_language: int = 600, seed: int = 5) -> Model:
-    """A model from about per_language documents of each language at most (a documented bound); rows of fold 1, without a
-    text or with a null lang are never read for it."""
+    """A model from about per_language documents of each language at most (a documented bound: the driver holds so many texts a
+    language); rows of fold 1, without a text or with a null lang are never read for it."""
     known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang is not null and text is not null and doc_id is not null").filter(fold("doc_id") != 1)
     rows = sample_by(known, "lang", "doc_id", per_language, seed).toPandas().sort_values("doc_id")
     return train(rows["text"].tolist(), rows["lang"].tolist(), seed=seed)
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a struct column `language`: lang_pred, score, rejected. Reads the whole text and no other column."""
+    """docs with a struct column `language`: lang_pred, score, rejected. Reads the whole text and no other
+    column; a column named language is replaced. Of centroids at one cosine the first by language name wins."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, fold, sample_by
+from .common import Codes, labelled
 
 BUCKETS = 1 << 16
 PIECE = 1 << 18  # bytes of words whose features are made at once
@@ -200,14 +200,13 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 16, epochs: int = 4,
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000, seed: int = 7) -> Model | None:
     """A model from about per_class labelled documents of each class at most (a documented bound: what the driver holds
-    does not grow with the corpus). Rows of fold 1 are never read for it. None when there is no labelled row of either class."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(fold("doc_id") != 1).dropDuplicates(["doc_id"])
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    does not grow with the corpus). Rows of fold 1 are never read for it; of several labels of a doc_id the largest counts, of several
+    texts the smallest. None when a class has no labelled row."""
+    counts, picked = labelled(documents, labels, "quality", per_class, seed)
+    totals = {r["label"]: r["n"] for r in counts.collect()}
     if len(totals) < 2:
         return None
-    picked = sample_by(known, "label", "doc_id", per_class, seed)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = picked.toPandas().sort_values("doc_id")
     if rows["label"].nunique() < 2:
         return None
     return train(rows["text"].tolist(), rows["label"].to_numpy(np.int64), seed=seed, prior=totals[1] / (totals[0] + totals[1]))
@@ -250,7 +249,7 @@ class Scorer:
 
 def with_score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
     """docs with the probability of label 1, of every whole text. A null or empty text has the bias alone; without a model
-    every score is 0.5. No other column is read."""
+    every score is 0.5. A column of the score's name is replaced; no other column is read."""
     if model is None:
         return docs.withColumn(column, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))

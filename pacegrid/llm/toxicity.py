@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sample_by
+from .common import labelled
 
 #: Letters of other scripts by the Latin letter they look like, and digits by the letter they stand for.
 LOOKALIKES = {
@@ -156,18 +156,16 @@ def train(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 20.
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, seed: int = 9, exceptions: tuple[str, ...] = ()) -> Model:
     """A model from about per_class labelled documents of each class at most (a documented bound). Rows of fold 1 are never
-    read for it. Without labelled rows the lexicon is empty."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(fold("doc_id") != 1).dropDuplicates(["doc_id"])
-    picked = sample_by(known, "label", "doc_id", per_class, seed)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    read for it; of several labels of a doc_id the largest counts, of several texts the smallest. Without labelled rows the lexicon is empty."""
+    rows = labelled(documents, labels, "toxic", per_class, seed)[1].toPandas().sort_values("doc_id")
     if rows["label"].nunique() < 2:
         return Model({}, [folded(x) for x in exceptions], (-3.0, 1.0, 1.0))
     return train(rows["text"].tolist(), rows["label"].to_numpy(np.int64), exceptions=exceptions)
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a toxicity from 0 to 1, of every whole text; a null or empty text scores as one without a match."""
+    """docs with a toxicity from 0 to 1, of every whole text; a null or empty text scores as one without a match. A column of
+    the score's name is replaced; no other column is read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -1,8 +1,8 @@
 """HTML main-text extraction by wrapper induction.
 
-The block trees of a host's pages are aligned by simple tree matching (Yang, 1991) into one wrapper tree per host. A
-wrapper node counts the pages that have it and the texts seen there: texts that nearly all pages repeat are template,
-the varying slots are content. Slots that serve another end by their element or name (menus, adverts, comments and so on) are
+The block trees of a host's pages are aligned by simple tree matching (Yang, 1991) into one wrapper tree per host. All
+pages are then aligned with that tree, and a Spark aggregate counts each text of each slot over the host's different pages: texts that
+nearly all pages repeat are template, the varying slots are content. Slots that serve another end by their element or name (menus, adverts, comments and so on) are
 left out too; that rule alone decides on hosts with too few pages to align."""
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,45 +30,42 @@ ASIDE_NAMES = frozenset(
 )
 _FRAME_NAMES = frozenset("with has no wrapper wrap container layout page site".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_KEPT_TEXTS = 12
-LARGE = 400
+LARGE = 1000
 
 
 class Slot:
-    """A wrapper node: its label, the pages that have it, the texts seen (a bounded summary of the most frequent ones)."""
+    """A wrapper node: its label, the pages that have it, its number in the tree."""
 
-    __slots__ = ("label", "pages", "texts", "children")
+    __slots__ = ("label", "pages", "children", "nth")
 
     def __init__(self, label: str, pages: int = 1):
-        self.label, self.pages, self.texts, self.children = label, pages, {}, []
+        self.label, self.pages, self.children, self.nth = label, pages, [], 0
 
     def state(self):
-        return self.label, self.pages, self.texts, [c.state() for c in self.children]
+        return self.label, self.pages, [c.state() for c in self.children]
 
     @classmethod
     def load(cls, state) -> Slot:
         out = cls(state[0], state[1])
-        out.texts, out.children = dict(state[2]), [cls.load(c) for c in state[3]]
+        out.children = [cls.load(c) for c in state[2]]
         return out
 
-
-def summary(texts: dict[int, int]) -> dict[int, int]:
-    """Misra-Gries: at most _KEPT_TEXTS texts stay; a text's count is too low by pages / (_KEPT_TEXTS + 1) at most."""
-    if len(texts) <= _KEPT_TEXTS:
-        return texts
-    cut = sorted(texts.values(), reverse=True)[_KEPT_TEXTS]
-    return {k: n - cut for k, n in texts.items() if n > cut}
+    def number(self, nth: int = 0) -> int:
+        """Numbers the slots from the root on; the first number after them."""
+        self.nth = nth
+        for c in self.children:
+            nth = c.number(nth + 1)
+        return nth
 
 
 def text_key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text)
+    """A signed 64-bit hash."""
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) ^ 1 << 63) - (1 << 63)
 
 
 def as_slots(node: Node) -> Slot:
     """A page's tree as a wrapper of one page: neighbours of one label are folded into one slot."""
     out = Slot(node.label)
-    if node.tag == "#text":
-        out.texts = {text_key(node.text): 1}
     out.children = fold([as_slots(c) for c in node.children])
     return out
 
@@ -121,14 +119,7 @@ def aligned(xs: list[Slot], ys: list[Slot], memo: dict) -> list[tuple[int, int]]
 def merge(into: Slot, other: Slot, same_page: bool = False, memo: dict | None = None) -> Slot:
     """Puts another wrapper of the same label into this one; nodes without a partner become optional slots."""
     memo = {} if memo is None else memo
-    if same_page:
-        into.texts = into.texts | other.texts
-        into.pages = max(into.pages, other.pages)
-    else:
-        into.pages += other.pages
-        for k, n in other.texts.items():
-            into.texts[k] = into.texts.get(k, 0) + n
-        into.texts = summary(into.texts)
+    into.pages = max(into.pages, other.pages) if same_page else into.pages + other.pages
     xs, ys, out, i, j = into.children, other.children, [], 0, 0
     for a, b in [*aligned(xs, ys, memo), (len(xs), len(ys))]:
         out += xs[i:a] + ys[j:b]
@@ -144,7 +135,8 @@ def count(slot: Slot) -> int:
 
 
 def prune(slot: Slot, least: int) -> Slot:
-    """Drops slots that too few pages have to be template; they decide nothing."""
+    """Drops slots that few pages have. A slot that most pages have comes back with the next of them, and texts are counted
+    after all pages are in, so what is template doesn't hang on this; it bounds a host's tree, whatever odd pages it has."""
     slot.children = [prune(c, least) for c in slot.children if c.pages >= least]
     return slot
 
@@ -193,28 +185,19 @@ def regions(root: Node) -> list[Node]:
     return found["article"] or found["main"][:1] or [root]
 
 
-def is_template(text: str, slot: Slot | None, wrapper: Slot, share: float, least_pages: int) -> bool:
-    return slot is not None and wrapper.pages >= least_pages and slot.texts.get(text_key(text), 0) >= share * wrapper.pages
-
-
-def has_template(slot: Slot, least: float) -> bool:
-    """Whether some slot below holds a text that at least so many pages show."""
-    return any(n >= least for n in slot.texts.values()) or any(has_template(c, least) for c in slot.children)
-
-
-def extract(root: Node, wrapper: Slot | None, share: float = 0.6, least_pages: int = 5) -> str:
-    """The page's main text. Template slots go unless that would take more than half of an article, or all of a page without
-    one, as on a host that shows one article again and again."""
-    at: dict[int, Slot] = {}
+def slots_of(root: Node, wrapper: Slot) -> dict[int, int]:
+    """The number of the wrapper's slot for each node (by id) that the alignment gives one."""
+    at: dict[int, int] = {}
 
     def align(node: Node, slot: Slot) -> None:
-        at[id(node)] = slot
-        folded, groups = [], []
+        at[id(node)] = slot.nth
+        groups: list[list[Node]] = []
         for c in node.children:
             if groups and groups[-1][0].label == c.label:
                 groups[-1].append(c)
             else:
                 groups.append([c])
+        folded = []
         for g in groups:
             s = Slot(g[0].label)
             s.children = fold([x for c in g for x in as_slots(c).children])
@@ -224,26 +207,40 @@ def extract(root: Node, wrapper: Slot | None, share: float = 0.6, least_pages: i
                 for c in groups[i]:
                     align(c, slot.children[j])
 
-    if wrapper is not None and wrapper.pages >= least_pages and wrapper.label == root.label:
+    if wrapper.label == root.label:
         align(root, wrapper)
+    return at
+
+
+def slot_texts(root: Node, wrapper: Slot) -> set[tuple[int, int]]:
+    """(slot, text hash) of the page's texts."""
+    at, out, stack = slots_of(root, wrapper), set(), [root]
+    while stack:
+        node = stack.pop()
+        stack += node.children
+        if node.tag == "#text" and id(node) in at:
+            out.add((at[id(node)], text_key(node.text)))
+    return out
+
+
+def extract(root: Node, wrapper: Slot | None = None, template: frozenset = frozenset()) -> str:
+    """The page's main text. template: (slot, text hash) that go. A page whose every text is template, as on a host that shows one
+    article again and again, has no varying slot, and keeps them all."""
+    at = slots_of(root, wrapper) if wrapper is not None and template else {}
     picked: list[tuple[str, bool]] = []
-    found = regions(root)
 
     def walk(node: Node, inside: bool, whole: bool, header: bool = False) -> None:
         for c in node.children:
             if c.tag == "#text":
                 if (whole and 5 * c.link_chars > 4 * len(c.text) and node.tag not in ("p", "blockquote", *_HEADINGS)) or (header and node.tag not in _HEADINGS):
                     continue
-                picked.append((c.text, wrapper is not None and is_template(c.text, at.get(id(c)), wrapper, share, least_pages)))
+                picked.append((c.text, bool(template) and (at.get(id(c)), text_key(c.text)) in template))
             elif not serves_another_end(c, inside) or (whole and _holds(c, frozenset(["article", "main"]))):
                 walk(c, inside, whole, header or c.tag == "header")
 
-    for region in found:
+    for region in regions(root):
         walk(region, region.tag in ("article", "main"), region is root)
-    varying = [t for t, template in picked if not template]
-    if not varying or (found[0] is not root and 2 * sum(map(len, varying)) < sum(len(t) for t, _ in picked)):
-        varying = [t for t, _ in picked]
-    return " ".join(varying)
+    return " ".join([t for t, x in picked if not x] or [t for t, _ in picked])
 
 
 def host_of(url):
@@ -258,15 +255,16 @@ def induce(pages: DataFrame, hosts_at_once: int = 2000) -> DataFrame:
     """host, wrapper (a pickled tree) of every host, from all its pages.
 
     A task folds the pages it reads into a wrapper per host, and hands those on when it holds `hosts_at_once`; copies of a
-    page within a task count once. The tasks' wrappers of a host are then merged in two steps, first in up to 64 parts, so
+    page within a task count once. The tasks' wrappers of a host are then merged in two steps, first in up to 64 parts by task, so
     a host with a third of all pages is not read by one task."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Slot] = {}
         seen: set[int] = set()
+        part = TaskContext.get().partitionId() % 64
 
         def hand_on() -> pd.DataFrame:
-            out = pd.DataFrame([(h, text_key(f"{h}{w.pages}") % 64, pickle.dumps(w.state())) for h, w in held.items()], columns=["host", "part", "wrapper"])
+            out = pd.DataFrame([(h, part, pickle.dumps(w.state())) for h, w in held.items()], columns=["host", "part", "wrapper"])
             held.clear()
             seen.clear()
             return out
@@ -286,37 +284,78 @@ def induce(pages: DataFrame, hosts_at_once: int = 2000) -> DataFrame:
             out = add(out, Slot.load(pickle.loads(w)))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [0], "wrapper": [pickle.dumps(out.state())]})
 
-    parts = pages.select(host_of("url").alias("host"), "html").mapInPandas(partial, WRAPPERS)
+    parts = pages.select("host", "html").mapInPandas(partial, WRAPPERS)
     some = parts.groupBy("host", "part").applyInPandas(merged, WRAPPERS)
     return some.groupBy("host").applyInPandas(merged, WRAPPERS).select("host", "wrapper")
 
 
-def extract_pages(pages: DataFrame, share: float = 0.6, least_pages: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """page_id, url, text (empty if none) of every row of pages; a null html counts as empty.
+def templates(pages: DataFrame, wrappers: DataFrame, share: float, least_pages: int, broadcast_bytes: int) -> DataFrame:
+    """host, wrapper, slots, texts: the (slot, text hash) that `share` or more of the host's different pages show, of hosts with
+    `least_pages` different pages and such a text. A host has at most its texts a page over `share` of them."""
 
-    The wrappers are written to the shared folder. They go to the tasks as a whole while they are at most broadcast_bytes
-    together, and by a join on the host beyond that."""
-    wrappers = materialize(induce(pages), "wrappers")
-    total = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), "html")
+    def count(page: str, loaded: tuple | None) -> list[tuple[int, int]]:
+        return [(-1, 0), *(slot_texts(parse(page), loaded[0]) if loaded else ())] if page else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, found in results(batches, count):
+            rows = [(h, text_key(p), s, t) for h, p, x in zip(b["host"], b["html"], found) for s, t in x]
+            yield pd.DataFrame(rows, columns=["host", "page", "slot", "text"])
+
+    rows, results = _with_wrapper(pages.select("host", "html"), wrappers, broadcast_bytes)
+    seen = rows.mapInPandas(run, "host string, page long, slot int, text long").distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
+    seen = materialize(seen, "slot-texts")
+    size = seen.filter("slot = -1").select("host", F.col("n").alias("pages")).filter(F.col("pages") >= least_pages)
+    often = seen.filter("slot >= 0").join(size, "host").filter(F.col("n") >= F.lit(share) * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("slot").alias("slots"), F.collect_list("text").alias("texts")).join(wrappers, "host")
+
+
+def _with_wrapper(rows: DataFrame, wrappers: DataFrame, broadcast_bytes: int):
+    """rows, and a function for their tasks: (batch, results of f(html, (wrapper, template) or None)). The wrappers go to the
+    tasks as a whole while they are at most broadcast_bytes together, else by a join on the host, whose large hosts AQE splits."""
+    columns = [c for c in ("wrapper", "slots", "texts") if c in wrappers.columns]
+    total = wrappers.agg(F.sum(F.octet_length("wrapper") + (12 * F.size("slots") if "slots" in columns else 0))).first()[0] or 0
+    shared = None
     if total <= broadcast_bytes:
-        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()})
+        shared = rows.sparkSession.sparkContext.broadcast({r["host"]: tuple(r[c] for c in columns) for r in wrappers.collect()})
     else:
-        shared, rows = None, rows.join(wrappers, "host", "left")
+        rows = rows.join(wrappers, "host", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded: dict[str, Slot | None] = {}
+    def results(batches: Iterator[pd.DataFrame], f) -> Iterator[tuple[pd.DataFrame, list]]:
+        loaded: dict[str, tuple | None] = {}
         for b in batches:
-            texts = []
+            found = []
             for k, (host, page) in enumerate(zip(b["host"], b["html"])):
                 if host not in loaded:
-                    if len(loaded) > 5000:
+                    if len(loaded) > 2000:
                         loaded.clear()
-                    found = shared.value.get(host) if shared is not None else b["wrapper"].iloc[k]
-                    made = Slot.load(pickle.loads(found)) if found else None
-                    # a wrapper without a template text tells nothing apart, so its pages need no aligning
-                    loaded[host] = made if made and made.pages >= least_pages and has_template(made, share * made.pages) else None
-                texts.append(extract(parse(page), loaded[host], share, least_pages))
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts})
+                    state = shared.value.get(host) if shared is not None else tuple(b[c].iloc[k] for c in columns)
+                    loaded[host] = None
+                    if state and state[0] is not None:
+                        wrapper = Slot.load(pickle.loads(state[0]))
+                        wrapper.number()
+                        loaded[host] = wrapper, frozenset(zip(*([int(x) for x in c] for c in state[1:]))) if len(state) > 1 else frozenset()
+                found.append(f(page, loaded[host]))
+            yield b, found
+
+    return rows, results
+
+
+def extract_pages(pages: DataFrame, share: float = 0.6, least_pages: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """page_id, url, text (empty if none) of every row of pages.
+
+    A null html counts as empty, a null url or one without a host as of the host ''. Repeated rows are all returned, and count once for
+    what is template. Pages of any length and depth are read whole. Columns other than page_id, url and html, whatever their names, are not read.
+    share: the part of a host's different pages that show a template text; least_pages: what a host needs for that."""
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), "html")
+    wrappers = materialize(induce(named), "wrappers")
+    known = materialize(templates(named, wrappers, share, least_pages, broadcast_bytes), "templates")
+
+    def text(page: str, loaded: tuple | None) -> str:
+        return extract(parse(page), *(loaded or ()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, found in results(batches, text):
+            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": found})
 
+    rows, results = _with_wrapper(named, known, broadcast_bytes)
     return rows.mapInPandas(run, "page_id long, url string, text string")
