@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from ..functions.stats import pearson, safe_div
+
+BLOCK = 512
 
 
 def race_seq(df: DataFrame, order: list[str], name: str = "race_seq") -> DataFrame:
@@ -25,18 +27,19 @@ def hl_mean_prior(df: DataFrame, value: Column, name: str, by: list[str], order:
     half_life rows before it 1/2. Rows with a null value or not `where` are passed over and don't age the others; they
     still get a mean. Null without history. `count` names a column for the number of rows that went in.
 
-    The weights are 2^(place / half_life), which cancels the newest one's place. Places are taken in blocks of 4096, so no
-    weight leaves the doubles on long keys; the block before the present one is carried by its sums, and older ones weigh
+    The weights are 2^(place / half_life), which cancels the newest one's place. Places are taken in blocks of 512 half-lives, so no
+    weight leaves the doubles on long keys or at short half-lives; the block before the present one is carried by its sums, and older ones weigh
     under 2^-512 of the total."""
     ok = value.isNotNull() if where is None else value.isNotNull() & F.coalesce(where, F.lit(False))
     key, past = W.partitionBy(*by).orderBy(*order), (W.unboundedPreceding, -1)
+    block = max(1, int(BLOCK * half_life))
     n = F.coalesce(F.sum(F.when(ok, 1).otherwise(0)).over(key.rowsBetween(*past)), F.lit(0))
-    t = df.withColumn("_n", n).withColumn("_block", F.floor(F.col("_n") / BLOCK).cast("long"))
-    weight = F.when(ok, F.pow(F.lit(2.0), (F.col("_n") % BLOCK - BLOCK) / F.lit(half_life)))
+    t = df.withColumn("_n", n).withColumn("_block", F.floor(F.col("_n") / block).cast("long"))
+    weight = F.when(ok, F.pow(F.lit(2.0), (F.col("_n") % block - block) / F.lit(half_life)))
     t = t.withColumn("_w", weight).withColumn("_v", F.col("_w") * value.cast("double"))
     inside = W.partitionBy(*by, "_block").orderBy(*order).rowsBetween(*past)
     before = W.partitionBy(*by).orderBy("_block").rangeBetween(-1, -1)
-    fade = F.lit(2.0 ** (-BLOCK / half_life))
+    fade = F.lit(2.0 ** (-block / half_life))
 
     def total(c: str) -> Column:
         own, carried = F.sum(c).over(inside), F.sum(c).over(before)
@@ -172,3 +175,67 @@ def pool_form_excl_self(runs: DataFrame, pool: str, half_life: float = 8.0) -> D
     n = F.count("*").over(w)
     others = F.when(n > 1, (F.sum("finish").over(w) - F.col("finish")) / F.nullif(n - 1, F.lit(0)))
     return hl_mean_prior(runs.withColumn("_others", others.cast("double")), F.col("_others"), "pool_h", ["driver_id"], ["race_seq"], half_life).drop("_others")
+
+
+def title_contenders(runs: DataFrame, top: int = 4) -> DataFrame:
+    """C24. race_id, driver_id of the `top` best placed of each season's last contest, where its field has so many."""
+    last = runs.groupBy("year").agg(F.max("race_id").alias("race_id")).select("race_id")
+    t = standings(runs).join(last, "race_id", "left_semi").withColumn("field", F.count("*").over(W.partitionBy("race_id")))
+    return t.filter((F.col("standing") <= top) & (F.col("field") >= top)).select("race_id", "driver_id")
+
+
+def local_seq(rows: DataFrame, keys: list[str], order: str = "race_seq") -> DataFrame:
+    """W15. rows with `local_seq`: 1, 2, ... within the keys."""
+    return rows.withColumn("local_seq", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+
+
+def expanding_prior_mean(rows: DataFrame, value: str, keys: list[str], name: str, order: str = "race_seq") -> DataFrame:
+    """W17. rows with the plain mean of the value over strictly earlier rows of the keys; null without one."""
+    return rows.withColumn(name, F.avg(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
+
+
+def baseline_spike(season: DataFrame, value: str = "finish", late: str = "in_last_wide", cut: int = 16) -> DataFrame:
+    """W18. By cohort (in: a standing up to `cut` in the late part of the season; out): n, mean, median and t of each entrant's late mean
+    less its mean before."""
+    on = F.col(late)
+    d = season.groupBy("year", "driver_id").agg(
+        (F.avg(F.when(on, F.col(value))) - F.avg(F.when(~on, F.col(value)))).alias("d"),
+        F.when(F.max(F.when(on, F.col("prior_standing"))) <= cut, "in").otherwise("out").alias("cohort"),
+    )
+    t = safe_div(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("*")))
+    return d.filter("d is not null").groupBy("cohort").agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.median("d").alias("median_d"), t.alias("t"))
+
+
+def bucket_rates(season: DataFrame, near: int = 3, running: str = "running", crash: str = "accident") -> DataFrame:
+    """W19. By distance to the cut (near, safe, far): n, crash rate, rate of not finishing, and its correlation with the distance."""
+    dnf = F.when(F.col("status") != running, 1.0).otherwise(0.0)
+    bucket = F.when(F.abs("to_cut") <= near, "near").when(F.col("to_cut") < 0, "safe").otherwise("far")
+    return season.filter("to_cut is not null").groupBy(bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.avg(F.when(F.col("status") == crash, 1.0).otherwise(0.0)).alias("crash_rate"), F.avg(dnf).alias("dnf_rate"), pearson(F.col("to_cut"), dnf).alias("r")
+    )
+
+
+def season_length(contests: DataFrame, late: Column) -> DataFrame:
+    """W20. By year: races, those of the late part, those before."""
+    n = F.count_if(late)
+    return contests.groupBy("year").agg(F.count("*").alias("races"), n.alias("playoff_races"), (F.count("*") - n).alias("regular_races"))
+
+
+def latest_board(runs: DataFrame, n: int = 21) -> DataFrame:
+    """W21. race_id, driver_id, finish of the first n finishers of the last contest."""
+    last = runs.agg(F.max("race_seq").alias("race_seq"))
+    return runs.join(last, "race_seq").orderBy("finish").limit(n).select("race_id", "driver_id", "finish")
+
+
+def pair_prob(a: Column, b: Column) -> Column:
+    """W23. Bradley-Terry: a over a + b; one half where both are equal."""
+    return F.when(a == b, 0.5).otherwise(safe_div(a, a + b))
+
+
+def prior_pairs(shares: DataFrame) -> DataFrame:
+    """W23. race_id, a, b (a before b by id), p for neighbours in the finishing order."""
+    nxt = W.partitionBy("race_id").orderBy("finish")
+    t = shares.select("race_id", "driver_id", "win_share", F.lead("driver_id").over(nxt).alias("d2"), F.lead("win_share").over(nxt).alias("s2")).filter("d2 is not null")
+    first = F.col("driver_id") < F.col("d2")
+    a, b = F.when(first, F.col("win_share")).otherwise(F.col("s2")), F.when(first, F.col("s2")).otherwise(F.col("win_share"))
+    return t.select("race_id", F.least("driver_id", "d2").alias("a"), F.greatest("driver_id", "d2").alias("b"), pair_prob(a, b).alias("p"))

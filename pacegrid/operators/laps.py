@@ -362,3 +362,51 @@ def tyre_age(laps: DataFrame, pits: DataFrame) -> DataFrame:
     w = W.partitionBy(*RUN).orderBy("lap").rowsBetween(W.unboundedPreceding, 0)
     t = laps.join(stops, [*RUN, "lap"], "left")
     return t.withColumn("tyre_age", F.col("lap") - F.last(F.when(F.col("stop"), F.col("lap")), True).over(w)).drop("stop")
+
+
+def duration_median(stops: DataFrame, value: str = "pit_stop_duration", key: str = "race_id") -> DataFrame:
+    """L22. Per contest: v, the median of the positive values, and e, how many there are."""
+    return stops.filter(F.col(value) > 0).groupBy(key).agg(F.median(value).alias("v"), F.count("*").alias("e"))
+
+
+def word_rate(notes: DataFrame, words: list[str], text: str = "note", key: str = "race_id") -> DataFrame:
+    """L23. Per contest: v, the share of notes in which one of the words is, in any case; e, the notes. A null note has none."""
+    low, hit = F.lower(text), F.lit(False)
+    for w in words:
+        hit = hit | F.coalesce(low.contains(w.lower()), F.lit(False))
+    return notes.groupBy(key).agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("v"), F.count("*").alias("e"))
+
+
+def multi_entrant_notes(groups: DataFrame, ids: str = "ids", key: str = "race_id", least: int = 3) -> DataFrame:
+    """L27. Per contest: v, the mean number of entrants of the notes that name `least` or more; e, how many such there are."""
+    return groups.filter(F.size(ids) >= least).groupBy(key).agg(F.avg(F.size(ids)).alias("v"), F.count("*").alias("e"))
+
+
+def finish_spread(entries: DataFrame, deep: int = 20, top: int = 10, key: str = "race_id") -> DataFrame:
+    """L31. Per contest: sd of finish less start, and deep_share, the share of the first `top` finishers that started behind `deep`."""
+    of_top = F.when(F.col("finish") <= top, F.when(F.col("start") > deep, 1.0).otherwise(0.0))
+    return entries.groupBy(key).agg(F.stddev_samp(F.col("finish") - F.col("start")).alias("sd"), F.avg(of_top).alias("deep_share"))
+
+
+def dnf_rates(entries: DataFrame, keys: list[str], running: str = "running", crash: tuple[str, ...] = ("accident",), mechanical: tuple[str, ...] = ("engine",), prior: tuple[float, float] = (2.0, 20.0)) -> DataFrame:
+    """L32. By keys: n, crashes, mech, and the rate of not finishing, drawn to prior[0] of prior[1] entries."""
+    out = F.count_if(F.col("status") != running)
+    on = lambda names: F.count_if(F.col("status").isin(*names))
+    rate = (out + prior[0]) / (F.count("*") + prior[1])
+    return entries.groupBy(*keys).agg(F.count("*").alias("n"), on(crash).alias("crashes"), on(mechanical).alias("mech"), rate.alias("rate"))
+
+
+def caution_shares(cautions: DataFrame, shares: dict[str, Column], key: str = "race_id") -> DataFrame:
+    """L33. Per contest: for each name, the share of caution rows of which its condition holds; e, the rows."""
+    on = [F.avg(F.when(c, 1.0).otherwise(0.0)).alias(name) for name, c in shares.items()]
+    return cautions.groupBy(key).agg(*on, F.count("*").alias("e"))
+
+
+def median_without(values: DataFrame, marked: DataFrame, value: str, group: str = "race_id", key: str = "driver_id", least: int = 3) -> DataFrame:
+    """L36. Of the groups with a marked row: the median of all values, and `without` the marked ones, with their numbers, where both have
+    `least` or more."""
+    c = marked.select(group, key).distinct().withColumn("_marked", F.lit(True))
+    t = values.join(c.select(group).distinct(), group, "left_semi").join(c, [group, key], "left")
+    rest = F.col("_marked").isNull()
+    g = t.groupBy(group).agg(F.median(value).alias("all"), F.percentile(F.when(rest, F.col(value)), F.lit(0.5)).alias("without"), F.count("*").alias("n_all"), F.count_if(rest).alias("n_without"))
+    return g.filter((F.col("n_all") >= least) & (F.col("n_without") >= least))

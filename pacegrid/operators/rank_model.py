@@ -356,3 +356,69 @@ def leaf_agreement(leaves: DataFrame, leaf: str, label: str) -> DataFrame:
     t = cells.join(rows).join(cols).join(pure)
     expected = F.col("i") * F.col("j") / two(F.col("n"))
     return t.select((F.col("m") / F.col("n")).alias("purity"), safe_div(F.col("ij") - expected, (F.col("i") + F.col("j")) / 2 - expected).alias("ari"))
+
+
+def predictor_bank(rows: DataFrame, bank: dict[str, Column], digits: int = 9) -> DataFrame:
+    """M08. race_id, predictor, rho, n: Spearman's correlation of each named predictor with the finish, on the same rows."""
+    of = F.array(*[F.struct(F.lit(n).alias("predictor"), F.round(c, digits).cast("double").alias("p")) for n, c in bank.items()])
+    long = rows.select("race_id", "finish", F.explode(of).alias("b")).select("race_id", "finish", "b.*")
+    return spearman_by(long, "p", "finish", ["race_id", "predictor"])
+
+
+def config_grid(rows: DataFrame, values: list[str], half_lives: list[int], burns: list[int], least: list[int], field: int = 5) -> DataFrame:
+    """M12. value, half_life, burn, least, mean_rho, n: the mean over contests of Spearman's correlation of a recency-weighted prior mean with
+    the finish, for every configuration, all over one history: after `burn` contests, of entrants with `least` earlier values, in
+    contests of `field` such."""
+    from .history import hl_mean_prior
+
+    t = rows.select("race_id", "race_seq", "driver_id", "finish", *[c for c in values if c != "finish"])
+    for v in values:
+        for hl in half_lives:
+            t = hl_mean_prior(t, F.col(v), f"_f_{v}_{hl}", ["driver_id"], ["race_seq"], hl, count=f"_n_{v}_{hl}")
+    bank = [F.struct(F.lit(v).alias("value"), F.lit(hl).alias("half_life"), F.round(f"_f_{v}_{hl}", 9).alias("f"), F.col(f"_n_{v}_{hl}").alias("k")) for v in values for hl in half_lives]
+    long = t.select("race_id", "race_seq", "finish", F.explode(F.array(*bank)).alias("b")).select("race_id", "race_seq", "finish", "b.*").filter("f is not null")
+    grid = F.array(*[F.struct(F.lit(b).alias("burn"), F.lit(k).alias("least")) for b in burns for k in least])
+    long = long.withColumn("g", F.explode(grid)).filter("race_seq > g.burn and k >= g.least").select("*", "g.*")
+    keys = ["value", "half_life", "burn", "least"]
+    rho = spearman_by(long, "f", "finish", [*keys, "race_id"], field).filter(F.col("n") >= field)
+    return rho.groupBy(*keys).agg(F.avg("rho").alias("mean_rho"), F.count("*").alias("n"))
+
+
+def by_type_summary(rho: DataFrame, group: str = "ttype", value: str = "rho") -> DataFrame:
+    """M13. By type: n, mean, sd, the standard error of the mean, the share of contests above zero, and its mean less that of all."""
+    every = F.avg(value).over(W.partitionBy())
+    t = rho.withColumn("_all", every)
+    g = t.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.avg(F.when(F.col(value) > 0, 1.0).when(F.col(value).isNotNull(), 0.0)).alias("positive"), F.max("_all").alias("_all"))
+    return g.select(group, "n", "mean", "sd", (F.col("sd") / F.sqrt("n")).alias("se"), "positive", (F.col("mean") - F.col("_all")).alias("over_all"))
+
+
+def pair_blend(pairs: DataFrame, families: DataFrame, overlap: int = 5, weight: float = 10, k: float = 5) -> DataFrame:
+    """M20. a, b, met, value: a pair's similarity drawn to the mean of its two families (venue, family) by weight / (weight + k); that mean
+    alone where the pair has too little overlap or weight, or no similarity."""
+    fam = lambda side, f: families.select(F.col("venue").alias(side), F.col("family").alias(f))
+    met = F.coalesce((F.col("overlap") >= overlap) & (F.col("weight") >= weight) & F.col("sim").isNotNull(), F.lit(False))
+    s = pairs.join(fam("a", "f1"), "a").join(fam("b", "f2"), "b").withColumns({"fa": F.least("f1", "f2"), "fb": F.greatest("f1", "f2"), "met": met})
+    t = s.join(s.groupBy("fa", "fb").agg(F.avg("sim").alias("pool")), ["fa", "fb"])
+    value = F.when(F.col("met"), (F.col("weight") * F.col("sim") + k * F.col("pool")) / (F.col("weight") + k)).otherwise(F.col("pool"))
+    return t.select("a", "b", "met", value.alias("value"))
+
+
+def edge_disagreements(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """M22. source, target, kind: 1, an edge between venues in the bottom half of each other's measured neighbours; 2, a top neighbour
+    without an edge. near: neighbours(); edges: source, target."""
+    n, e = near.withColumnsRenamed({"venue": "source", "other": "target"}), edges.select("source", "target")
+    one = n.filter("bottom_half").join(e, ["source", "target"], "left_semi").select("source", "target", F.lit(1).alias("kind"))
+    return one.unionByName(n.filter("top").join(e, ["source", "target"], "left_anti").select("source", "target", F.lit(2).alias("kind")))
+
+
+def edge_agreement(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """M23. venue, jaccard of its edges' targets and its top neighbours. A venue has few of both."""
+    a = edges.groupBy(F.col("source").alias("venue")).agg(F.collect_set("target").alias("a"))
+    b = near.filter("top").groupBy("venue").agg(F.collect_set("other").alias("b"))
+    return a.join(b, "venue").select("venue", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("jaccard"))
+
+
+def spec_trio(rho: DataFrame, excluded: Column, held_out: Column) -> DataFrame:
+    """M26. One row: the mean rho of all contests, of those not excluded, of those held out."""
+    on = lambda c: F.avg(F.when(c, F.col("rho")))
+    return rho.agg(F.avg("rho").alias("backtest"), on(~excluded).alias("without_excluded"), on(held_out).alias("held_out"))

@@ -169,6 +169,16 @@ def capture_debt(scored: DataFrame, priced: DataFrame, known: DataFrame, as_of:
     return t.select("scored", "priced", debt.alias("debt"), active.alias("active"), (active & (debt > red)).alias("red"))
 
 
+def pair_units(field: DataFrame, least_gap: int = 1) -> DataFrame:
+    """K01. Every pair of a contest, the smaller driver_id first: p_model that it is ahead, by utilities; p_base, by the better grid place
+    (see grid_base); outcome. Pairs that finish within less than `least_gap` places are left out. For aggregates; not to be stored."""
+    side = lambda k: field.select("race_id", "ttype", *[F.col(c).alias(f"{c}{k}") for c in ("driver_id", "u", "start", "finish")])
+    t = side(1).join(side(2), ["race_id", "ttype"]).filter((F.col("driver_id1") < F.col("driver_id2")) & (F.abs(F.col("finish1") - F.col("finish2")) >= least_gap))
+    ahead = F.when(F.col("finish1") < F.col("finish2"), 1.0).otherwise(0.0)
+    better = F.when(F.col("start1") < F.col("start2"), 1.0).when(F.col("start1") > F.col("start2"), 0.0).otherwise(0.5)
+    return t.select("race_id", "ttype", "driver_id1", "driver_id2", (1 / (1 + F.exp(F.col("u2") - F.col("u1")))).alias("p_model"), better.alias("better"), ahead.alias("outcome"))
+
+
 # Calibration. units: market, ttype, year, race_id, p_model, p_base, outcome (0 or 1).
 
 

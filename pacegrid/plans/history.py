@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import pearson
 from ..operators import history as H
 from .registry import query
 
@@ -157,7 +156,7 @@ def w14c(v):
 
 @query("w15_local_seq", "metric", "select venue, era_key, race_id, row_number() over (partition by venue, era_key order by race_seq) as local_seq from metric", METRIC)
 def w15(v):
-    return metric(v).select("venue", "era_key", "race_id", F.row_number().over(W.partitionBy("venue", "era_key").orderBy("race_seq")).alias("local_seq"))
+    return H.local_seq(metric(v), ["venue", "era_key"]).select("venue", "era_key", "race_id", "local_seq")
 
 
 STAND = {"stand": ("runs", """select *, row_number() over (partition by race_id order by points desc, driver_id) as standing from (select *,
@@ -178,47 +177,31 @@ def w16(v):
 
 @query("w17_expanding_prior_mean", "runs", """select race_id, driver_id, round(avg(finish) over (partition by year, driver_id order by race_seq rows between unbounded preceding and 1 preceding), 6) as season_mean from runs""")
 def w17(v):
-    w = W.partitionBy("year", "driver_id").orderBy("race_seq").rowsBetween(W.unboundedPreceding, -1)
-    return v.runs.select("race_id", "driver_id", F.round(F.avg("finish").over(w), 6).alias("season_mean"))
+    return H.expanding_prior_mean(v.runs, "finish", ["year", "driver_id"], "season_mean").select("race_id", "driver_id", *R6("season_mean"))
 
 
 @query("w18_baseline_spike", "season", """select cohort, count(*) as n, round(avg(d), 6) as mean_d, round(median(d), 6) as median_d, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) as t from (
  select year, driver_id, avg(case when in_last_wide then finish end) - avg(case when not in_last_wide then finish end) as d,
  case when max(case when in_last_wide then prior_standing end) <= 16 then 'in' else 'out' end as cohort from season group by 1, 2) where d is not null group by 1""", STAND)
 def w18(v):
-    late = F.col("in_last_wide")
-    d = season(v).groupBy("year", "driver_id").agg(
-        (F.avg(F.when(late, F.col("finish"))) - F.avg(F.when(~late, F.col("finish")))).alias("d"),
-        F.when(F.max(F.when(late, F.col("prior_standing"))) <= 16, "in").otherwise("out").alias("cohort"),
-    )
-    return d.filter("d is not null").groupBy("cohort").agg(
-        F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_d"), F.round(F.median("d"), 6).alias("median_d"),
-        F.round(F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*"))), 6).alias("t"),
-    )
+    return H.baseline_spike(season(v)).select("cohort", "n", *R6("mean_d", "median_d", "t"))
 
 
 @query("w19_bucket_rates", "season", """select case when abs(to_cut) <= 3 then 'near' when to_cut < 0 then 'safe' else 'far' end as bucket, count(*) as n,
  round(avg(case when status = 'accident' then 1.0::double else 0 end), 6) as crash_rate, round(avg(case when status <> 'running' then 1.0::double else 0 end), 6) as dnf_rate,
  round(corr(to_cut, case when status <> 'running' then 1 else 0 end), 6) as r from season where to_cut is not null group by 1""", STAND)
 def w19(v):
-    dnf = F.when(F.col("status") != "running", 1.0).otherwise(0.0)
-    bucket = F.when(F.abs("to_cut") <= 3, "near").when(F.col("to_cut") < 0, "safe").otherwise("far")
-    return season(v).filter("to_cut is not null").groupBy(bucket.alias("bucket")).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.when(F.col("status") == "accident", 1.0).otherwise(0.0)), 6).alias("crash_rate"),
-        F.round(F.avg(dnf), 6).alias("dnf_rate"), F.round(pearson(F.col("to_cut"), dnf), 6).alias("r"),
-    )
+    return H.bucket_rates(season(v)).select("bucket", "n", *R6("crash_rate", "dnf_rate", "r"))
 
 
 @query("w20_season_length", "contests", "select year, count(*) as races, count(*) filter (where month >= 9) as playoff_races, count(*) - count(*) filter (where month >= 9) as regular_races from contests group by 1")
 def w20(v):
-    late = F.count_if(F.col("month") >= 9)
-    return v.contests.groupBy("year").agg(F.count("*").alias("races"), late.alias("playoff_races"), (F.count("*") - late).alias("regular_races"))
+    return H.season_length(v.contests, F.col("month") >= 9)
 
 
 @query("w21_latest_board", "runs", "select race_id, driver_id, finish from runs where race_seq = (select max(race_seq) from runs) order by finish limit 21")
 def w21(v):
-    last = v.contests.agg(F.max("race_seq").alias("race_seq"))
-    return v.runs.join(F.broadcast(last), "race_seq").orderBy("finish").limit(21).select("race_id", "driver_id", "finish")
+    return H.latest_board(v.runs)
 
 
 PAIRS = {"h2h": ("runs", """select t.race_id, t.driver_id, case when n_prior < 5 or met = 0 then 0.5::double else won / met::double end as win_share, n_prior, won, met from (
@@ -241,12 +224,7 @@ def w22(v):
  from h2h a join h2h b on a.race_id = b.race_id and a.driver_id < b.driver_id join runs x on x.race_id = a.race_id and x.driver_id = a.driver_id join runs y on y.race_id = b.race_id and y.driver_id = b.driver_id
  where x.finish + 1 = y.finish or y.finish + 1 = x.finish""", PAIRS)
 def w23(v):
-    s = win_shares(v).select("race_id", "driver_id", "finish", "win_share")
-    nxt = W.partitionBy("race_id").orderBy("finish")
-    t = s.withColumns({"d2": F.lead("driver_id").over(nxt), "s2": F.lead("win_share").over(nxt)}).filter("d2 is not null")
-    first = F.col("driver_id") < F.col("d2")
-    a, b = F.when(first, F.col("win_share")).otherwise(F.col("s2")), F.when(first, F.col("s2")).otherwise(F.col("win_share"))
-    return t.select("race_id", F.least("driver_id", "d2").alias("a"), F.greatest("driver_id", "d2").alias("b"), F.round(F.when(a == b, 0.5).otherwise(a / (a + b)), 6).alias("p"))
+    return H.prior_pairs(win_shares(v)).select("race_id", "a", "b", *R6("p"))
 
 
 @query("z01_flag_rates", "runs p_d p_c p_m", """select t.race_id, t.driver_id, round(d, 6) as dnf_rate_h, round(c, 6) as crash_rate_h, round(m, 6) as mech_rate_h from runs t

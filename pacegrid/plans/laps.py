@@ -266,7 +266,7 @@ def l21(v):
 
 @query("l22_pit_duration", "pit_stops", "select race_id, round(median(pit_stop_duration), 6) as v, count(*) as e from pit_stops where pit_stop_duration > 0 group by 1")
 def l22(v):
-    return r6(v.pit_stops.filter("pit_stop_duration > 0").groupBy("race_id").agg(F.median("pit_stop_duration").alias("v"), F.count("*").alias("e")), "v")
+    return r6(L.duration_median(v.pit_stops), "v")
 
 
 WORDS = ("license", "copyright", "penalty", "speeding", "unsafe")
@@ -280,11 +280,7 @@ def notes(v):
 
 @query("l23_penalty_rate", "notes", "select source, round(avg(case when " + " or ".join(f"lower(note) like '%{w}%'" for w in WORDS) + " then 1.0::double else 0 end), 6) as v, count(*) as e from notes group by 1", NOTES)
 def l23(v):
-    low = F.lower("note")
-    hit = F.lit(False)
-    for w in WORDS:
-        hit = hit | low.contains(w)
-    return r6(notes(v).groupBy("source").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("v"), F.count("*").alias("e")), "v")
+    return r6(L.word_rate(notes(v), WORDS, key="source"), "v")
 
 
 PATHS = {"paths": ("pit_stops entries", """select race_id, driver_id, string_agg(n_tires || ':' || case when lap_count <= 3 then 1 when lap_count <= 6 then 2 else 4 end, ',' order by lap_count) as path
@@ -315,7 +311,7 @@ def l26(v):
 @query("l27_multi_entrant_notes", "", """select source, round(avg(len(ids)), 6) as v, count(*) as e from (select source, n_chars // 200 as b, list(distinct doc_id % 100) as ids from documents group by 1, 2) where len(ids) >= 3 group by 1""")
 def l27(v):
     t = v.table("documents").groupBy("source", F.floor(F.col("n_chars") / 200).alias("b")).agg(F.collect_set(F.col("doc_id") % 100).alias("ids"))
-    return r6(t.filter(F.size("ids") >= 3).groupBy("source").agg(F.avg(F.size("ids")).alias("v"), F.count("*").alias("e")), "v")
+    return r6(L.multi_entrant_notes(t, key="source"), "v")
 
 
 @query("l28_major_loss_tail", "green entries", """select race_id, round(avg(case when finish >= best + 15 then 1.0::double else 0 end), 6) as v, count(*) as e from (select race_id, driver_id, min(running_pos) as best from green group by 1, 2)
@@ -342,22 +338,20 @@ def l30(v):
 
 @query("l31_finish_spread", "entries", "select race_id, round(stddev_samp(finish - start), 6) as sd, round(avg(case when start > 20 then 1.0::double else 0 end) filter (where finish <= 10), 6) as deep_share from entries group by 1")
 def l31(v):
-    deep = F.when(F.col("finish") <= 10, F.when(F.col("start") > 20, 1.0).otherwise(0.0))
-    return r6(v.entries.groupBy("race_id").agg(F.stddev_samp(F.col("finish") - F.col("start")).alias("sd"), F.avg(deep).alias("deep_share")), "sd", "deep_share")
+    return r6(L.finish_spread(v.entries), "sd", "deep_share")
 
 
 @query("l32_dnf_rates", "runs", """select venue, era_key, count(*) as n, count(*) filter (where status = 'accident') as crashes, count(*) filter (where status = 'engine') as mech, round((2 + count(*) filter (where status <> 'running')) / (20 + count(*))::double, 6) as rate from runs group by 1, 2""")
 def l32(v):
-    out = F.count_if(F.col("status") != "running")
-    return r6(v.runs.groupBy("venue", "era_key").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "accident").alias("crashes"), F.count_if(F.col("status") == "engine").alias("mech"), ((out + 2) / (F.count("*") + 20)).alias("rate")), "rate")
+    return r6(L.dnf_rates(v.runs, ["venue", "era_key"]), "rate")
 
 
 @query("l33_caution_taxonomy", "laps lap_flags", """select race_id, round(avg(case when returnflag in ('R', 'A') then 1.0::double else 0 end), 6) as accident_share, round(avg(case when linestatus = 'F' then 1.0::double else 0 end), 6) as beneficiary_share, count(*) as e
  from laps join lap_flags using (race_id, lap) where flag_state = 2 group by 1""")
 def l33(v):
     t = v.laps.join(v.lap_flags.filter("flag_state = 2"), ["race_id", "lap"])
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return r6(t.groupBy("race_id").agg(share(F.col("returnflag").isin("R", "A")).alias("accident_share"), share(F.col("linestatus") == "F").alias("beneficiary_share"), F.count("*").alias("e")), "accident_share", "beneficiary_share")
+    shares = {"accident_share": F.col("returnflag").isin("R", "A"), "beneficiary_share": F.col("linestatus") == "F"}
+    return r6(L.caution_shares(t, shares), *shares)
 
 
 PREMIUM = {"parts": ("entries auto moves car pas", """select race_id, spearman, autocorr, retention, scarcity from (select race_id, case when count(*) >= 5 then corr(start, finish) end as spearman from entries group by 1)
@@ -415,19 +409,13 @@ CONTEND = {"cont": ("runs", """select race_id, driver_id from (select r.*, row_n
 
 def contenders(v):
     """The four best placed of each season's last contest."""
-    last = v.contests.groupBy("year").agg(F.max("race_id").alias("race_id")).select("race_id")
-    t = H.standings(v.runs).join(last, "race_id", "left_semi").withColumn("field", F.count("*").over(W.partitionBy("race_id")))
-    return t.filter("standing <= 4 and field >= 4").select("race_id", "driver_id")
+    return H.title_contenders(v.runs)
 
 
 @query("l36_contender_sensitivity", "slopes cont", """select race_id, round(median(slope), 6) as all_slope, round(median(slope) filter (where c.driver_id is null), 6) as without, count(*) as n_all, count(*) filter (where c.driver_id is null) as n_without
  from slopes s left join cont c using (race_id, driver_id) where race_id in (select race_id from cont) group by 1 having count(*) >= 3 and count(*) filter (where c.driver_id is null) >= 3""", CONTEND | SLOPES)
 def l36(v):
-    c = contenders(v).withColumn("top", F.lit(True))
-    t = slopes(v).join(c.select("race_id").distinct(), "race_id", "left_semi").join(c, ["race_id", "driver_id"], "left")
-    rest = F.col("top").isNull()
-    g = t.groupBy("race_id").agg(F.median("slope").alias("all_slope"), F.percentile(F.when(rest, F.col("slope")), F.lit(0.5)).alias("without"), F.count("*").alias("n_all"), F.count_if(rest).alias("n_without"))
-    return r6(g.filter("n_all >= 3 and n_without >= 3"), "all_slope", "without")
+    return r6(L.median_without(slopes(v), contenders(v), "slope").withColumnRenamed("all", "all_slope"), "all_slope", "without")
 
 
 @query("c24_title_contenders", "cont", "select race_id, driver_id from cont", CONTEND)

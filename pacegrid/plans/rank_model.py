@@ -108,10 +108,8 @@ _BANK = {"start": "start", "finish": "fin_h", "pace": "pace_h", "combined": "-(x
 @query("m08_predictor_bank", "mrows", " union all ".join(f"""select race_id, '{n}' as predictor, round(corr(a, b), 6) as rho from (select race_id, rank() over (partition by race_id order by p) + (count(*) over (partition by race_id, p) - 1) / 2.0::double as a, finish_rank as b
  from (select race_id, round({e}, 9) as p, rank() over (partition by race_id order by finish) as finish_rank from mrows)) group by race_id""" for n, e in _BANK.items()), ROWS)
 def m08(v):
-    t = model_rows(v)
-    bank = F.array(*[F.struct(F.lit(n).alias("predictor"), F.round(F.expr(e.replace("::double", "D")), 9).cast("double").alias("p")) for n, e in _BANK.items()])
-    long = t.select("race_id", "finish", F.explode(bank).alias("b")).select("race_id", "finish", "b.*")
-    return r6(M.spearman_by(long, "p", "finish", ["race_id", "predictor"]).select("race_id", "predictor", "rho"), "rho")
+    bank = {n: F.expr(e.replace("::double", "D")) for n, e in _BANK.items()}
+    return r6(M.predictor_bank(model_rows(v), bank).select("race_id", "predictor", "rho"), "rho")
 
 
 PAIRED = {"paired": ("mrows", """select race_id, round(c1 - c2, 6) as d from (select race_id, corr(rank_start, finish_rank) as c1, corr(rank_fin, finish_rank) as c2 from (select race_id,
@@ -163,27 +161,29 @@ def m11(v):
     return r6(M.two_sample(t, "d", "f").select("n1", "n2", "t", "u", "z"), "t", "u", "z")
 
 
-_GRID_SQL = " union all ".join(f"""select {hl} as half_life, round(avg(rho), 6) as mean_rho, count(*) as n from (select race_id, corr(a, b) as rho from (select t.race_id, rank() over (partition by t.race_id order by round(f, 9)) + (count(*) over (partition by t.race_id, round(f, 9)) - 1) / 2.0::double as a,
- rank() over (partition by t.race_id order by finish) as b from runs t join (select race_id, driver_id, sum(v * pow(2, -(nth - 1) / {hl}.0::double)) / sum(pow(2, -(nth - 1) / {hl}.0::double)) as f from (select t.race_id, t.driver_id, h.finish as v,
- row_number() over (partition by t.race_id, t.driver_id order by h.race_seq desc) as nth from runs t join runs h on h.driver_id = t.driver_id and h.race_seq < t.race_seq) group by 1, 2) p using (race_id, driver_id) where t.race_seq > 15) group by 1 having count(*) >= 5)""" for hl in (4, 8, 16))
+VALUES, HALF_LIVES, BURNS, LEAST = ["finish", "start", "laps_completed", "gain"], [2, 4, 8, 16], [10, 15], [1, 5]
+#: The prior mean in its self-join form, of every value and half-life; gain is start less finish.
+GRID = {
+ "gridrows": ("runs", "select *, start - finish as gain from runs"),
+ "priors": ("gridrows", " union all ".join(f"""select race_id, race_seq, finish, '{c}' as value, {hl} as half_life, round(sum(v * pow(2, -(nth - 1) / {hl}.0::double)) / sum(pow(2, -(nth - 1) / {hl}.0::double)), 9) as f, count(*) as k
+  from (select t.race_id, t.race_seq, t.driver_id, t.finish, h.{c} as v, row_number() over (partition by t.race_id, t.driver_id order by h.race_seq desc) as nth from gridrows t join gridrows h on h.driver_id = t.driver_id and h.race_seq < t.race_seq)
+  group by race_id, race_seq, driver_id, finish""" for c in VALUES for hl in HALF_LIVES)),
+}
 
 
-@query("m12_config_grid", "runs", _GRID_SQL)
+@query("m12_config_grid", "priors", f"""select value, half_life, burn, least, round(avg(rho), 6) as mean_rho, count(*) as n from (select value, half_life, burn, least, race_id, corr(a, b) as rho from (
+ select *, rank() over (w order by f) + (count(*) over (partition by value, half_life, burn, least, race_id, f) - 1) / 2.0::double as a, rank() over (w order by finish) as b
+ from priors, (select unnest({BURNS}) as burn), (select unnest({LEAST}) as least) where race_seq > burn and k >= least window w as (partition by value, half_life, burn, least, race_id))
+ group by all having count(*) >= 5) group by all""", GRID)
 def m12(v):
-    out = None
-    t = v.runs
-    for hl in (4, 8, 16):
-        t = H.hl_mean_prior(t, F.col("finish"), f"f{hl}", ["driver_id"], ["race_seq"], hl)
-    bank = F.array(*[F.struct(F.lit(hl).alias("half_life"), F.round(f"f{hl}", 9).alias("f")) for hl in (4, 8, 16)])
-    long = t.filter("race_seq > 15").select("race_id", "finish", F.explode(bank).alias("b")).select("race_id", "finish", "b.*")
-    out = M.spearman_by(long, "f", "finish", ["half_life", "race_id"], 5).filter("n >= 5")
-    return r6(out.groupBy("half_life").agg(F.avg("rho").alias("mean_rho"), F.count("*").alias("n")), "mean_rho")
+    rows = v.runs.withColumn("gain", F.col("start") - F.col("finish"))
+    return r6(M.config_grid(rows, VALUES, HALF_LIVES, BURNS, LEAST), "mean_rho")
 
 
-@query("m13_by_type_summary", "rho ci", "select ttype, round(mean, 6) as mean, n, round(hi - lo, 6) as width from ci", CI)
+@query("m13_by_type_summary", "rho", """select ttype, count(rho) as n, round(avg(rho), 6) as mean, round(stddev_samp(rho), 6) as sd, round(stddev_samp(rho) / sqrt(count(rho)), 6) as se,
+ round(avg(case when rho > 0 then 1.0::double else 0 end), 6) as positive, round(avg(rho) - (select avg(rho) from rho), 6) as over_all from rho where rho is not null group by 1""", RHO)
 def m13(v):
-    t = M.bootstrap_mean_ci(rho(v).drop("n"), "rho", "race_id", "ttype", reps=200)
-    return r6(t.select("ttype", "mean", "n", (F.col("hi") - F.col("lo")).alias("width")), "mean", "width")
+    return r6(M.by_type_summary(rho(v).select("ttype", "rho")), "mean", "sd", "se", "positive", "over_all")
 
 
 FACTORS = {"driver_id": 3.0, "team_name": 10.0, "make": 30.0}
@@ -258,12 +258,8 @@ BLEND = {"fam": ("sim contests", "select s.*, least(x.family, y.family) as fa, g
 
 @query("m20_pair_blend", "fam", """select a, b, met, round(case when met then (weight * sim + 5 * pool) / (weight + 5) else pool end, 5) as value from (select *, coalesce(overlap >= 5 and weight >= 10 and sim is not null, false) as met from fam) join (select fa, fb, avg(sim) as pool from fam group by 1, 2) using (fa, fb)""", BLEND)
 def m20(v):
-    fam = v.contests.select("venue", "family").distinct()
-    s = similarity(v).join(fam.select(F.col("venue").alias("a"), F.col("family").alias("f1")), "a").join(fam.select(F.col("venue").alias("b"), F.col("family").alias("f2")), "b")
-    s = s.withColumns({"fa": F.least("f1", "f2"), "fb": F.greatest("f1", "f2"), "met": F.coalesce((F.col("overlap") >= 5) & (F.col("weight") >= 10) & F.col("sim").isNotNull(), F.lit(False))})
-    t = s.join(s.groupBy("fa", "fb").agg(F.avg("sim").alias("pool")), ["fa", "fb"])
-    value = F.when(F.col("met"), (F.col("weight") * F.col("sim") + 5 * F.col("pool")) / (F.col("weight") + 5)).otherwise(F.col("pool"))
-    return t.select("a", "b", "met", F.round(value, 5).alias("value"))
+    t = M.pair_blend(similarity(v), v.contests.select("venue", "family").distinct())
+    return t.select("a", "b", "met", F.round("value", 5).alias("value"))
 
 
 NEAR = {"near": ("sim", "select venue, other, sim, row_number() over (partition by venue order by round(sim, 9) desc, other) as rank, count(*) over (partition by venue) as n from (select a as venue, b as other, sim from sim union all select b, a, sim from sim) where sim is not null"), **SIM}
@@ -291,17 +287,12 @@ def edges(v):
 @query("m22_edge_disagreements", "edges near", """select venue as source, other as target, 1 as kind from near join edges on source = venue and target = other where near.rank > n / 2.0::double
  union all select venue, other, 2 from near where near.rank <= 3 and not exists (select 1 from edges where source = venue and target = other)""", EDGES)
 def m22(v):
-    n, e = near(v).withColumnsRenamed({"venue": "source", "other": "target"}), edges(v).select("source", "target")
-    one = n.filter("bottom_half").join(e, ["source", "target"], "left_semi").select("source", "target", F.lit(1).alias("kind"))
-    two = n.filter("top").join(e, ["source", "target"], "left_anti").select("source", "target", F.lit(2).alias("kind"))
-    return one.unionByName(two)
+    return M.edge_disagreements(near(v), edges(v))
 
 
 @query("m23_edge_agreement", "edges near", """select venue, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double, 6) as jaccard from (select source as venue, list(target) as a from edges group by 1) join (select venue, list(other) as b from near where rank <= 3 group by 1) using (venue)""", EDGES)
 def m23(v):
-    a = edges(v).groupBy(F.col("source").alias("venue")).agg(F.collect_set("target").alias("a"))
-    b = near(v).filter("top").groupBy("venue").agg(F.collect_set("other").alias("b"))
-    return r6(a.join(b, "venue").select("venue", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("jaccard")), "jaccard")
+    return r6(M.edge_agreement(near(v), edges(v)), "jaccard")
 
 
 COVS = {"covs": ("entries contests", "select venue, name, value from (select venue, avg(laps_completed) as laps, count(*)::double / count(distinct race_id) as field from entries join contests using (race_id) group by 1) unpivot (value for name in (laps, field))")}
@@ -330,7 +321,6 @@ def m25(v):
 
 @query("m26_spec_trio", "rho", "select round(avg(rho), 6) as backtest, round(avg(rho) filter (where ttype <> 'SS'), 6) as without_excluded, round(avg(rho) filter (where race_id >= 200100), 6) as held_out from rho", RHO)
 def m26(v):
-    on = lambda c: F.avg(F.when(c, F.col("rho")))
-    return r6(rho(v).agg(F.avg("rho").alias("backtest"), on(F.col("ttype") != "SS").alias("without_excluded"), on(F.col("race_id") >= 200100).alias("held_out")), "backtest", "without_excluded", "held_out")
+    return r6(M.spec_trio(rho(v), F.col("ttype") == "SS", F.col("race_id") >= 200100), "backtest", "without_excluded", "held_out")
 
 
