@@ -305,7 +305,8 @@ def templates(pages: DataFrame, wrappers: DataFrame, share: float, least_pages:
     seen = rows.mapInPandas(run, "host string, page long, slot int, text long").distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
     seen = materialize(seen, "slot-texts")
     size = seen.filter("slot = -1").select("host", F.col("n").alias("pages")).filter(F.col("pages") >= least_pages)
-    often = seen.filter("slot >= 0").join(size, "host").filter(F.col("n") >= F.lit(share) * F.col("pages"))
+    # written, so that the join may split a large host; what is left of a host is small
+    often = materialize(seen.filter("slot >= 0").join(size, "host").filter(F.col("n") >= F.lit(share) * F.col("pages")).select("host", "slot", "text"), "template-texts")
     return often.groupBy("host").agg(F.collect_list("slot").alias("slots"), F.collect_list("text").alias("texts")).join(wrappers, "host")
 
 
