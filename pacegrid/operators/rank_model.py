@@ -123,8 +123,7 @@ def kendall_by(rows: DataFrame, a: str, b: str, key: str, group: list[str]) -> D
 
 def wilcoxon(rows: DataFrame, d: Column) -> DataFrame:
     """M09. One row: n of non-zero differences, W+, W-, z with the tie term, and the one-sided p of W+ (exact under 50 pairs)."""
-    t = rows.select(d.alias("d")).filter("d <> 0").withColumn("_one", F.lit(1))
-    t = t.withColumn("r", avg_rank(F.abs("d"), "_one"))
+    t = ranked(rows.select(d.cast("double").alias("d")).filter("d <> 0").withColumn("_a", F.abs("d")), "_a", [], name="r")
     ties = t.groupBy(F.abs("d").alias("x")).agg(F.count("*").alias("c")).agg(F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
     s = t.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.coalesce("ties", F.lit(0.0)) / 48
@@ -134,13 +133,15 @@ def wilcoxon(rows: DataFrame, d: Column) -> DataFrame:
 
 
 def bootstrap_mean_ci(rows: DataFrame, value: str, key: str, group: str, reps: int = 4000, level: float = 0.95, seed: int = 1) -> DataFrame:
-    """M10. Percentile interval of the mean per group. Row number floor(u * n) of each draw, u from md5(group, replicate, draw, seed)."""
+    """M10. Percentile interval of the mean per group. Row number floor(u * n) of each draw, u from md5(group, replicate, draw, seed).
+    The draws of a replicate are counted by row before they meet the rows, which are the groups' own (contests, not entrants)."""
     spark = rows.sparkSession
     t = rows.select(group, F.col(value).alias("v"), (F.row_number().over(W.partitionBy(group).orderBy(key)) - 1).alias("i"))
     n = t.groupBy(group).agg(F.count("*").alias("n"))
     draws = n.join(spark.range(reps).withColumnRenamed("id", "rep")).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     draws = draws.withColumn("i", F.floor(uniform(F.col(group), F.col("rep"), F.col("draw"), F.lit(seed)) * F.col("n")).cast("int"))
-    means = draws.join(t, [group, "i"]).groupBy(group, "rep").agg(F.avg("v").alias("m"))
+    times = draws.groupBy(group, "rep", "i").agg(F.count("*").alias("c"))
+    means = times.join(t, [group, "i"]).groupBy(group, "rep").agg((F.sum(F.col("c") * F.col("v")) / F.sum(F.when(F.col("v").isNotNull(), F.col("c")))).alias("m"))
     tail = (1 - level) / 2
     q = means.groupBy(group).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
     return t.groupBy(group).agg(F.avg("v").alias("mean"), F.count("*").alias("n")).join(q.select(group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")), group)

@@ -169,14 +169,33 @@ def capture_debt(scored: DataFrame, priced: DataFrame, known: DataFrame, as_of:
     return t.select("scored", "priced", debt.alias("debt"), active.alias("active"), (active & (debt > red)).alias("red"))
 
 
-def pair_units(field: DataFrame, least_gap: int = 1) -> DataFrame:
-    """K01. Every pair of a contest, the smaller driver_id first: p_model that it is ahead, by utilities; p_base, by the better grid place
-    (see grid_base); outcome. Pairs that finish within less than `least_gap` places are left out. For aggregates; not to be stored."""
-    side = lambda k: field.select("race_id", "ttype", *[F.col(c).alias(f"{c}{k}") for c in ("driver_id", "u", "start", "finish")])
-    t = side(1).join(side(2), ["race_id", "ttype"]).filter((F.col("driver_id1") < F.col("driver_id2")) & (F.abs(F.col("finish1") - F.col("finish2")) >= least_gap))
-    ahead = F.when(F.col("finish1") < F.col("finish2"), 1.0).otherwise(0.0)
-    better = F.when(F.col("start1") < F.col("start2"), 1.0).when(F.col("start1") > F.col("start2"), 0.0).otherwise(0.5)
-    return t.select("race_id", "ttype", "driver_id1", "driver_id2", (1 / (1 + F.exp(F.col("u2") - F.col("u1")))).alias("p_model"), better.alias("better"), ahead.alias("outcome"))
+def pair_units(field: DataFrame, floor: float = 0.001) -> DataFrame:
+    """K01, pairs. race_id, id, id2, p_model, p_base, outcome of every pair of a contest, the smaller driver_id first: that it is ahead, by
+    utilities and by earlier win shares. A contest of n entrants has n (n - 1) / 2 units, which the reports below only sum up."""
+    from .history import pair_prob
+
+    cut = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), F.round(c, 6)))
+    side = lambda k: field.select("race_id", *[F.col(c).alias(f"{c}{k}") for c in ("driver_id", "u", "win_share", "finish")])
+    t = side(1).join(side(2), "race_id").filter("driver_id1 < driver_id2")
+    return t.select(
+        "race_id", F.col("driver_id1").alias("id"), F.col("driver_id2").alias("id2"), cut(1 / (1 + F.exp(F.col("u2") - F.col("u1")))).alias("p_model"),
+        cut(pair_prob(F.col("win_share1"), F.col("win_share2"))).alias("p_base"), F.when(F.col("finish1") < F.col("finish2"), 1).otherwise(0).alias("outcome"),
+    )
+
+
+def entrant_units(probs: DataFrame, p: str, top: int, floor: float = 0.001) -> DataFrame:
+    """K01, win (top = 1) and top-N. The baseline is the same chance for each of the contest's entrants."""
+    n = F.count("*").over(W.partitionBy("race_id"))
+    cut = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), F.round(c, 6)))
+    base = F.least(F.lit(top), n).cast("double") / n
+    return probs.select("race_id", F.col("driver_id").alias("id"), F.lit(0).cast("long").alias("id2"), cut(F.col(p)).alias("p_model"), cut(base).alias("p_base"), F.when(F.col("finish") <= top, 1).otherwise(0).alias("outcome"))
+
+
+def unit_records(markets: dict[str, DataFrame]) -> DataFrame:
+    """K01. market, race_id, id, id2, p_model, p_base, outcome of the units of all markets."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [t.select(F.lit(m).alias("market"), "*") for m, t in markets.items()])
 
 
 # Calibration. units: market, ttype, year, race_id, p_model, p_base, outcome (0 or 1).

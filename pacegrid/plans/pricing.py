@@ -14,7 +14,8 @@ from .laps import r6
 from .rank_model import ROWS, model_rows
 from .registry import query
 
-DRAWS, REPS = 200, 100
+#: For these tables; the operators' own numbers are 40,000 and 10,000.
+DRAWS, REPS = 2000, 500
 _U = "(('0x' || substr(md5({k}), 1, 13))::ubigint)::double / 4503599627370496.0::double"
 FIELD = {"field": ("mrows entries", "select race_id, driver_id, ttype, m.finish, e.start, make, round(u, 9) as u from mrows m join entries e using (race_id, driver_id)"), **{k: x for k, x in ROWS.items()}}
 WIN = {"win": ("field", "select *, e / sum(e) over (partition by race_id) as p_win from (select *, exp(u - max(u) over (partition by race_id)) as e from field)"), **FIELD}
@@ -98,12 +99,10 @@ def p11(v):
     return r6(P.exact_vs_sampled(field(v), DRAWS), "p_win", "p_sampled")
 
 
-@query("p12_odds_sheet", "win field", """select w.race_id, 'win' as kind, w.start as grid, w.driver_id, null::bigint as other, round(p_win, 6) as p from win w join (select max(race_id) as race_id from win) using (race_id)
- union all select a.race_id, 'pair', a.start, a.driver_id, b.driver_id, round(1 / (1 + exp(b.u - a.u)), 6) from field a join field b on a.race_id = b.race_id and a.start < b.start where a.race_id = (select max(race_id) from field)""", WIN)
+@query("p12_odds_sheet", "win field", """select race_id, 'win' as kind, start as grid, driver_id, null::bigint as other, round(p_win, 6) as p from win
+ union all select a.race_id, 'pair', a.start, a.driver_id, b.driver_id, round(1 / (1 + exp(b.u - a.u)), 6) from field a join field b on a.race_id = b.race_id and a.start < b.start""", WIN)
 def p12(v):
-    f = field(v)
-    last = f.agg(F.max("race_id").alias("race_id"))
-    return r6(P.odds_sheet(f.join(last, "race_id", "left_semi")).select("race_id", "kind", "grid", "driver_id", "other", "p"), "p")
+    return r6(P.odds_sheet(field(v)).select("race_id", "kind", "grid", "driver_id", "other", "p"), "p")
 
 
 #: Quotes on neighbours in the previous contest's finish order, by hashes of the pair.
@@ -253,6 +252,11 @@ def d10(v):
     return s.select(F.col("look").cast("long").alias("look"), "N", "K", F.round("total", 4).alias("total"), F.round("p_boot", 6).alias("p_boot"), F.round("bound", 4).alias("bound"), ((F.col("K") >= 20) & (F.col("N") >= 100) & (F.col("bound") < 0)).alias("futile"))
 
 
+@query("d10_look_verdicts")
+def d10_verdicts(v):
+    return D.sequential_looks(graded(v), REPS).select(F.col("look").cast("long").alias("look"), "verdict", "standing")
+
+
 @query("d11_final_verdict", "looks", "select look, case when K < 20 then 'UNDERPOWERED' when p_boot <= 0.045 then 'EDGE' when N >= 200 then 'NO-EDGE' when N >= 100 and bound < 0 then 'NO-EDGE' else 'UNDERPOWERED' end as final from looks", LOOKS)
 def d11(v):
     s = D.sequential_looks(graded(v), REPS)
@@ -271,29 +275,28 @@ def d13(v):
     return D.capture_debt(c, c.filter("race_id % 3 <> 0"), c.filter("race_id % 4 <> 0").select("race_id"), as_of)
 
 
-UNITS = {"units": ("win field top h2h contests", """select u.*, c.ttype, c.year from (select 'win' as market, race_id, driver_id as id, greatest(0.001, least(0.999, round(p_win, 6))) as p_model, 0.1::double as p_base, case when finish = 1 then 1 else 0 end as outcome from win
- union all select 'top10', race_id, driver_id, round(p_top10, 6), 0.5::double, case when finish <= 10 then 1 else 0 end from top join field using (race_id, driver_id)
- union all select 'pair', a.race_id, a.driver_id, greatest(0.001, least(0.999, round(1 / (1 + exp(b.u - a.u)), 6))), greatest(0.001, least(0.999, round(case when x.win_share = y.win_share then 0.5 else x.win_share / (x.win_share + y.win_share) end, 6))), case when a.finish < b.finish then 1 else 0 end
-  from (select *, row_number() over (partition by race_id order by driver_id) as k from field) a join (select *, row_number() over (partition by race_id order by driver_id) as k from field) b on a.race_id = b.race_id and b.k = a.k + 1 join h2h x on x.race_id = a.race_id and x.driver_id = a.driver_id join h2h y on y.race_id = b.race_id and y.driver_id = b.driver_id) u join contests c using (race_id)"""), **WIN, **TOP, **PAIRS}
+_CUT = "greatest(0.001, least(0.999, round({p}, 6)))"
+UNITS = {"units": ("win field top h2h contests", f"""select u.*, c.ttype, c.year from (select 'win' as market, race_id, driver_id as id, 0::bigint as id2, {_CUT.format(p="p_win")} as p_model, {_CUT.format(p="1 / n::double")} as p_base, case when finish = 1 then 1 else 0 end as outcome
+  from (select *, count(*) over (partition by race_id) as n from win)
+ union all select 'top10', race_id, driver_id, 0, {_CUT.format(p="p_top10")}, {_CUT.format(p="least(10, n) / n::double")}, case when finish <= 10 then 1 else 0 end
+  from (select *, count(*) over (partition by race_id) as n from top join field using (race_id, driver_id)) where least({DRAWS} * p_top10, {DRAWS} * (1 - p_top10)) >= 25
+ union all select 'pair', a.race_id, a.driver_id, b.driver_id, {_CUT.format(p="1 / (1 + exp(b.u - a.u))")}, {_CUT.format(p="case when x.win_share = y.win_share then 0.5 else x.win_share / (x.win_share + y.win_share) end")}, case when a.finish < b.finish then 1 else 0 end
+  from field a join field b on a.race_id = b.race_id and a.driver_id < b.driver_id join h2h x on x.race_id = a.race_id and x.driver_id = a.driver_id join h2h y on y.race_id = b.race_id and y.driver_id = b.driver_id) u join contests c using (race_id)"""), **WIN, **TOP, **PAIRS}
 
 
 def units(v):
-    """K01. Win, top-10 and neighbour-pair units with model and baseline probabilities."""
+    """Win, decision-grade top-10 and all pair units with model and baseline probabilities."""
     f = field(v)
-    floor = lambda c: F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.round(c, 6)))
-    win = P.win_prob(f).select(F.lit("win").alias("market"), "race_id", F.col("driver_id").alias("id"), floor(F.col("p_win")).alias("p_model"), F.lit(0.1).alias("p_base"), F.when(F.col("finish") == 1, 1).otherwise(0).alias("outcome"))
-    top = P.topn_prob(P.draw_orders(f, DRAWS), DRAWS, [10]).join(f.select("race_id", "driver_id", "finish"), ["race_id", "driver_id"])
-    top = top.select(F.lit("top10").alias("market"), "race_id", F.col("driver_id").alias("id"), F.round("p_top10", 6).alias("p_model"), F.lit(0.5).alias("p_base"), F.when(F.col("finish") <= 10, 1).otherwise(0).alias("outcome"))
-    w = W.partitionBy("race_id").orderBy("driver_id")
-    s = f.join(win_shares(v).select("race_id", "driver_id", "win_share"), ["race_id", "driver_id"]).withColumns({c + "2": F.lead(c).over(w) for c in ("u", "finish", "win_share")}).filter("u2 is not null")
-    base = F.when(F.col("win_share") == F.col("win_share2"), 0.5).otherwise(F.col("win_share") / (F.col("win_share") + F.col("win_share2")))
-    pair = s.select(F.lit("pair").alias("market"), "race_id", F.col("driver_id").alias("id"), floor(1 / (1 + F.exp(F.col("u2") - F.col("u")))).alias("p_model"), floor(base).alias("p_base"), F.when(F.col("finish") < F.col("finish2"), 1).otherwise(0).alias("outcome"))
-    return win.unionByName(top).unionByName(pair).join(v.contests.select("race_id", "ttype", "year"), "race_id")
-
-
-@query("k01_unit_records", "units", "select market, race_id, id, round(p_model, 6) as p_model, round(p_base, 6) as p_base, outcome from units", UNITS)
+    top = D.entrant_units(P.topn_prob(P.draw_orders(f, DRAWS), DRAWS, [10]).join(f.select("race_id", "driver_id", "finish"), ["race_id", "driver_id"]), "p_top10", 10)
+    grade = P.mc_reliability(F.col("p_model"), DRAWS)["decision_grade"]  # the baseline counts all entrants, so the cut comes after
+    shares = f.join(win_shares(v).select("race_id", "driver_id", "win_share"), ["race_id", "driver_id"])
+    t = D.unit_records({"win": D.entrant_units(P.win_prob(f), "p_win", 1), "top10": top.filter(grade), "pair": D.pair_units(shares)})
+    return t.join(v.contests.select("race_id", "ttype", "year"), "race_id")
+
+
+@query("k01_unit_records", "units", "select market, race_id, id, id2, round(p_model, 6) as p_model, round(p_base, 6) as p_base, outcome from units", UNITS)
 def k01(v):
-    return r6(units(v).select("market", "race_id", "id", "p_model", "p_base", "outcome"), "p_model", "p_base")
+    return r6(units(v).select("market", "race_id", "id", "id2", "p_model", "p_base", "outcome"), "p_model", "p_base")
 
 
 _LL = "-(outcome * ln({p}) + (1 - outcome) * ln(1 - {p}))"
@@ -312,13 +315,13 @@ def k03(v):
 
 
 _EDGES = " ".join(f"when k < {i + 1} * n // 10 then {i}" for i in range(10))
-BINS = {"bins": ("units", f"select market, bin, count(*) as n, avg(p_model) as mean_pred, avg(outcome) as obs_freq from (select *, case {_EDGES} end as bin from (select *, row_number() over (partition by market order by p_model, race_id, id) - 1 as k, count(*) over (partition by market) as n from units)) group by 1, 2"), **UNITS}
+BINS = {"bins": ("units", f"select market, bin, count(*) as n, avg(p_model) as mean_pred, avg(outcome) as obs_freq from (select *, case {_EDGES} end as bin from (select *, row_number() over (partition by market order by p_model, race_id, id, id2) - 1 as k, count(*) over (partition by market) as n from units)) group by 1, 2"), **UNITS}
 LINE = {"line": ("bins", """select market, reliability, resolution, uncertainty, slope, (sy - slope * sx) / sw as intercept from (select *, (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0) as slope from (select market, sum(n * pow(mean_pred - obs_freq, 2)) / sum(n) as reliability, sum(n * pow(obs_freq - o, 2)) / sum(n) as resolution, max(o) * (1 - max(o)) as uncertainty,
  sum(n) as sw, sum(n * mean_pred) as sx, sum(n * obs_freq) as sy, sum(n * mean_pred * mean_pred) as sxx, sum(n * mean_pred * obs_freq) as sxy from (select *, sum(n * obs_freq) over (partition by market) / sum(n) over (partition by market) as o from bins) group by 1))"""), **BINS}
 
 
 def bins(v):
-    return D.equal_mass_bins(units(v), ["market"], ["race_id", "id"])
+    return D.equal_mass_bins(units(v), ["market"], ["race_id", "id", "id2"])
 
 
 @query("k04_equal_mass_bins", "bins", "select market, bin, n, round(mean_pred, 8) as mean_pred, round(obs_freq, 8) as obs_freq from bins", BINS)
