@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import Codes, materialize
 from .components import connected_components
-from .simhash import trie_pairs
+from .simhash import Union, trie_pairs
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ONES = np.uint64(0x0101010101010101)
-_CHECK = 2  # words of the fingerprint that go with each block
+_CHECK = 6  # words of the fingerprint that go with each block
 
 
 class Shingler:
@@ -91,7 +91,7 @@ class Layout:
         width = max(20, 2 * math.ceil(math.log2(max(2, rows)) / 2))
         hit = (1 - q) ** width + width * q * (1 - q) ** (width - 1)
         bits = 64 * _CHECK
-        return cls(width, max(1, math.ceil(math.log(missed) / math.log1p(-hit))), math.floor(bits * q + 4 * math.sqrt(bits * q * (1 - q))))
+        return cls(width, max(1, math.ceil(math.log(missed) / math.log1p(-hit))), math.floor(bits * q + 3.5 * math.sqrt(bits * q * (1 - q))))
 
     @property
     def longs(self) -> int:
@@ -106,10 +106,27 @@ class Layout:
         return group, value.reshape(n, self.blocks, 2)[:, :, ::-1].reshape(n, -1)
 
 
-def _like(size_a, size_b, check_a, check_b, similarity: float, limit: int) -> np.ndarray:
-    """Whether pairs can be at `similarity`, by their sizes and the check bits."""
-    near = np.bitwise_count(check_a ^ check_b).sum(1, dtype=np.int64) <= limit
-    return near & (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9)
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs that join what the given ones join, one less than there are nodes at most."""
+    names, at = np.unique(pairs, return_inverse=True)
+    sets = Union(len(names))
+    for i, j in at.reshape(-1, 2).tolist():
+        sets.join(i, j)
+    up = np.array([sets.find(k) for k in range(len(names))], np.int64)
+    moved = np.flatnonzero(up != np.arange(len(names)))
+    return np.stack([names[moved], names[up[moved]]], 1) if len(moved) else np.zeros((0, 2), np.int64)
+
+
+def _best(pairs: np.ndarray, apart: np.ndarray, most: int) -> np.ndarray:
+    """The pairs that are among the `most` nearest of either node."""
+    if not len(pairs):
+        return pairs
+    node, far = pairs.ravel(), np.repeat(apart, 2)
+    order = np.lexsort((far, node))
+    at = node[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return pairs[np.unique(order[rank < most] // 2)]
 
 
 def _dealt(nodes: DataFrame, layout: Layout) -> DataFrame:
@@ -129,22 +146,25 @@ def _dealt(nodes: DataFrame, layout: Layout) -> DataFrame:
     return nodes.select("node", "size", "component", "print").mapInPandas(run, f"g long, node long, size int, component long, code long, {checks}")
 
 
-def _pivots(dealt: DataFrame, similarity: float, limit: int, pivots: int) -> DataFrame:
-    """Candidates (a, b) between each node and the smallest nodes of its groups, one in each of `pivots` parts by hash."""
-    part = F.pmod(F.xxhash64("node"), F.lit(pivots))
-    first = dealt.groupBy("g", part.alias("part")).agg(F.min(F.struct("node", "size", *[f"c{i}" for i in range(_CHECK)])).alias("p")).select("g", "p")
+def _pivots(dealt: DataFrame, similarity: float, limit: int, pivots: int, turn: int) -> DataFrame:
+    """Candidates (a, b) of different components between each node and a few nodes of its groups: the first one by hash in each of
+    `pivots` parts. Each turn has other parts and another order."""
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots))
+    order = F.xxhash64("node", F.lit(-1 - turn)).alias("order")
+    first = dealt.groupBy("g", part.alias("part")).agg(F.min(F.struct(order, "node", "size", "component", *[f"c{i}" for i in range(_CHECK)])).alias("p")).select("g", "p")
     apart = sum((F.bit_count(F.col(f"c{i}").bitwiseXOR(F.col(f"p.c{i}"))) for i in range(_CHECK)), F.lit(0))
     fits = F.least("size", "p.size") >= F.lit(similarity) * F.greatest("size", "p.size") - 1e-9
-    t = dealt.join(first, "g").filter((F.col("node") != F.col("p.node")) & (apart <= limit) & fits)
+    t = dealt.join(first, "g").filter((F.col("component") != F.col("p.component")) & (apart <= limit) & fits)
     return t.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
 
 
-def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: int) -> DataFrame:
+def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: int, most: int | None) -> DataFrame:
     """Candidates (a, b) of different components, by the trie joins of each group.
 
     The component of a group's smallest node is at home there, and is not joined with itself. A group of more than `tile` rows is
     cut: its home rows and its other rows into tiles of about `tile` rows each, and a task's group is one tile of each kind, or two of
-    the others; a row is copied once for each tile that it meets."""
+    the others; a row is copied once for each tile that it meets. most: of a node, so many of the nearest by the check bits;
+    None: pairs that join what all candidates join, instead of those."""
     large = materialize(dealt.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("g"), "large-groups")
     zero = F.lit(0).cast("long")
     if large.isEmpty():
@@ -154,12 +174,7 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
         home = hot.groupBy("g").agg(F.min(F.struct("node", "component")).alias("m")).select("g", F.col("m.component").alias("home"))
         own = F.col("component") == F.col("home")
         tiles = hot.join(home, "g").groupBy("g", "home").agg(F.ceil(F.count_if(own) / tile).alias("t"), F.ceil(F.count_if(~own) / tile).alias("r")).filter("r > 0")
-        x, y = F.pmod(F.xxhash64("node"), F.col("t")), F.pmod(F.xxhash64("node"), F.col("r"))
-        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        place = lambda a, b, side, kind: F.struct(a.alias("x"), b.alias("y"), F.lit(side).alias("side"), F.lit(kind).alias("kind"))
-        rest = F.transform(upto(F.col("r")), lambda k: F.when(k == y, place(F.col("t") + k, k, 0, "self")).when(k < y, place(F.col("t") + k, y, 0, "two")).otherwise(place(F.col("t") + y, k, 1, "two")))
-        meets = F.when(own, F.transform(upto(F.col("r")), lambda k: place(x, k, 1, "two"))).otherwise(F.concat(F.transform(upto(F.col("t")), lambda k: place(k, y, 0, "two")), rest))
-        cut = hot.join(tiles, "g").withColumn("m", F.explode(meets)).select("g", "m.x", "m.y", "m.kind", _record(F.col("m.side")))
+        cut = hot.join(tiles, "g").withColumn("m", F.explode(_meets(own))).select("g", "m.x", "m.y", "m.kind", _record(F.col("m.side")))
         small = dealt.join(large, "g", "left_anti").select("g", zero.alias("x"), zero.alias("y"), F.lit("whole").alias("kind"), _record(F.lit(0)))
         rows = small.unionByName(cut)
     columns = ["node", "component", "size", "code", *[f"c{i}" for i in range(_CHECK)], "side"]
@@ -180,19 +195,34 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
                         c = col["component"][at : at + n]
                         side[at : at + n] = c == c[col["node"][at : at + n].argmin()]
                     meets += ([(2 * k, 2 * k)] if kind != "two" else []) + ([(2 * k + 1, 2 * k)] if kind != "self" else [])
-                found = []
+                found, far = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
                 for i, j in trie_pairs(col["code"].astype(np.uint64), list(range(half - 1, -1, -1)), 1, (2 * group + side).astype(np.uint64), meets=meets):
                     ok = col["component"][i] != col["component"][j]
                     i, j = i[ok], j[ok]
-                    ok = _like(col["size"][i], col["size"][j], check[i], check[j], similarity, limit)
+                    apart = np.bitwise_count(check[i] ^ check[j]).sum(1, dtype=np.int64)
+                    x, y = col["size"][i], col["size"][j]
+                    ok = (apart <= limit) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
                     p, q = col["node"][i[ok]], col["node"][j[ok]]
                     found.append(np.stack([np.maximum(p, q), np.minimum(p, q)], 1))
-                pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                    far.append(apart[ok])
+                pairs, at = np.unique(np.concatenate(found), axis=0, return_index=True)
+                pairs = _forest(pairs) if most is None else _best(pairs, np.concatenate(far)[at], most)
                 yield pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
 
     return sets.mapInPandas(join, "a long, b long").distinct()
 
 
+def _meets(own: Column) -> Column:
+    """The groups (x, y, side, kind) that a row is in, of t tiles of home rows (`own`) and r of others: each pair of a home and another
+    tile, each pair of two others, and each other tile with itself."""
+    t, r = F.col("t"), F.col("r")
+    x, y = F.pmod(F.xxhash64("node"), t), F.pmod(F.xxhash64("node"), r)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda a, b, side, kind: F.struct(a.alias("x"), b.alias("y"), F.lit(side).alias("side"), F.lit(kind).alias("kind"))
+    rest = F.transform(upto(r), lambda k: F.when(k == y, place(t + k, k, 0, "self")).when(k < y, place(t + k, y, 0, "two")).otherwise(place(t + y, k, 1, "two")))
+    return F.when(own, F.transform(upto(r), lambda k: place(x, k, 1, "two"))).otherwise(F.concat(F.transform(upto(t), lambda k: place(k, y, 0, "two")), rest))
+
+
 def _record(side: Column) -> Column:
     return F.struct("node", "component", "size", "code", *[f"c{i}" for i in range(_CHECK)], side.alias("side")).alias("r")
 
@@ -238,7 +268,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
     return both.mapInPandas(compare, "a long, b long")
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01, pivots: int = 4, tile: int = 4096) -> DataFrame:
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs have a Jaccard similarity of `similarity` or more: products of 0-1 matrices over the hashes that several sets have."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(n), size), times[at] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[at[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner, both = column[order], owner[order], np.zeros((n, n), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [k, k + 4096])
+        block = np.zeros((n, 4096), np.float32)
+        block[owner[a:b], column[a:b] - k] = 1
+        both += block @ block.T
+    either = size[:, None] + size[None] - both.astype(np.float64)
+    return both >= similarity * either - 1e-9
+
+
+def _compared(edges: DataFrame, named: DataFrame, texts: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
+    """Links (a, b) between nodes of different components that the candidate graph joins, by comparing all of them exactly.
+
+    The most frequent component of a part of that graph is at home there, and only others are compared with it and with each other: a
+    task has two tiles of shingle sets, a set is copied once for each tile that it meets, and no pair is a row."""
+    of = materialize(connected_components(edges).withColumnRenamed("component", "part"), "parts")
+    rows = materialize(of.join(named.select("node", "component", "least"), "node"), "members")
+    sizes = rows.groupBy("part", "component").agg(F.count("*").alias("n"))
+    home = sizes.groupBy("part").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    tiles = home.select("part", F.col("m.component").alias("home"), F.ceil(F.col("m.n") / tile).alias("t"), F.ceil((F.col("all") - F.col("m.n")) / tile).alias("r")).filter("r > 0")
+    placed = materialize(rows.join(tiles, "part").select("part", "node", "component", F.col("least").alias("doc_id"), "home", "t", "r"), "placed")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for b in batches:
+            sets = [shingler(t) for t in b["text"]]
+            own = [k for k, (s, n) in enumerate(zip(sets, b["node"])) if set_id(s) == n]
+            yield pd.DataFrame({"node": b["node"].iloc[own], "hashes": [sets[k].tobytes() for k in own]})
+
+    sets = materialize(texts.join(placed.select("doc_id", "node"), "doc_id").mapInPandas(read, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    dealt = placed.withColumn("m", F.explode(_meets(F.col("component") == F.col("home")))).select(F.xxhash64("part", "m.x", "m.y").alias("key"), "m.kind", "m.side", "node", "component")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        ok = alike([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], similarity)
+        component, side, node = (pdf[c].to_numpy() for c in ("component", "side", "node"))
+        ok &= component[:, None] != component
+        if pdf["kind"].iloc[0] == "two":
+            ok &= side[:, None] != side
+        pairs = _forest(np.stack(np.nonzero(np.triu(ok)), 1))
+        return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]}).astype("int64")
+
+    return dealt.join(sets, "node").groupBy("key", "kind").applyInPandas(compare, "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01, pivots: int = 4, turns: int = 1, nearest: tuple[int, ...] = (4,), tile: int = 4096) -> DataFrame:
     """doc_id, stays: for each row with a doc_id, the smallest doc_id of its group. Links join texts whose sets of `words`-word shingles
     have a Jaccard similarity of `similarity` or more; texts without words are one group. missed: the chance that a pair at exactly
     `similarity` is no candidate; nearer pairs are missed far less. Only doc_id and text are read."""
@@ -255,11 +337,20 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     nodes = materialize(signs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print")), "nodes")
     some = nodes.filter("size > 0")
     few = Layout(layout.width, min(6, layout.blocks), layout.limit)  # enough to join most of a large group; the rest is found across
-    links = materialize(_verified(_pivots(_dealt(some.withColumn("component", F.col("node")), few), similarity, layout.limit, pivots), texts, nodes, words, similarity), "links")
-    of = materialize(connected_components(links), "components")
-    named = some.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = _verified(_across(_dealt(named, layout), layout.width // 2, similarity, layout.limit, tile), texts, nodes, words, similarity)
-    found = connected_components(links.unionByName(more))
+    named, links = some.withColumn("component", F.col("node")), None
+    for turn in range(turns):
+        new = _verified(_pivots(_dealt(named, few), similarity, layout.limit, pivots, turn), texts, nodes, words, similarity)
+        links = materialize(new if links is None else links.unionByName(new), "links")
+        of = materialize(connected_components(links), "components")
+        named = some.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    half = layout.width // 2
+    for most in nearest:  # what a node's nearest candidates join needs none of the others
+        new = _verified(_across(_dealt(named, layout), half, similarity, layout.limit, tile, most), texts, nodes, words, similarity)
+        links = materialize(links.unionByName(new), "links")
+        of = materialize(connected_components(links), "components")
+        named = some.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    edges = _across(_dealt(named, layout), half, similarity, layout.limit, tile, None)
+    found = connected_components(links.unionByName(_compared(edges, named, texts, words, similarity, min(tile, 256))))
     roots = materialize(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("stays"))
     return signs.select("doc_id", "node").join(roots.join(least, "root").select("node", "stays"), "node").select("doc_id", "stays")
