@@ -117,16 +117,23 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([names[moved], names[up[moved]]], 1) if len(moved) else np.zeros((0, 2), np.int64)
 
 
-def _best(pairs: np.ndarray, apart: np.ndarray, most: int) -> np.ndarray:
-    """The pairs that are among the `most` nearest of either node."""
-    if not len(pairs):
-        return pairs
-    node, far = pairs.ravel(), np.repeat(apart, 2)
-    order = np.lexsort((far, node))
-    at = node[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    return pairs[np.unique(order[rank < most] // 2)]
+def _spanning(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which links (a, b) make a minimum spanning forest of them: each part takes its nearest link, until none leads out of its part."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    left, of, kept = np.lexsort((b, a, apart)), np.arange(len(names)), [np.zeros(0, np.int64)]
+    sets = Union(len(names))
+    while len(left):
+        left = left[of[x[left]] != of[y[left]]]
+        first = np.full(len(names), len(left))
+        for ends in (x, y):
+            np.minimum.at(first, of[ends[left]], np.arange(len(left)))
+        chosen = left[np.unique(first[first < len(left)])]
+        for i, j in zip(x[chosen].tolist(), y[chosen].tolist()):
+            sets.join(i, j)
+        kept.append(chosen)
+        of = np.array([sets.find(k) for k in of.tolist()], np.int64)
+    return np.concatenate(kept)
 
 
 def _dealt(nodes: DataFrame, layout: Layout) -> DataFrame:
@@ -158,13 +165,13 @@ def _pivots(dealt: DataFrame, similarity: float, limit: int, pivots: int, turn:
     return t.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
 
 
-def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: int, most: int | None) -> DataFrame:
+def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: int, every: bool) -> DataFrame:
     """Candidates (a, b) of different components, by the trie joins of each group.
 
     The component of a group's smallest node is at home there, and is not joined with itself. A group of more than `tile` rows is
     cut: its home rows and its other rows into tiles of about `tile` rows each, and a task's group is one tile of each kind, or two of
-    the others; a row is copied once for each tile that it meets. most: of a node, so many of the nearest by the check bits;
-    None: pairs that join what all candidates join, instead of those."""
+    the others; a row is copied once for each tile that it meets. Of the candidates of a task's groups only a forest is returned:
+    every: one that joins all nodes that they join; else the nearest by the check bits that join all components that they join."""
     large = materialize(dealt.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("g"), "large-groups")
     zero = F.lit(0).cast("long")
     if large.isEmpty():
@@ -182,6 +189,10 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
     sets = rows.groupBy(key, "g", "x", "y", "kind").agg(F.collect_list("r").alias("rows")).filter(F.size("rows") > 1)
     sets = sets.select("kind", *[F.col(f"rows.{c}").alias(c) for c in columns])
 
+    def thinned(pairs: np.ndarray) -> np.ndarray:
+        ends = pairs[:, :2] if every else pairs[:, 3:]
+        return pairs[_spanning(ends[:, 0], ends[:, 1], pairs[:, 2])]
+
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in _portions(b, 1 << 17):
@@ -195,7 +206,7 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
                         c = col["component"][at : at + n]
                         side[at : at + n] = c == c[col["node"][at : at + n].argmin()]
                     meets += ([(2 * k, 2 * k)] if kind != "two" else []) + ([(2 * k + 1, 2 * k)] if kind != "self" else [])
-                found, far = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+                found, waiting = np.zeros((0, 5), np.int64), []
                 for i, j in trie_pairs(col["code"].astype(np.uint64), list(range(half - 1, -1, -1)), 1, (2 * group + side).astype(np.uint64), meets=meets):
                     ok = col["component"][i] != col["component"][j]
                     i, j = i[ok], j[ok]
@@ -203,11 +214,11 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
                     x, y = col["size"][i], col["size"][j]
                     ok = (apart <= limit) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
                     p, q = col["node"][i[ok]], col["node"][j[ok]]
-                    found.append(np.stack([np.maximum(p, q), np.minimum(p, q)], 1))
-                    far.append(apart[ok])
-                pairs, at = np.unique(np.concatenate(found), axis=0, return_index=True)
-                pairs = _forest(pairs) if most is None else _best(pairs, np.concatenate(far)[at], most)
-                yield pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+                    waiting.append(np.stack([p, q, apart[ok], col["component"][i[ok]], col["component"][j[ok]]], 1))
+                    if sum(map(len, waiting)) > 1 << 20:
+                        found, waiting = thinned(np.concatenate([found, *waiting])), []
+                found = thinned(np.concatenate([found, *waiting]))[:, :2]
+                yield pd.DataFrame({"a": found.max(1, initial=np.iinfo(np.int64).min), "b": found.min(1, initial=np.iinfo(np.int64).max)})
 
     return sets.mapInPandas(join, "a long, b long").distinct()
 
@@ -320,7 +331,7 @@ def _compared(edges: DataFrame, named: DataFrame, texts: DataFrame, words: int,
     return dealt.join(sets, "node").groupBy("key", "kind").applyInPandas(compare, "a long, b long")
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01, pivots: int = 4, turns: int = 1, nearest: tuple[int, ...] = (4,), tile: int = 4096) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01, pivots: int = 4, turns: int = 1, nearest: int = 1, tile: int = 4096) -> DataFrame:
     """doc_id, stays: for each row with a doc_id, the smallest doc_id of its group. Links join texts whose sets of `words`-word shingles
     have a Jaccard similarity of `similarity` or more; texts without words are one group. missed: the chance that a pair at exactly
     `similarity` is no candidate; nearer pairs are missed far less. Only doc_id and text are read."""
@@ -344,12 +355,12 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         of = materialize(connected_components(links), "components")
         named = some.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     half = layout.width // 2
-    for most in nearest:  # what a node's nearest candidates join needs none of the others
-        new = _verified(_across(_dealt(named, layout), half, similarity, layout.limit, tile, most), texts, nodes, words, similarity)
+    for _ in range(nearest):  # what the nearest candidates join needs none of the others
+        new = _verified(_across(_dealt(named, layout), half, similarity, layout.limit, tile, False), texts, nodes, words, similarity)
         links = materialize(links.unionByName(new), "links")
         of = materialize(connected_components(links), "components")
         named = some.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    edges = _across(_dealt(named, layout), half, similarity, layout.limit, tile, None)
+    edges = _across(_dealt(named, layout), half, similarity, layout.limit, tile, True)
     found = connected_components(links.unionByName(_compared(edges, named, texts, words, similarity, min(tile, 256))))
     roots = materialize(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("stays"))
