@@ -165,13 +165,13 @@ def _pivots(dealt: DataFrame, similarity: float, limit: int, pivots: int, turn:
     return t.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
 
 
-def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: int, every: bool) -> DataFrame:
+def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: int) -> DataFrame:
     """Candidates (a, b) of different components, by the trie joins of each group.
 
     The component of a group's smallest node is at home there, and is not joined with itself. A group of more than `tile` rows is
     cut: its home rows and its other rows into tiles of about `tile` rows each, and a task's group is one tile of each kind, or two of
-    the others; a row is copied once for each tile that it meets. Of the candidates of a task's groups only a forest is returned:
-    every: one that joins all nodes that they join; else the nearest by the check bits that join all components that they join."""
+    the others; a row is copied once for each tile that it meets. Of the candidates of a task's groups only a forest is returned, of
+    the nearest by the check bits, that joins all nodes that they join."""
     large = materialize(dealt.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("g"), "large-groups")
     zero = F.lit(0).cast("long")
     if large.isEmpty():
@@ -190,8 +190,7 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
     sets = sets.select("kind", *[F.col(f"rows.{c}").alias(c) for c in columns])
 
     def thinned(pairs: np.ndarray) -> np.ndarray:
-        ends = pairs[:, :2] if every else pairs[:, 3:]
-        return pairs[_spanning(ends[:, 0], ends[:, 1], pairs[:, 2])]
+        return pairs[_spanning(pairs[:, 0], pairs[:, 1], pairs[:, 2])]
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -206,7 +205,7 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
                         c = col["component"][at : at + n]
                         side[at : at + n] = c == c[col["node"][at : at + n].argmin()]
                     meets += ([(2 * k, 2 * k)] if kind != "two" else []) + ([(2 * k + 1, 2 * k)] if kind != "self" else [])
-                found, waiting = np.zeros((0, 5), np.int64), []
+                found, waiting = np.zeros((0, 3), np.int64), []
                 for i, j in trie_pairs(col["code"].astype(np.uint64), list(range(half - 1, -1, -1)), 1, (2 * group + side).astype(np.uint64), meets=meets):
                     ok = col["component"][i] != col["component"][j]
                     i, j = i[ok], j[ok]
@@ -214,7 +213,7 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
                     x, y = col["size"][i], col["size"][j]
                     ok = (apart <= limit) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
                     p, q = col["node"][i[ok]], col["node"][j[ok]]
-                    waiting.append(np.stack([p, q, apart[ok], col["component"][i[ok]], col["component"][j[ok]]], 1))
+                    waiting.append(np.stack([p, q, apart[ok]], 1))
                     if sum(map(len, waiting)) > 1 << 20:
                         found, waiting = thinned(np.concatenate([found, *waiting])), []
                 found = thinned(np.concatenate([found, *waiting]))[:, :2]
@@ -331,7 +330,16 @@ def _compared(edges: DataFrame, named: DataFrame, texts: DataFrame, words: int,
     return dealt.join(sets, "node").groupBy("key", "kind").applyInPandas(compare, "a long, b long")
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01, pivots: int = 4, turns: int = 1, nearest: int = 1, tile: int = 4096) -> DataFrame:
+def _merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """`named` with each component that the links (a, b) join named by the smallest of them: the links are followed from component to
+    component, so what earlier links joined is not followed again."""
+    at = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    of = connected_components(ends).filter("node <> component").select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return named.join(materialize(of, "components"), "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01, pivots: int = 4, turns: int = 1, tile: int = 4096) -> DataFrame:
     """doc_id, stays: for each row with a doc_id, the smallest doc_id of its group. Links join texts whose sets of `words`-word shingles
     have a Jaccard similarity of `similarity` or more; texts without words are one group. missed: the chance that a pair at exactly
     `similarity` is no candidate; nearer pairs are missed far less. Only doc_id and text are read."""
@@ -346,23 +354,14 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     signs = materialize(texts.mapInPandas(sign, "doc_id long, node long, size int, print binary"), "signs")
     nodes = materialize(signs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print")), "nodes")
-    some = nodes.filter("size > 0")
+    named = nodes.withColumn("component", F.col("node"))
     few = Layout(layout.width, min(6, layout.blocks), layout.limit)  # enough to join most of a large group; the rest is found across
-    named, links = some.withColumn("component", F.col("node")), None
     for turn in range(turns):
-        new = _verified(_pivots(_dealt(named, few), similarity, layout.limit, pivots, turn), texts, nodes, words, similarity)
-        links = materialize(new if links is None else links.unionByName(new), "links")
-        of = materialize(connected_components(links), "components")
-        named = some.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    half = layout.width // 2
-    for _ in range(nearest):  # what the nearest candidates join needs none of the others
-        new = _verified(_across(_dealt(named, layout), half, similarity, layout.limit, tile, False), texts, nodes, words, similarity)
-        links = materialize(links.unionByName(new), "links")
-        of = materialize(connected_components(links), "components")
-        named = some.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    edges = _across(_dealt(named, layout), half, similarity, layout.limit, tile, True)
-    found = connected_components(links.unionByName(_compared(edges, named, texts, words, similarity, min(tile, 256))))
-    roots = materialize(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "roots")
+        near = _pivots(_dealt(named.filter("size > 0"), few), similarity, layout.limit, pivots, turn)
+        named = _merged(named, materialize(_verified(near, texts, nodes, words, similarity), "links"))
+    edges = _across(_dealt(named.filter("size > 0"), layout), layout.width // 2, similarity, layout.limit, tile)
+    named = _merged(named, materialize(_compared(edges, named, texts, words, similarity, min(tile, 256)), "links"))
+    roots = materialize(named.select("node", "least", F.col("component").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("stays"))
     return signs.select("doc_id", "node").join(roots.join(least, "root").select("node", "stays"), "node").select("doc_id", "stays")
 
