@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language, packing, quality, sharding, simhash, token_files, toxicity, wrappers
+from . import decontaminate, embeddings, language, licences, merkle, packing, quality, sharding, simhash, token_files, toxicity, whitening, wrappers
 from .common import fold
 
 
@@ -63,6 +63,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), fanout=2)
+
+
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licences.with_licences(docs.select("doc_id", "text"), licences.fit(docs)).select("doc_id", "licence.*")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +95,9 @@ QUERIES = {
         op8_language_id,
         op9_sharding,
         op10_toxicity,
+        op11_merkle_manifest,
+        op12_licence_scan,
+        op13_embedding_whitening,
         pipeline,
     )
 }
@@ -95,4 +111,29 @@ ORACLE_SQL: dict[str, str] = {
  reach(r, o) as (select a, b from links union select reach.r, links.b from reach join links on links.a = reach.o)
  select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(least(low, vec_id), vec_id) as component_id, coalesce(least(low, vec_id), vec_id) is not distinct from vec_id as kept
  from v left join (select a, count(*) as n from links group by 1) c on c.a = v.r left join (select reach.r, min(w.vec_id) as low from reach join v w on w.r = reach.o group by 1) m on m.r = v.r""",
+    # every level of every tree, then each leaf's run at each level; CRC-32 goes bit by bit over the decimal id
+    "op11_merkle_manifest": """with recursive field as (select row_number() over () as r, doc_id, lang, n_chars,
+  coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as before,
+  coalesce(strlen(text) || ':' || text, '-') as after,
+  list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_transform(range(8), lambda k: (ascii(c)::bigint >> k) & 1)))),
+   lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)) as crc from documents),
+ hashed as (select r, doc_id, lang, sha256(before || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || after) as leaf,
+  sha256(before || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || after) as changed, coalesce(xor(crc, 4294967295) % 7 = 0, false) as hit from field),
+ leaves as (select *, (row_number() over (partition by lang order by doc_id nulls first, leaf) - 1)::bigint as i, count(*) over (partition by lang) as n from hashed),
+ tree as (select lang, 0 as l, i, leaf as h, n from leaves
+  union all select lang, l + 1, i // 2, sha256(string_agg(h, '' order by i)), ceil(any_value(n) / 2)::bigint from tree where n > 1 group by lang, l, i // 2),
+ subroots as (select lang, h as subroot, (row_number() over (order by lang nulls first) - 1)::bigint as i, count(*) over () as n from tree where n = 1),
+ top as (select 0 as l, i, subroot as h, n from subroots
+  union all select l + 1, i // 2, sha256(string_agg(h, '' order by i)), ceil(any_value(n) / 2)::bigint from top where n > 1 group by l, i // 2),
+ climb as (select a.r, t.l as l, coalesce(s.h, '') as sibling, (a.i >> t.l) & 1 as side
+   from leaves a join (select distinct lang, l from tree where n > 1) t on a.lang is not distinct from t.lang left join tree s on s.lang is not distinct from a.lang and s.l = t.l and s.i = xor(a.i >> t.l, 1)
+  union all select a.r, 1000 + t.l, coalesce(s.h, ''), (u.i >> t.l) & 1
+   from leaves a join subroots u on a.lang is not distinct from u.lang cross join (select distinct l from top where n > 1) t left join top s on s.l = t.l and s.i = xor(u.i >> t.l, 1)),
+ path as (select r, row_number() over (partition by r order by l) as step, sibling, side from climb),
+ fold as (select r, 0::bigint as step, case when hit then changed else leaf end as h from leaves
+  union all select f.r, p.step, sha256(case when p.side = 1 then p.sibling || f.h else f.h || p.sibling end) from fold f join path p on p.r = f.r and p.step = f.step + 1),
+ proof as (select r, sha256(string_agg(sibling, '' order by step)) as proof_sha256 from path group by r)
+ select a.doc_id, a.leaf, u.subroot, t.h as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, f.h as folded_root, f.h = t.h as verified
+ from leaves a join subroots u on a.lang is not distinct from u.lang cross join (select h from top where n = 1) t left join proof p on p.r = a.r
+ join (select r, max_by(h, step) as h from fold group by r) f on f.r = a.r""",
 }
