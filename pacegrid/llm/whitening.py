@@ -146,7 +146,8 @@ def _added(parts: DataFrame, kind: type) -> dict[str, np.ndarray]:
             for key, v in zip(b["key"], b["v"]):
                 x = np.frombuffer(v, kind)
                 sums[key] = sums[key] + x if key in sums else x
-        yield pd.DataFrame({"key": list(sums), "v": [x.tobytes() for x in sums.values()]})
+        if sums:  # an empty frame has no kind of its own
+            yield pd.DataFrame({"key": list(sums), "v": [x.tobytes() for x in sums.values()]})
 
     spread = F.pmod(F.xxhash64(F.col("key"), F.monotonically_increasing_id()), F.lit(32))
     some = parts.withColumn("salt", spread).repartition("key", "salt").select("key", "v").mapInPandas(add, "key string, v binary")

@@ -68,6 +68,15 @@ def test_whitened_rows_are_those_of_a_plain_computation(spark):
     assert got["identity_error"].nunique() == 1 and got["identity_error"].iloc[0] < 1e-9
 
 
+def test_partitions_without_rows(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(k, [float(k), float(k * k)]) for k in range(5)], "vec_id long, embedding array<float>").repartition(9)
+        assert whitening.whiten(df).count() == 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_degenerate_tables(spark):
     schema = "vec_id long, embedding array<double>"
     assert whitening.whiten(spark.createDataFrame([], schema)).count() == 0
