@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.inversions import discordant, pair_counts
+from ..sources.shared import materialize
+
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], group: str, tolerant: dict[str, float] | None = None) -> DataFrame:
     """Q01. Cell by cell: per group the cells compared, exact ones, those within tolerance alone, and the verdict pass, pass-with-note or fail.
@@ -54,14 +57,14 @@ def feature_parity(a: DataFrame, b: DataFrame, keys: list[str], columns: list[st
     return t.select(*keys, F.explode(F.array(*rows)).alias("m")).select(*keys, "m.*").filter("kind is not null")
 
 
-def discordant_pairs(scores: DataFrame, group: str, key: str, a: str, b: str, tol: float = 1e-7) -> DataFrame:
-    """Q04. Per group: pairs that two scores order differently, and those of them that are near ties of either."""
-    x = scores.select(group, F.col(key).alias("k1"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    y = scores.select(group, F.col(key).alias("k2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    da, db = F.col("a1") - F.col("a2"), F.col("b1") - F.col("b2")
-    off = F.signum(da.cast("double")) != F.signum(db.cast("double"))
-    near = (F.abs(da) < tol) | (F.abs(db) < tol)
-    return x.join(y, group).filter("k1 < k2").groupBy(group).agg(F.count("*").alias("pairs"), F.count_if(off).alias("discordant"), F.count_if(off & near).alias("near_ties"))
+def discordant_pairs(scores: DataFrame, group: str, a: str, b: str, tol: float = 1e-7) -> DataFrame:
+    """Q04. Per group of two rows or more: its pairs, those that two scores order differently (a tie of one alone is such a pair), and those of them that are
+    near ties, under tol apart in either. By counts of inversions and ties; no pair is formed. Rows without either score are left out."""
+    t = materialize(scores.select(group, F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")), "scores")
+    far = discordant(t, "_x", "_y", [group], gap=tol).withColumnRenamed("discordant", "_far")
+    off = F.col("pairs") - F.col("concordant") - F.col("tied_both")
+    c = pair_counts(t, "_x", "_y", [group]).filter("pairs > 0").join(far, group)
+    return c.select(group, "pairs", off.alias("discordant"), (off - F.col("_far")).alias("near_ties"))
 
 
 def one_winner(df: DataFrame, group: str, rank: str) -> DataFrame:

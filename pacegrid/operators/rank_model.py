@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.inversions import pair_counts, tied_pairs
 from ..functions.ranks import ranked
 from ..functions.stats import avg_rank, pearson, safe_div, signed_rank_sf, student_sf, uniform
 from ..sources.shared import materialize
@@ -111,12 +112,14 @@ def spearman_by(rows: DataFrame, a: str, b: str, group: list[str], least: int =
     return t.groupBy(*group).agg(F.when(F.count("*") >= least, pearson(F.col("_a"), F.col("_b"))).alias("rho"), F.count("*").alias("n"))
 
 
-def kendall_by(rows: DataFrame, a: str, b: str, key: str, group: list[str]) -> DataFrame:
-    """M07. tau-b per group and the pairwise accuracy (tau + 1) / 2. Pairs are formed inside a group and summed at once."""
-    t = rows.select(*group, F.col(key).alias("k1"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    o = rows.select(*group, F.col(key).alias("k2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    sa, sb = F.signum((F.col("a1") - F.col("a2")).cast("double")), F.signum((F.col("b1") - F.col("b2")).cast("double"))
-    s = t.join(o, group).filter("k1 < k2").groupBy(*group).agg(F.sum(sa * sb).alias("s"), F.sum(sa * sa).alias("na"), F.sum(sb * sb).alias("nb"))
+def kendall_by(rows: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
+    """M07. tau-b per group of two rows or more and the pairwise accuracy (tau + 1) / 2, from counted inversions and ties: no pair is formed.
+    A pair with a null counts for the side that has both values."""
+    t = materialize(rows.select(*group, F.col(a).alias("_x"), F.col(b).alias("_y")), "scores")
+    s = t.groupBy(*group).agg(F.count("*").alias("_rows")).filter("_rows > 1").join(pair_counts(t, "_x", "_y", group), group, "left")
+    for of, columns, name in ((t.filter("_x is not null"), [], "ax"), (t, ["_x"], "tx"), (t.filter("_y is not null"), [], "ay"), (t, ["_y"], "ty")):
+        s = s.join(tied_pairs(of, columns, group, name), group, "left").fillna(0, [name])
+    s = s.withColumns({"s": F.col("concordant") - F.col("discordant"), "na": F.col("ax") - F.col("tx"), "nb": F.col("ay") - F.col("ty")})
     tau = safe_div(F.col("s"), F.sqrt(F.col("na") * F.col("nb")))
     return s.select(*group, tau.alias("tau"), ((tau + 1) / 2).alias("accuracy"))
 
@@ -134,17 +137,14 @@ def wilcoxon(rows: DataFrame, d: Column) -> DataFrame:
 
 def bootstrap_mean_ci(rows: DataFrame, value: str, key: str, group: str, reps: int = 4000, level: float = 0.95, seed: int = 1) -> DataFrame:
     """M10. Percentile interval of the mean per group. Row number floor(u * n) of each draw, u from md5(group, replicate, draw, seed).
-    The draws of a replicate are counted by row before they meet the rows, which are the groups' own (contests, not entrants)."""
-    spark = rows.sparkSession
-    t = rows.select(group, F.col(value).alias("v"), (F.row_number().over(W.partitionBy(group).orderBy(key)) - 1).alias("i"))
-    n = t.groupBy(group).agg(F.count("*").alias("n"))
-    draws = n.join(spark.range(reps).withColumnRenamed("id", "rep")).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    draws = draws.withColumn("i", F.floor(uniform(F.col(group), F.col("rep"), F.col("draw"), F.lit(seed)) * F.col("n")).cast("int"))
-    times = draws.groupBy(group, "rep", "i").agg(F.count("*").alias("c"))
-    means = times.join(t, [group, "i"]).groupBy(group, "rep").agg((F.sum(F.col("c") * F.col("v")) / F.sum(F.when(F.col("v").isNotNull(), F.col("c")))).alias("m"))
+    A group's values (contests, not entrants) are one array, which each replicate draws from in place: nothing is joined."""
+    t = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))).alias("_t"), F.avg(value).alias("mean"), F.count("*").alias("n"))
+    at = F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda d: F.floor(uniform(F.col(group), F.col("rep"), d, F.lit(seed)) * F.col("n")).cast("int"))
+    drawn = t.repartition(group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_v", F.filter(F.transform(at, lambda i: F.get("_t", i)["v"]), lambda x: x.isNotNull()))
+    means = drawn.select(group, "mean", "n", (F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("_v"), F.lit(0))).alias("m"))
     tail = (1 - level) / 2
-    q = means.groupBy(group).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    return t.groupBy(group).agg(F.avg("v").alias("mean"), F.count("*").alias("n")).join(q.select(group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")), group)
+    q = means.groupBy(group).agg(F.first("mean").alias("mean"), F.first("n").alias("n"), F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    return q.select(group, "mean", "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def two_sample(rows: DataFrame, value: str, flag: str) -> DataFrame:
@@ -160,140 +160,127 @@ def two_sample(rows: DataFrame, value: str, flag: str) -> DataFrame:
     return s.select("n1", "n2", tt.alias("t"), p(tt, "n1").alias("p"), u.alias("u"), z.alias("z"))
 
 
-def variance_shares(lambdas: DataFrame) -> DataFrame:
-    """M16. factor, sd = sqrt(1 / (2 lambda)), its share of the summed variances."""
+def variance_shares(lambdas: DataFrame, worths: DataFrame, armed: float = 0.20, watched: str = "team_name") -> DataFrame:
+    """M16. factor, lam, sd = sqrt(1 / (2 lam)), its share of the summed variances, sd_empirical (deviation of the factor's worths, divisor
+    n), n entities, trigger (the watched factor's share is `armed` or more; null for other factors). worths: factor, entity, worth."""
     v = 1 / (2 * F.col("lam"))
-    return lambdas.select("factor", "lam", F.sqrt(v).alias("sd"), (v / F.sum(v).over(W.partitionBy())).alias("share"))
+    t = lambdas.select("factor", "lam", F.sqrt(v).alias("sd"), (v / F.sum(v).over(W.partitionBy())).alias("share"))  # a row a factor
+    own = worths.groupBy("factor").agg(F.stddev_pop("worth").alias("sd_empirical"), F.count("*").alias("n"))
+    return t.join(own, "factor", "left").withColumn("trigger", F.when(F.col("factor") == watched, F.col("share") >= armed))
 
 
-def block_pl_fit(rows: DataFrame, factors: list[str], lambdas: dict[str, float | Column], steps: int = 60, keys: tuple[str, ...] = (), tol: float = 1e-5) -> DataFrame:
-    """M14. (keys), factor, entity, worth, gradient, one fit for each value of the keys: a Plackett-Luce fit with a dummy for each entity
-    of each factor and a ridge weight a factor (a number, or a column of the keys).
+def ahead_edges(runs: DataFrame, entity: str) -> DataFrame:
+    """M17, edges: entity finished ahead of the next finisher; longer chains follow from these."""
+    nxt = F.lead(entity).over(W.partitionBy("race_id").orderBy("finish"))
+    return runs.select(F.col(entity).cast("string").alias("a"), nxt.cast("string").alias("b")).filter("b is not null and a <> b").distinct()
 
-    Utilities are sums of the entities' worths, found by joins; a step adds up the gradient and the Hessian's diagonal by entity, divides
-    one by the other, and goes along that by the Barzilai-Borwein length of its key. It ends when no key's largest gradient is over `tol`
-    of its first one. Each step is a written table, so plans stay short whatever the number of steps; the driver holds a row a key."""
-    from functools import reduce
 
-    spark = rows.sparkSession
-    names = [f"_f_{f}" for f in factors]
-    base = rows.select(*keys, "race_id", "driver_id", "finish", *[F.col(f).cast("string").alias(c) for f, c in zip(factors, names)]).repartition(*keys, "race_id").persist()
-    entities = reduce(lambda a, b: a.unionByName(b), [base.select(*keys, F.lit(f).alias("factor"), F.col(c).alias("entity")).distinct() for f, c in zip(factors, names)])
-    none = F.lit(None).cast("double")
-    now = materialize(entities.withColumns({"worth": F.lit(0.0), "old": none, "g_old": none}), "worths")
-    ridge = F.coalesce(*[F.when(F.col("factor") == f, x if isinstance(x := lambdas[f], Column) else F.lit(float(x))) for f in factors])
-    race = W.partitionBy(*keys, "race_id")
-    upto = race.orderBy("finish").rowsBetween(W.unboundedPreceding, 0)
-    first: dict[tuple, float] = {}
-    try:
-        for k in range(steps + 1):
-            t = base
-            for f, c in zip(factors, names):
-                t = t.join(now.filter(F.col("factor") == f).select(*keys, F.col("entity").alias(c), F.col("worth").alias(f"_w_{f}")), [*keys, c])
-            t = t.withColumn("_u", sum((F.col(f"_w_{f}") for f in factors), F.lit(0.0)))
-            t = t.withColumn("_e", F.exp(F.col("_u") - F.max("_u").over(race)))
-            t = t.withColumn("_S", F.sum("_e").over(race.orderBy(F.desc("finish")).rowsBetween(W.unboundedPreceding, 0)))
-            q = F.col("_e") * F.sum(1 / F.col("_S")).over(upto)
-            t = t.withColumns({"_g": q - 1, "_h": q - F.col("_e") * F.col("_e") * F.sum(1 / (F.col("_S") * F.col("_S"))).over(upto)})
-            long = t.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(c).alias("entity")) for f, c in zip(factors, names)])).alias("x"), "_g", "_h")
-            sums = long.groupBy(*keys, "x").agg(F.sum("_g").alias("sg"), F.sum("_h").alias("sh")).select(*keys, "x.*", "sg", "sh")
-            g, d = F.col("sg") + 2 * ridge * F.col("worth"), F.col("sh") + 2 * ridge
-            state = materialize(now.join(sums, [*keys, "factor", "entity"]).select(*keys, "factor", "entity", "worth", g.alias("gradient"), d.alias("d"), "old", "g_old"), "worths")
-            moved, bent = F.col("worth") - F.col("old"), F.col("gradient") - F.col("g_old")
-            lengths, flat = [], True
-            for r in state.groupBy(*keys).agg(F.max(F.abs("gradient")).alias("top"), F.sum(moved * moved * F.col("d")).alias("a"), F.sum(moved * bent).alias("b")).collect():
-                key = tuple(r[c] for c in keys)
-                flat &= r["top"] is None or r["top"] <= tol * first.setdefault(key, max(1.0, r["top"]))
-                length = r["a"] / r["b"] if r["a"] and r["b"] and r["b"] > 0 else 1.0
-                lengths.append((*key, min(max(length, 0.02), 5.0) if k else 1.0 / len(factors)))
-            if flat or k == steps:
-                return state.select(*keys, "factor", "entity", "worth", "gradient")
-            step = spark.createDataFrame(lengths, ", ".join([*[f"`{c}` {state.schema[c].dataType.simpleString()}" for c in keys], "step double"]))
-            by = state.join(F.broadcast(step), list(keys)) if keys else state.withColumn("step", F.lit(lengths[0][-1]))
-            now = by.select(*keys, "factor", "entity", (F.col("worth") - F.col("step") * F.col("gradient") / F.col("d")).alias("worth"), F.col("worth").alias("old"), F.col("gradient").alias("g_old"))
-    finally:
-        base.unpersist()
+def _skips(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ends, skips) of the nodes with one edge out: where their chain of such nodes ends (node, to), and edges (a, b) that skip 1, 2, 4 ..
+    nodes ahead, so that a chain is passed in about the logarithm of its length. Chains that close in a ring have no end; they are followed
+    once around."""
+    lone = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("to")).filter("n = 1").select(F.col("a").alias("node"), "to")
+    now, skips, most = materialize(lone, "chains"), None, max(1, edges.count())
+    for _ in range(most.bit_length() + 1):
+        skips = now if skips is None else skips.unionByName(now)
+        on = now.select(F.col("node").alias("to"), F.col("to").alias("_next"))
+        longer = materialize(now.join(on, "to", "left").select("node", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("moved")), "chains")
+        now = longer.select("node", "to")
+        if longer.filter("moved").isEmpty():
+            break
+    return now, skips.select(F.col("node").alias("a"), F.col("to").alias("b")).filter("a <> b").distinct()
 
 
-def held_out_nll(rows: DataFrame, worth: DataFrame, factors: list[str], fold: str, by: list[str]) -> dict:
-    """By value of one key: the nll of each row's contest under the worths of its own fold; an entity unknown there has worth 0."""
-    t = rows
-    for f in factors:
-        w = worth.filter(F.col("factor") == f).select(*by, fold, F.col("entity").alias(f"_e_{f}"), F.col("worth").alias(f"_w_{f}"))
-        t = t.withColumn(f"_e_{f}", F.col(f).cast("string")).join(w, [*by, fold, f"_e_{f}"], "left")
-    u = sum((F.coalesce(F.col(f"_w_{f}"), F.lit(0.0)) for f in factors), F.lit(0.0))
-    return {r[by[0]]: r["nll"] or 0.0 for r in pl_terms(t, [], u, by).collect()}
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges without those at nodes that nothing leads to, or only a chain from such a node: these are on no ring."""
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    ends, _ = _skips(back)
+    heads = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+    gone = materialize(heads.unionByName(ends.join(heads.withColumnRenamed("node", "to"), "to", "left_semi").select("node")), "trimmed")
+    return edges.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
 
 
-def cv_select_lambda(rows: DataFrame, factors: list[str], grid: list[float], fold: str = "year", sweeps: int = 4, steps: int = 60, tol: float = 1e-2) -> dict[str, float]:
-    """M15. Ridge weights by leave-one-season-out nll: coordinate descent over the factors, ties to the larger weight. The fits of all
-    folds of all of a factor's candidates are one job: a row stands in the training set of every other fold, once a candidate."""
-    spark = rows.sparkSession
-    folds = rows.select(F.col(fold).alias("_fold")).distinct()
-    train = materialize(rows.join(folds, F.col(fold) != F.col("_fold")).drop(fold).withColumnRenamed("_fold", fold), "folds")
-    best, known = {f: grid[len(grid) // 2] for f in factors}, {}
-
-    def learn(candidates: list[dict[str, float]]) -> None:
-        new = [c for c in candidates if tuple(c[f] for f in factors) not in known]
-        if not new:
-            return
-        of = spark.createDataFrame([(k,) for k in range(len(new))], "_c int")  # a row a candidate
-        lam = {f: F.element_at(F.array(*[F.lit(float(c[f])) for c in new]), F.col("_c") + 1) for f in factors}
-        worth = block_pl_fit(train.join(F.broadcast(of)), factors, lam, steps, ("_c", fold), tol)
-        nll = held_out_nll(rows.join(F.broadcast(of)), worth, factors, fold, ["_c"])
-        known.update({tuple(new[k][f] for f in factors): x for k, x in nll.items()})
-
-    for _ in range(sweeps):
-        before = dict(best)
-        for f in factors:
-            learn([best | {f: x} for x in grid])
-            best[f] = min(grid, key=lambda x: (round(known[tuple((best | {f: x})[g] for g in factors)], 9), -x))
-        if best == before:
-            break
-    return best
+def _reversed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
-def ahead_edges(runs: DataFrame, entity: str) -> DataFrame:
-    """M17, edges: entity finished ahead of the next finisher; longer chains follow from these."""
-    nxt = F.lead(entity).over(W.partitionBy("race_id").orderBy("finish"))
-    return runs.select(F.col(entity).cast("string").alias("a"), nxt.cast("string").alias("b")).filter("b is not null and a <> b").distinct()
+def _colours(edges: DataFrame) -> DataFrame:
+    """node, colour: the least node that reaches it, itself included. What reaches my colour reaches me: so each round a node takes the
+    least colour of the nodes before it, and then the colour of its colour."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    colour = materialize(ends.select("node", F.col("node").alias("colour")), "colours")
+    while True:
+        before = edges.join(colour, edges["a"] == F.col("node")).groupBy("b").agg(F.min("colour").alias("c"))
+        step = colour.join(before, colour["node"] == before["b"], "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("c", "colour")).alias("colour"))
+        of = step.select(F.col("node").alias("at"), F.col("colour").alias("up"))
+        colour = materialize(step.join(of, F.col("colour") == F.col("at")).select("node", "old", F.least("colour", "up").alias("colour")), "colours")
+        if colour.filter("colour <> old").isEmpty():
+            return colour.select("node", "colour")
+        colour = colour.select("node", "colour")
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """M17. node, component (its smallest node): nodes that reach each other.
+def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """M17. node, component (its smallest node): nodes that reach each other. Edges (a, b); loops and repeated edges change nothing.
 
-    Colouring: each round the smallest colour flows forward to a fixed point; the nodes that reach back to their colour's own node
-    inside that colour are one component and leave. A written table a step, of two hops each; steps grow with the longest path."""
+    Nodes on no ring are trimmed from both sides, whole chains at once. Each node left takes the least node that reaches it as colour, in an
+    order by hash, so that few colours end early; inside a colour the nodes that reach the colour's own node are a component. Both searches
+    also use edges that skip ahead over chains, so a long path takes rounds in the logarithm of its length."""
     nodes = materialize(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "nodes")
-    edges, out = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None
-
-    def flow(colour: DataFrame) -> DataFrame:
-        got = edges.join(colour, edges["a"] == F.col("node")).groupBy("b").agg(F.min("colour").alias("c"))
-        return colour.join(got, colour["node"] == got["b"], "left").select("node", "old", F.least("colour", F.coalesce("c", "colour")).alias("colour"))
-
+    mixed = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.col(c))
+    kind = edges.schema["a"].dataType.simpleString()
+    texts = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).filter("a <> b")
+    now, found = materialize(texts.select(mixed("a").alias("a"), mixed("b").alias("b")).distinct(), "edges"), None
     for _ in range(rounds):
-        colour, moved = nodes.select("node", F.col("node").alias("colour")), True
-        while moved:
-            colour = materialize(flow(flow(colour.withColumn("old", F.col("colour")))), "colours")
-            moved = not colour.filter("colour <> old").isEmpty()
-            colour = colour.select("node", "colour")
-        of = colour.withColumnRenamed("colour", "c")
-        inside = edges.join(of.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").filter("ca = cb").select("a", "b")
-        inside = materialize(inside, "inside")
-        found = edge = materialize(colour.filter("node = colour"), "back")
-        while True:  # the nodes found last lead back to those before them
-            more = inside.join(edge.select(F.col("node").alias("b"), "colour"), "b").select(F.col("a").alias("node"), "colour").distinct()
-            edge = materialize(more.join(found.select("node"), "node", "left_anti"), "back")
-            if edge.isEmpty():
+        while True:
+            size = now.count()
+            now = materialize(_reversed(_trimmed(_reversed(materialize(_trimmed(now), "edges")))), "edges")
+            if now.count() > 0.9 * size or now.isEmpty():
+                break
+        if now.isEmpty():
+            break
+        fast = materialize(now.unionByName(_skips(now)[1]).unionByName(_reversed(_skips(_reversed(now))[1])).distinct(), "edges")
+        colour = _colours(fast)
+        of = lambda side: colour.select(F.col("node").alias(side), F.col("colour").alias(f"c{side}"))
+        inside = materialize(fast.join(of("a"), "a").join(of("b"), "b").filter("ca = cb").select("a", "b"), "inside")
+        reached = front = materialize(colour.filter("node = colour").select("node", F.col("colour").alias("c")), "back")
+        while True:  # the nodes found last are reached from those before them
+            more = inside.join(front.select(F.col("node").alias("b"), "c"), "b").select(F.col("a").alias("node"), "c").distinct()
+            front = materialize(more.join(reached.select("node"), "node", "left_anti"), "back")
+            if front.isEmpty():
                 break
-            found = materialize(found.unionByName(edge), "back")
-        part = found.select("node", F.col("colour").alias("component"))
-        out = part if out is None else out.unionByName(part)
-        nodes = materialize(nodes.join(found, "node", "left_anti"), "nodes")
-        if nodes.isEmpty():
-            return out
-        edges = materialize(edges.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi"), "edges")
-    raise RuntimeError(f"components left after {rounds} rounds")
+            reached = materialize(reached.unionByName(front), "back")
+        found = reached if found is None else found.unionByName(reached)
+        gone = reached.select("node")
+        now = materialize(now.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"), "edges")
+    else:
+        raise RuntimeError(f"components left after {rounds} rounds")
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    plain = found.select(F.substring("node", 17, 1 << 30).cast(kind).alias("node"), "c")
+    named = materialize(plain.join(plain.groupBy("c").agg(F.min("node").alias("component")), "c").select("node", "component"), "components")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def connectivity(runs: DataFrame, factors: list[str], window: str) -> DataFrame:
+    """M17, report. window ('pooled' or a value of `window`), factor, n_entities, n_components, connected (one component), outside (the entities
+    outside the largest component, sorted and joined by commas; of equally large ones that with the smallest entity; null if none).
+    An entity whose contests have no other is a component of its own."""
+    cell = F.array(F.lit("pooled"), F.col(window).cast("string"))
+    long = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("e")) for f in factors])).alias("x")
+    t = runs.select("race_id", "finish", *factors, F.explode(cell).alias("_w")).select("race_id", "finish", "_w", long)
+    t = materialize(t.select("race_id", "finish", "_w", "x.f", "x.e").filter("e is not null"), "standings")
+    name = F.to_json(F.struct("_w", "f", "e"))
+    nxt = F.lead(name).over(W.partitionBy("race_id", "_w", "f").orderBy("finish"))
+    edges = t.select(name.alias("a"), nxt.alias("b")).filter("b is not null and a <> b").distinct()
+    every = t.select("_w", "f", "e", name.alias("node")).distinct()
+    of = every.join(strong_components(edges), "node", "left").select("_w", "f", "e", F.coalesce("component", "node").alias("c"))
+    of = materialize(of, "connectivity")
+    sizes = of.groupBy("_w", "f", "c").agg(F.count("*").alias("n"), F.min("e").alias("first"))
+    heads = sizes.groupBy("_w", "f").agg(F.sum("n").alias("n_entities"), F.count("*").alias("n_components"), F.min(F.struct(-F.col("n"), "first", "c")).alias("g"))
+    heads = heads.select("_w", "f", "n_entities", "n_components", F.col("g.c").alias("g"))
+    rest = of.join(heads.select("_w", "f", "g"), ["_w", "f"]).filter("c <> g").groupBy("_w", "f").agg(F.array_join(F.sort_array(F.collect_list("e")), ",").alias("outside"))  # the report's own list
+    done = heads.join(rest, ["_w", "f"], "left")
+    return done.select(F.col("_w").alias("window"), F.col("f").alias("factor"), "n_entities", "n_components", (F.col("n_components") == 1).alias("connected"), "outside")
 
 
 def weighted_pearson(x: Column, y: Column, w: Column) -> Column:
@@ -346,6 +333,51 @@ def best_partition(pairs: DataFrame, covariates: DataFrame, least: int = 3) -> D
     return g.join(sizes, ["name", "threshold"]).select("name", "threshold", "n_left", "n_right", (F.col("wl") + F.col("wr") - F.col("bt")).alias("gain"))
 
 
+def partition_tree(pairs: DataFrame, covariates: DataFrame, least: int = 3, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """M24. (leaves: venue, leaf; splits: node, depth, name, threshold, gain, n_left, n_right), nodes numbered as in a heap: 1 is the root, 2 k
+    the venues of node k at or under its threshold, 2 k + 1 those above. covariates: venue, name, value (a name counts in a node whose
+    venues all have it); thresholds are midpoints of neighbouring values.
+
+    All nodes of a level are split by one job: a candidate is a node, a name and a threshold, its gain within-left + within-right - between
+    mean similarity; the best of a node (ties by name, then threshold) splits it if its gain is over 0. A node under 2 * least venues is a leaf."""
+    c = covariates.select("venue", "name", F.col("value").cast("double").alias("value"))
+    at = materialize(c.select("venue").distinct().withColumn("node", F.lit(1).cast("long")), "tree")
+    splits = None
+    sim = materialize(pairs.filter("sim is not null").select("a", "b", "sim"), "tree-pairs")
+    for level in range(depth):
+        open_ = at.filter(F.col("node") >= 2**level)
+        node = open_.join(open_.groupBy("node").agg(F.count("*").alias("_n")), "node").filter(F.col("_n") >= 2 * least)
+        v = node.join(c, "venue").filter("value is not null")
+        whole = v.groupBy("node", "name").agg(F.count("*").alias("k"), F.max("_n").alias("m")).filter("k = m").select("node", "name")
+        values = v.join(whole, ["node", "name"]).select("node", "name", "value").distinct()
+        nxt = F.lead("value").over(W.partitionBy("node", "name").orderBy("value"))
+        cuts = values.withColumn("threshold", (F.col("value") + nxt) / 2).filter("threshold is not null").select("node", "name", "threshold")
+        side = v.select("venue", "node", "name", "value").join(cuts, ["node", "name"]).select("node", "name", "threshold", "venue", (F.col("value") <= F.col("threshold")).alias("left"))
+        sizes = side.groupBy("node", "name", "threshold").agg(F.count_if("left").alias("n_left"), F.count_if(~F.col("left")).alias("n_right")).filter(F.least("n_left", "n_right") >= least)
+        one = side.withColumnsRenamed({"venue": "a", "left": "la"})
+        two = side.withColumnsRenamed({"venue": "b", "left": "lb"})
+        t = sim.join(one, "a").join(two, ["node", "name", "threshold", "b"])
+        mean = lambda cond: F.avg(F.when(cond, F.col("sim")))
+        g = t.groupBy("node", "name", "threshold").agg((mean(F.col("la") & F.col("lb")) + mean(~F.col("la") & ~F.col("lb")) - mean(F.col("la") != F.col("lb"))).alias("gain"))
+        g = g.join(sizes, ["node", "name", "threshold"]).withColumn("gain", F.round("gain", 9)).filter("gain > 0")
+        best = g.groupBy("node").agg(F.min(F.struct(-F.col("gain"), "name", "threshold", "gain", "n_left", "n_right")).alias("x")).select("node", F.lit(level).alias("depth"), "x.name", "x.threshold", "x.gain", "x.n_left", "x.n_right")
+        best = materialize(best, "tree-splits")
+        splits = best if splits is None else splits.unionByName(best)
+        moved = at.join(best.select("node", "name", "threshold"), "node", "left").join(c, ["venue", "name"], "left")
+        at = materialize(moved.select("venue", F.when(F.col("threshold").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(F.col("value") <= F.col("threshold"), 0).otherwise(1)).cast("long").alias("node")), "tree")
+    return at.select("venue", F.col("node").alias("leaf")), splits
+
+
+def leaf_labels(leaves: DataFrame, labels: DataFrame) -> DataFrame:
+    """M25, rows. venue, leaf, size of the leaf, majority (its most frequent label, ties by name), label, agrees (null without a label).
+    leaves: venue, leaf; labels: venue, label."""
+    t = leaves.join(labels, "venue", "left")
+    counts = t.filter("label is not null").groupBy("leaf", "label").agg(F.count("*").alias("c"))
+    most = counts.groupBy("leaf").agg(F.min(F.struct(-F.col("c"), "label"))["label"].alias("majority"))
+    sizes = t.groupBy("leaf").agg(F.countDistinct("venue").alias("size"))
+    return t.join(sizes, "leaf").join(most, "leaf", "left").select("venue", "leaf", "size", "majority", "label", (F.col("label") == F.col("majority")).alias("agrees"))
+
+
 def leaf_agreement(leaves: DataFrame, leaf: str, label: str) -> DataFrame:
     """M25. One row: share in the majority label of their leaf (ties by name don't change it), and the adjusted Rand index."""
     c = leaves.groupBy(leaf, label).agg(F.count("*").alias("c"))
@@ -393,11 +425,15 @@ def by_type_summary(rho: DataFrame, group: str = "ttype", value: str = "rho") ->
     return g.select(group, "n", "mean", "sd", (F.col("sd") / F.sqrt("n")).alias("se"), "positive", (F.col("mean") - F.col("_all")).alias("over_all"))
 
 
-def pair_blend(pairs: DataFrame, families: DataFrame, overlap: int = 5, weight: float = 10, k: float = 5) -> DataFrame:
+def pair_blend(pairs: DataFrame, families: DataFrame, races: DataFrame | None = None, overlap: int = 5, weight: float = 10, sides: int = 5, k: float = 5) -> DataFrame:
     """M20. a, b, met, value: a pair's similarity drawn to the mean of its two families (venue, family) by weight / (weight + k); that mean
-    alone where the pair has too little overlap or weight, or no similarity."""
+    alone where the pair has too little overlap or weight, a side with under `sides` contests (races: venue, n), or no similarity."""
     fam = lambda side, f: families.select(F.col("venue").alias(side), F.col("family").alias(f))
     met = F.coalesce((F.col("overlap") >= overlap) & (F.col("weight") >= weight) & F.col("sim").isNotNull(), F.lit(False))
+    if races is not None:
+        n = lambda side: races.select(F.col("venue").alias(side), F.col("n").alias(f"_n{side}"))
+        pairs = pairs.join(n("a"), "a", "left").join(n("b"), "b", "left")
+        met = met & (F.coalesce(F.least(F.coalesce("_na", F.lit(0)), F.coalesce("_nb", F.lit(0))), F.lit(0)) >= sides)
     s = pairs.join(fam("a", "f1"), "a").join(fam("b", "f2"), "b").withColumns({"fa": F.least("f1", "f2"), "fb": F.greatest("f1", "f2"), "met": met})
     t = s.join(s.groupBy("fa", "fb").agg(F.avg("sim").alias("pool")), ["fa", "fb"])
     value = F.when(F.col("met"), (F.col("weight") * F.col("sim") + k * F.col("pool")) / (F.col("weight") + k)).otherwise(F.col("pool"))
@@ -419,6 +455,16 @@ def edge_agreement(near: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(b, "venue").select("venue", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("jaccard"))
 
 
+def edge_spearman(pairs: DataFrame, edges: DataFrame, score: str = "score") -> DataFrame:
+    """M23, over edges. One row: n edges with both a score and a measured similarity, and Spearman's correlation of the two (null under 3).
+    pairs: a < b, sim; edges: source, target, score."""
+    e = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.col(score).cast("double").alias("_s"))
+    t = e.join(pairs.select("a", "b", "sim"), ["a", "b"]).filter("_s is not null and sim is not null")
+    t = materialize(t.select("_s", "sim"), "edge-scores")
+    t = ranked(ranked(t, "_s", [], name="_x"), "sim", [], name="_y")
+    return t.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, pearson(F.col("_x"), F.col("_y"))).alias("rho"))
+
+
 def spec_trio(rho: DataFrame, excluded: Column, held_out: Column) -> DataFrame:
     """M26. One row: the mean rho of all contests, of those not excluded, of those held out."""
     on = lambda c: F.avg(F.when(c, F.col("rho")))

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.inversions import pair_counts
 from ..functions.ranks import ranked
+from ..sources.shared import materialize
 from ..functions.stats import safe_div, student_sf, uniform
 
 
@@ -56,6 +58,16 @@ def h2h_accuracy(pairs: DataFrame, group: list[str], least: int = 3, eps: float
     return g.withColumn("accuracy", F.when(F.col("n") >= least, F.col("right") / F.nullif(F.col("n"), F.lit(0))))
 
 
+def score_accuracy(field: DataFrame, group: list[str], u: str = "u", finish: str = "finish", least: int = 3) -> DataFrame:
+    """D03 for all pairs of a contest whose chances follow from one utility: n graded pairs, right, ties of finish, even utilities (finish not
+    tied), accuracy (null under `least` graded). Counted from inversions and ties; no pair is formed. Entrants without a utility or finish are left out."""
+    t = materialize(field.select(*group, F.col(u).cast("double").alias("_x"), F.col(finish).cast("double").alias("_y")), "field")
+    c = pair_counts(t, "_x", "_y", group).filter("pairs > 0")
+    n = F.col("concordant") + F.col("discordant")
+    right = F.col("discordant")  # the higher utility has the lower finish
+    return c.select(*group, n.alias("n"), right.alias("right"), F.col("tied_b").alias("ties"), (F.col("tied_a") - F.col("tied_both")).alias("even"), F.when(n >= least, right / F.nullif(n, F.lit(0))).alias("accuracy"))
+
+
 def clean_quotes(entries: DataFrame) -> DataFrame:
     """D04. entries: race_id, pos, a, b, price_a, price_b (text), closing, ts, void. With `state`: malformed (a price that is no whole number or zero), deduped
     (another of the same unordered pair is better: closing, then time, then file order), void, or kept."""
@@ -110,40 +122,56 @@ def graded_picks(picks: DataFrame, edge: float = 0.03) -> DataFrame:
     return t.withColumn("profit", F.when(F.col("reason") == "graded", F.when(F.col("won"), gain).otherwise(-1.0)))
 
 
-def resampled(totals: DataFrame, keys: list[str], sums: list[str], reps: int, seed: int = 3) -> DataFrame:
+def resampled(totals: DataFrame, keys: list[str], sums: list[str], reps: int, seed: int = 3, keep: list[str] = []) -> DataFrame:
     """keys, rep and the sums over contests drawn with replacement: contest floor(u * K) of each draw, u from md5(replicate, draw, seed).
 
-    totals: one row a contest and key with idx from 0 and K. Work is K x reps small rows a key, spread by key and replicate."""
-    spark = totals.sparkSession
-    one = totals.select(*keys, "K").distinct()
-    draws = one.join(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("K") - 1).cast("int"))))
-    draws = draws.withColumn("idx", F.floor(uniform(F.col("rep"), F.col("draw"), F.lit(seed)) * F.col("K")).cast("int"))
-    t = draws.join(totals.select(*keys, "idx", *sums), [*keys, "idx"])
-    return t.groupBy(*keys, "rep").agg(*[F.sum(s).alias(s) for s in sums])
+    totals: a row a key with `_t`, the array of its contests' totals (structs with the sums as fields) in their order, and K: draws are
+    from the first K of them. A replicate is one row that draws from its key's array in place; `keep` are columns carried along."""
+    at = F.transform(F.sequence(F.lit(0), (F.col("K") - 1).cast("int")), lambda d: F.floor(uniform(F.col("rep"), d, F.lit(seed)) * F.col("K")).cast("int"))
+    t = totals.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_at", at)
+    total = lambda c: F.aggregate("_at", F.lit(0.0), lambda s, i: s + F.get("_t", i)[c]).alias(c)
+    return t.select(*keys, "rep", *keep, *[total(c) for c in sums])
+
+
+def contest_arrays(totals: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """keys, _t (an array of a key's contests by race_id, a struct of the sums each), K its length. A key's contests, not its rows."""
+    one = F.struct("race_id", *[F.col(c).cast("double").alias(c) for c in sums])
+    return totals.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_t")).withColumn("K", F.size("_t").cast("long"))
+
+
+def _states(arrays: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """keys, N, K, total, roi, p_boot, bound, t of the first K contests of each key's array (fields profit, n)."""
+    head = F.slice("_t", F.lit(1), F.col("K").cast("int"))
+    add = lambda f: F.aggregate(head, F.lit(0.0), lambda s, x: s + f(x))
+    mean = F.col("total") / F.col("K")
+    spread = F.sqrt(add(lambda x: (x["profit"] - F.col("_mean")) * (x["profit"] - F.col("_mean"))) / F.nullif(F.col("K") - 1, F.lit(0)))
+    point = arrays.withColumns({"_picks": add(lambda x: x["n"]).cast("long"), "total": add(lambda x: x["profit"])}).withColumn("_mean", mean)
+    point = point.withColumns({"roi": F.col("total") / F.col("_picks"), "t": safe_div(F.col("_mean"), spread / F.sqrt("K"))})
+    carried = ["_picks", "K", "total", "roi", "t"]
+    rep = resampled(point.repartition(*keys) if keys else point, keys, ["profit", "n"], reps, seed, carried).withColumn("m", F.col("profit") / F.col("n"))
+    ordered = F.array_sort(F.collect_list("m"))[int(0.95 * reps)]  # a number a replicate
+    return rep.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carried], ((1 + F.count_if(F.col("profit") <= 0)) / (reps + 1)).alias("p_boot"), ordered.alias("bound")).withColumnRenamed("_picks", "N")
 
 
 def roi_state(picks: DataFrame, keys: list[str], reps: int = 10000, seed: int = 3) -> DataFrame:
     """D09. keys, N, K, total, roi, p_boot (add-one), bound (the order statistic at 95 % of resampled means), t of contest totals."""
     totals = picks.groupBy(*keys, "race_id").agg(F.sum("profit").alias("profit"), F.count("*").alias("n"))
-    w = W.partitionBy(*keys)
-    totals = totals.withColumns({"idx": (F.row_number().over(w.orderBy("race_id")) - 1).cast("int"), "K": F.count("*").over(w)})
-    rep = resampled(totals, keys, ["profit", "n"], reps, seed).withColumn("m", F.col("profit") / F.col("n"))
-    ranked = rep.withColumn("k", F.row_number().over(w.orderBy("m", "rep")))
-    boot = ranked.groupBy(*keys).agg(((1 + F.count_if(F.col("profit") <= 0)) / (reps + 1)).alias("p_boot"), F.max(F.when(F.col("k") == int(0.95 * reps) + 1, F.col("m"))).alias("bound"))
-    point = totals.groupBy(*keys).agg(F.sum("n").alias("N"), F.count("*").alias("K"), F.sum("profit").alias("total"), safe_div(F.avg("profit"), F.stddev_samp("profit") / F.sqrt(F.count("*"))).alias("t"))
-    return point.withColumn("roi", F.col("total") / F.col("N")).join(boot, keys)
+    return _states(contest_arrays(totals, keys, ["profit", "n"]), keys, reps, seed)
 
 
 def sequential_looks(picks: DataFrame, reps: int = 10000, min_k: int = 20, edge_n: int = 50, null_n: int = 100) -> DataFrame:
-    """D10. The state after each contest (look = its place), the look's verdict, and whether it is the first that crosses a boundary."""
-    seq = picks.select("race_id").distinct().withColumn("look", F.row_number().over(W.orderBy("race_id")))  # a row a contest
-    upto = picks.join(seq.withColumnRenamed("look", "own"), "race_id").join(F.broadcast(seq.select("look")), F.col("own") <= F.col("look"))
-    s = roi_state(upto, ["look"], reps)
+    """D10. The state after each contest (look = its place), the look's verdict, and whether it is the first that crosses a boundary.
+
+    Picks are added up by contest once. A look is the contests' array with its own length, so rows are looks x replicates and no pick is copied."""
+    totals = picks.groupBy("race_id").agg(F.sum("profit").alias("profit"), F.count("*").alias("n"))
+    arrays = contest_arrays(totals, [], ["profit", "n"])
+    looks = arrays.select("_t", F.explode(F.sequence(F.lit(1), F.col("K").cast("int"))).alias("look")).filter("size(_t) > 0").withColumn("K", F.col("look").cast("long"))
+    s = _states(looks, ["look"], reps, 3)
     p_t = F.udf(lambda t, k: 1.0 if t is None else student_sf(t, k - 1), "double")  # one row a look
     s = s.withColumn("p_t", p_t("t", "K"))
     verdict = F.when(F.col("K") < min_k, None).when((F.col("N") >= edge_n) & (F.col("p_boot") <= 0.001) & (F.col("p_t") <= 0.001), "EDGE").when((F.col("N") >= null_n) & (F.col("bound") < 0), "NO-EDGE")
     s = s.withColumn("verdict", verdict)
-    first = F.min(F.when(F.col("verdict").isNotNull(), F.col("look"))).over(W.partitionBy())
+    first = F.min(F.when(F.col("verdict").isNotNull(), F.col("look"))).over(W.partitionBy())  # a row a look
     return s.withColumn("standing", F.coalesce(F.col("look") == first, F.lit(False)))
 
 
@@ -169,12 +197,12 @@ def capture_debt(scored: DataFrame, priced: DataFrame, known: DataFrame, as_of:
     return t.select("scored", "priced", debt.alias("debt"), active.alias("active"), (active & (debt > red)).alias("red"))
 
 
-def pair_units(field: DataFrame, floor: float = 0.001) -> DataFrame:
+def pair_units(field: DataFrame, floor: float = 0.001, digits: int | None = 6) -> DataFrame:
     """K01, pairs. race_id, id, id2, p_model, p_base, outcome of every pair of a contest, the smaller driver_id first: that it is ahead, by
-    utilities and by earlier win shares. A contest of n entrants has n (n - 1) / 2 units, which the reports below only sum up."""
+    utilities and by earlier win shares, rounded to `digits` (bins by p_model then agree between engines) or not. A contest of n entrants has n (n - 1) / 2 units, which the reports below only sum up."""
     from .history import pair_prob
 
-    cut = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), F.round(c, 6)))
+    cut = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), c if digits is None else F.round(c, digits)))
     side = lambda k: field.select("race_id", *[F.col(c).alias(f"{c}{k}") for c in ("driver_id", "u", "win_share", "finish")])
     t = side(1).join(side(2), "race_id").filter("driver_id1 < driver_id2")
     return t.select(
@@ -183,10 +211,10 @@ def pair_units(field: DataFrame, floor: float = 0.001) -> DataFrame:
     )
 
 
-def entrant_units(probs: DataFrame, p: str, top: int, floor: float = 0.001) -> DataFrame:
+def entrant_units(probs: DataFrame, p: str, top: int, floor: float = 0.001, digits: int | None = 6) -> DataFrame:
     """K01, win (top = 1) and top-N. The baseline is the same chance for each of the contest's entrants."""
     n = F.count("*").over(W.partitionBy("race_id"))
-    cut = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), F.round(c, 6)))
+    cut = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), c if digits is None else F.round(c, digits)))
     base = F.least(F.lit(top), n).cast("double") / n
     return probs.select("race_id", F.col("driver_id").alias("id"), F.lit(0).cast("long").alias("id2"), cut(F.col(p)).alias("p_model"), cut(base).alias("p_base"), F.when(F.col("finish") <= top, 1).otherwise(0).alias("outcome"))
 
@@ -247,8 +275,7 @@ def cluster_bootstrap_skill(units: DataFrame, keys: list[str], reps: int = 10000
     ll = lambda p: -(o * F.log(p) + (1 - o) * F.log(1 - p))
     totals = units.groupBy(*keys, "race_id").agg(F.sum((m - o) * (m - o)).alias("bm"), F.sum((b - o) * (b - o)).alias("bb"), F.sum(ll(m)).alias("lm"), F.sum(ll(b)).alias("lb"), F.count("*").alias("n"))
     w = W.partitionBy(*keys)
-    totals = totals.withColumns({"idx": (F.row_number().over(w.orderBy("race_id")) - 1).cast("int"), "K": F.count("*").over(w)})
-    rep = resampled(totals, keys, ["bm", "bb", "lm", "lb"], reps, seed).withColumns({"s": 1 - F.col("bm") / F.col("bb"), "l": 1 - F.col("lm") / F.col("lb")})
+    rep = resampled(contest_arrays(totals, keys, ["bm", "bb", "lm", "lb"]), keys, ["bm", "bb", "lm", "lb"], reps, seed).withColumns({"s": 1 - F.col("bm") / F.col("bb"), "l": 1 - F.col("lm") / F.col("lb")})
     at = lambda c, k: F.max(F.when(F.col(f"_{c}") == k + 1, F.col(c)))
     lo, hi = int(0.05 * reps), min(int(0.95 * reps), reps - 1)
     ranked = rep.withColumns({"_s": F.row_number().over(w.orderBy("s", "rep")), "_l": F.row_number().over(w.orderBy("l", "rep"))})

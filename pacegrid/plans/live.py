@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
 from ..streaming import live as T
+from ..streaming import ordered as O
 from .laps import r6
 from .registry import query
 
@@ -14,7 +16,10 @@ EVENTS = {"frames": ("", "select user_id::varchar as key, ts, event_id as seq, e
 
 
 def frames(v):
-    e = v.table("events")
+    return _framed(v.table("events"))
+
+
+def _framed(e):
     return e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"), (F.col("event_type") == "purchase").alias("finished"))
 
 
@@ -34,6 +39,19 @@ def t03(v):
     return T.dwell_time(T.kept_states(frames(v))).select("key", "seq", F.round("dwell_s", 3).alias("dwell_s"))
 
 
+@query("t03_ordered_stream", "frames", """with ended as (select f.* from frames f left join (select key, min((ts, seq)) as e from (select *, count(*) filter (where finished) over (partition by key, run order by ts, seq rows between unbounded preceding and current row) as streak from (
+ select *, count(*) filter (where not finished) over (partition by key order by ts, seq rows between unbounded preceding and current row) as run from frames)) where streak >= 2 group by 1) x on x.key = f.key where e is null or (f.ts, f.seq) <= e),
+ k as (select * from (select *, lag(payload) over (partition by key order by ts, seq) as p from ended) where p is null or p <> payload)
+ select key, seq, payload, round(dwell, 3) as dwell_s from (select *, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by key order by ts, seq)) / 1e6 as dwell from k) where epoch_us(ts) <= (select max(epoch_us(ts)) // 1000 * 1000 - 3600000000 from frames)""", EVENTS)
+def t03_stream(v):
+    """Events through the event-time stream: what it has released when its source is read, up to an hour before the last event."""
+    source = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.root}/events.parquet*")
+    out = scratch(v.spark, "stream")
+    O.replay(_framed(source), f"{out}/kept", f"{out}/checkpoint", stable=2, late="1 hour")
+    t = v.spark.read.schema("key string, ts timestamp, seq long, payload string, finished boolean, dwell_s double").parquet(f"{out}/kept")
+    return t.select("key", "seq", "payload", F.round("dwell_s", 3).alias("dwell_s"))
+
+
 @query("t04_capture_profile", "frames kept", """select key, polls, states, round(p50, 3) as p50, round(least, 3) as least, round(largest, 3) as largest, 24 - hours as never_seen from (select key, count(*) as polls, count(distinct hour(ts)) as hours from frames group by 1)
  join (select key, count(*) as states, median(d) as p50, min(d) as least, max(d) as largest from (select key, (epoch_us(lead(ts) over (partition by key order by ts, seq)) - epoch_us(ts)) / 1e6 as d from kept) group by 1) using (key)""", EVENTS)
 def t04(v):

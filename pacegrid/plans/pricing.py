@@ -179,6 +179,13 @@ def d03(v):
     return r6(D.h2h_accuracy(h2h_pairs(v), ["race_id"]), "accuracy")
 
 
+@query("d03_score_accuracy", "field", """select race_id, n, "right", ties, even, case when n >= 3 then round("right" / n::double, 6) end as accuracy from (select a.race_id, count(*) filter (where a.s <> b.s and a.f <> b.f) as n, count(*) filter (where sign(a.s - b.s) * sign(a.f - b.f) < 0) as "right",
+ count(*) filter (where a.f = b.f) as ties, count(*) filter (where a.s = b.s and a.f <> b.f) as even from (select race_id, driver_id, floor(u * 8) as s, finish // 2 as f from field) a join (select race_id, driver_id, floor(u * 8) as s, finish // 2 as f from field) b on a.race_id = b.race_id and a.driver_id < b.driver_id group by 1)""", FIELD)
+def d03_score(v):
+    f = field(v).select("race_id", F.floor(F.col("u") * 8).alias("s"), F.floor(F.col("finish") / 2).alias("f"))
+    return r6(D.score_accuracy(f, ["race_id"], "s", "f"), "accuracy")
+
+
 @query("d04_clean_quotes", "quotes", "select race_id, pos, a, b, pa, pb, state from quotes", QUOTES)
 def d04(v):
     return quotes(v).select("race_id", "pos", "a", "b", "pa", "pb", "state")
@@ -275,28 +282,33 @@ def d13(v):
     return D.capture_debt(c, c.filter("race_id % 3 <> 0"), c.filter("race_id % 4 <> 0").select("race_id"), as_of)
 
 
-_CUT = "greatest(0.001, least(0.999, round({p}, 6)))"
-UNITS = {"units": ("win field top h2h contests", f"""select u.*, c.ttype, c.year from (select 'win' as market, race_id, driver_id as id, 0::bigint as id2, {_CUT.format(p="p_win")} as p_model, {_CUT.format(p="1 / n::double")} as p_base, case when finish = 1 then 1 else 0 end as outcome
+def _units(cut: str) -> tuple[str, str]:
+    return ( "win field top h2h contests",
+        f"""select u.*, c.ttype, c.year from (select 'win' as market, race_id, driver_id as id, 0::bigint as id2, {cut.format(p="p_win")} as p_model, {cut.format(p="1 / n::double")} as p_base, case when finish = 1 then 1 else 0 end as outcome
   from (select *, count(*) over (partition by race_id) as n from win)
- union all select 'top10', race_id, driver_id, 0, {_CUT.format(p="p_top10")}, {_CUT.format(p="least(10, n) / n::double")}, case when finish <= 10 then 1 else 0 end
+ union all select 'top10', race_id, driver_id, 0, {cut.format(p="p_top10")}, {cut.format(p="least(10, n) / n::double")}, case when finish <= 10 then 1 else 0 end
   from (select *, count(*) over (partition by race_id) as n from top join field using (race_id, driver_id)) where least({DRAWS} * p_top10, {DRAWS} * (1 - p_top10)) >= 25
- union all select 'pair', a.race_id, a.driver_id, b.driver_id, {_CUT.format(p="1 / (1 + exp(b.u - a.u))")}, {_CUT.format(p="case when x.win_share = y.win_share then 0.5 else x.win_share / (x.win_share + y.win_share) end")}, case when a.finish < b.finish then 1 else 0 end
-  from field a join field b on a.race_id = b.race_id and a.driver_id < b.driver_id join h2h x on x.race_id = a.race_id and x.driver_id = a.driver_id join h2h y on y.race_id = b.race_id and y.driver_id = b.driver_id) u join contests c using (race_id)"""), **WIN, **TOP, **PAIRS}
+ union all select 'pair', a.race_id, a.driver_id, b.driver_id, {cut.format(p="1 / (1 + exp(b.u - a.u))")}, {cut.format(p="case when x.win_share = y.win_share then 0.5 else x.win_share / (x.win_share + y.win_share) end")}, case when a.finish < b.finish then 1 else 0 end
+  from field a join field b on a.race_id = b.race_id and a.driver_id < b.driver_id join h2h x on x.race_id = a.race_id and x.driver_id = a.driver_id join h2h y on y.race_id = b.race_id and y.driver_id = b.driver_id) u join contests c using (race_id)""",
+    )
+
+
+UNITS = {"units": _units("greatest(0.001, least(0.999, round({p}, 6)))"), "whole_units": _units("greatest(0.001, least(0.999, {p}))"), **WIN, **TOP, **PAIRS}
 
 
-def units(v):
+def units(v, digits=6):
     """Win, decision-grade top-10 and all pair units with model and baseline probabilities."""
     f = field(v)
-    top = D.entrant_units(P.topn_prob(P.draw_orders(f, DRAWS), DRAWS, [10]).join(f.select("race_id", "driver_id", "finish"), ["race_id", "driver_id"]), "p_top10", 10)
+    top = D.entrant_units(P.topn_prob(P.draw_orders(f, DRAWS), DRAWS, [10]).join(f.select("race_id", "driver_id", "finish"), ["race_id", "driver_id"]), "p_top10", 10, digits=digits)
     grade = P.mc_reliability(F.col("p_model"), DRAWS)["decision_grade"]  # the baseline counts all entrants, so the cut comes after
     shares = f.join(win_shares(v).select("race_id", "driver_id", "win_share"), ["race_id", "driver_id"])
-    t = D.unit_records({"win": D.entrant_units(P.win_prob(f), "p_win", 1), "top10": top.filter(grade), "pair": D.pair_units(shares)})
+    t = D.unit_records({"win": D.entrant_units(P.win_prob(f), "p_win", 1, digits=digits), "top10": top.filter(grade), "pair": D.pair_units(shares, digits=digits)})
     return t.join(v.contests.select("race_id", "ttype", "year"), "race_id")
 
 
-@query("k01_unit_records", "units", "select market, race_id, id, id2, round(p_model, 6) as p_model, round(p_base, 6) as p_base, outcome from units", UNITS)
+@query("k01_unit_records", "whole_units", "select market, race_id, id, id2, p_model, p_base, outcome from whole_units", UNITS)
 def k01(v):
-    return r6(units(v).select("market", "race_id", "id", "id2", "p_model", "p_base", "outcome"), "p_model", "p_base")
+    return units(v, None).select("market", "race_id", "id", "id2", "p_model", "p_base", "outcome")
 
 
 _LL = "-(outcome * ln({p}) + (1 - outcome) * ln(1 - {p}))"

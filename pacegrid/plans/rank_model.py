@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import history as H
+from ..operators import block_model as B
 from ..operators import rank_model as M
 from .history import ELIGIBLE, eligible_rows
 from .laps import r6
@@ -99,7 +100,7 @@ def m06(v):
 @query("m07_kendall", "mrows", """select race_id, round(s / sqrt(na * nb), 6) as tau, round((s / sqrt(na * nb) + 1) / 2, 6) as accuracy from (select a.race_id, sum(sign(a.start - b.start) * sign(a.finish - b.finish))::double as s,
  sum(abs(sign(a.start - b.start)))::double as na, sum(abs(sign(a.finish - b.finish)))::double as nb from mrows a join mrows b on a.race_id = b.race_id and a.driver_id < b.driver_id group by 1)""", ROWS)
 def m07(v):
-    return r6(M.kendall_by(model_rows(v), "start", "finish", "driver_id", ["race_id"]), "tau", "accuracy")
+    return r6(M.kendall_by(model_rows(v), "start", "finish", ["race_id"]), "tau", "accuracy")
 
 
 _BANK = {"start": "start", "finish": "fin_h", "pace": "pace_h", "combined": "-(x_pace + x_fin)", "combined_typed": "-(x_pace + 0.5::double * x_fin + 0.5::double * x_typ)"}
@@ -144,13 +145,13 @@ def z06(v):
 
 _U = "(('0x' || substr(md5({k}), 1, 13))::ubigint)::double / 4503599627370496.0::double"
 CI = {"ci": ("rho", f"""select g.ttype, g.mean, g.n, b.lo, b.hi from (select ttype, avg(rho) as mean, count(*) as n from rho group by 1) g join (select ttype, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from (
- select d.ttype, rep, avg(rho) as m from (select ttype, n, rep, floor({_U.format(k="ttype || '|' || rep || '|' || draw || '|1'")} * n)::int as i from (select ttype, count(*) as n from rho group by 1), range(200) r(rep), range(100) s(draw) where draw < n) d
+ select d.ttype, rep, avg(rho) as m from (select ttype, n, rep, floor({_U.format(k="ttype || '|' || rep || '|' || draw || '|1'")} * n)::int as i from (select ttype, count(*) as n from rho group by 1), range(500) r(rep), range(100) s(draw) where draw < n) d
  join (select ttype, rho, row_number() over (partition by ttype order by race_id) - 1 as i from rho) x on x.ttype = d.ttype and x.i = d.i group by 1, 2) group by 1) b using (ttype)"""), **RHO}
 
 
 @query("m10_bootstrap_mean_ci", "ci", "select ttype, round(mean, 6) as mean, n, round(lo, 6) as lo, round(hi, 6) as hi from ci", CI)
 def m10(v):
-    return r6(M.bootstrap_mean_ci(rho(v).drop("n"), "rho", "race_id", "ttype", reps=200), "mean", "lo", "hi")
+    return r6(M.bootstrap_mean_ci(rho(v).drop("n"), "rho", "race_id", "ttype", reps=500), "mean", "lo", "hi")
 
 
 @query("m11_two_sample", "runs", """select n1, n2, round(mean / (sd / sqrt(n1)), 6) as t, round(r1 - n1 * (n1 + 1) / 2.0::double, 6) as u, round((r1 - n1 * (n1 + 1) / 2.0::double - n1 * n2 / 2.0::double) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0::double), 6) as z from (
@@ -191,7 +192,7 @@ LAMBDAS = [0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0]
 
 
 def block_fit(v):
-    return M.block_pl_fit(v.entries, list(FACTORS), FACTORS)
+    return B.block_pl_fit(v.entries, list(FACTORS), FACTORS)
 
 
 @query("m14_block_pl_fit")
@@ -199,25 +200,50 @@ def m14(v):
     return r6(block_fit(v).select("factor", "entity", "worth"), "worth")
 
 
-@query("m14_block_pl_flat", "entries", " union all ".join(f"select distinct '{f}' as factor, {f}::varchar as entity, true as flat from entries" for f in FACTORS))
+@query("m14_block_pl_flat", "entries", " union all ".join(f"select distinct '{f}' as factor, {f}::varchar as entity, 0.0::double as gradient from entries" for f in FACTORS))
 def m14_flat(v):
-    """Whether the penalised likelihood is flat at each worth, as at its least."""
-    return block_fit(v).select("factor", "entity", (F.abs("gradient") < 0.01).alias("flat"))
+    """The gradient of the penalised likelihood at the fitted worths, taken anew by window functions, to two places."""
+    g = B.block_gradient(v.entries, list(FACTORS), block_fit(v), FACTORS)
+    return g.select("factor", "entity", F.abs(F.round("gradient", 2)).alias("gradient"))
 
 
 @query("m15_cv_select_lambda")
 def m15(v):
     rows = v.runs.select("race_id", "driver_id", "finish", "year", "team_name", "make")
-    best = M.cv_select_lambda(rows, list(FACTORS), LAMBDAS)
+    best = B.cv_select_lambda(rows, list(FACTORS), LAMBDAS)
     return rows.limit(1).select(*[F.lit(x).alias(f"lam_{f}") for f, x in best.items()])
 
 
-@query("m16_variance_shares", "entries", """select factor, lam, round(sqrt(1 / (2 * lam)), 6) as sd, round((1 / (2 * lam)) / sum(1 / (2 * lam)) over (), 6) as share, n from (
- select 'driver_id' as factor, 3.0::double as lam, count(distinct driver_id) as n from entries union all select 'team_name', 10.0, count(distinct team_name) from entries union all select 'make', 30.0, count(distinct make) from entries)""")
+#: The two variants of the entries: all, and those still running at the end.
+VARIANTS = {"primary": "true", "dnf_excluded": "status = 'running'"}
+
+
+@query("m16_variance_shares", "entries", " union all ".join(f"""select '{n}' as variant, factor, lam, round(sqrt(1 / (2 * lam)), 6) as sd, round((1 / (2 * lam)) / sum(1 / (2 * lam)) over (), 6) as share, n,
+ case when factor = 'team_name' and '{n}' = 'primary' then (1 / (2 * lam)) / sum(1 / (2 * lam)) over () >= 0.2 end as "trigger" from ("""
+ + " union all ".join(f"select '{f}' as factor, {x}::double as lam, count(distinct {f}) as n from entries where {c}" for f, x in FACTORS.items()) + ")" for n, c in VARIANTS.items()))
 def m16(v):
-    n = v.entries.agg(*[F.countDistinct(f).alias(f) for f in FACTORS])
-    lam = n.select(F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(x).alias("lam"), F.col(f).alias("n")) for f, x in FACTORS.items()])).alias("x")).select("x.*")
-    return r6(M.variance_shares(lam).join(lam.select("factor", "n"), "factor"), "sd", "share")
+    lam = v.spark.createDataFrame(list(FACTORS.items()), "factor string, lam double")
+    both = None
+    for name, cond in VARIANTS.items():
+        rows = v.entries.filter(cond)
+        own = None
+        for f in FACTORS:  # the shares need each factor's entities alone
+            t = rows.select(F.lit(f).alias("factor"), F.col(f).cast("string").alias("entity"), F.lit(0.0).alias("worth")).distinct()
+            own = t if own is None else own.unionByName(t)
+        s = M.variance_shares(lam, own).withColumn("variant", F.lit(name))
+        s = s.withColumn("trigger", F.when(F.lit(name) == "primary", F.col("trigger")))
+        both = s if both is None else both.unionByName(s)
+    return r6(both.select("variant", "factor", "lam", "sd", "share", "n", "trigger"), "sd", "share")
+
+
+@query("m16_empirical_spread")
+def m16_empirical(v):
+    """The deviation of the fitted worths by factor, of all entries and of the finishers only, beside what the ridge weights say."""
+    lam, both = v.spark.createDataFrame(list(FACTORS.items()), "factor string, lam double"), None
+    for name, cond in VARIANTS.items():
+        s = M.variance_shares(lam, B.block_pl_fit(v.entries.filter(cond), list(FACTORS), FACTORS)).select(F.lit(name).alias("variant"), "factor", "sd", "sd_empirical", "share", "n")
+        both = s if both is None else both.unionByName(s)
+    return r6(both, "sd", "sd_empirical", "share")
 
 
 @query("m17_strong_components", "entries", """with recursive e as (select distinct a, b from (select node as a, lead(node) over (partition by race_id order by finish) as b from (select *, race_id // 100 || ':' || team_name as node from entries)) where b is not null and a <> b),
@@ -228,6 +254,19 @@ def m17(v):
     return M.strong_components(M.ahead_edges(named, "node"))
 
 
+@query("m17_connectivity", "runs", """with recursive t as (select race_id, finish, w.w as win, f.f, case f.f when 'driver_id' then driver_id::varchar when 'team_name' then team_name else make end as e
+  from runs, (select unnest(['driver_id', 'team_name', 'make']) as f) f, lateral (select unnest(['pooled', year::varchar]) as w) w),
+ ids as (select win, f, e, row_number() over (order by win, f, e) as k from (select distinct win, f, e from t)),
+ edge as (select distinct x.k as a, y.k as b from (select win, f, e, lead(e) over (partition by race_id, win, f order by finish) as nxt from t) z join ids x on x.win = z.win and x.f = z.f and x.e = z.e join ids y on y.win = z.win and y.f = z.f and y.e = z.nxt where z.nxt <> z.e),
+ reach(a, b) as (select a, b from edge union select r.a, e.b from reach r join edge e on e.a = r.b),
+ comp as (select ids.*, least(k, coalesce(c.low, k)) as c from ids left join (select x.a, min(x.b) as low from reach x join reach y on y.a = x.b and y.b = x.a group by 1) c on c.a = ids.k),
+ sizes as (select win, f, c, count(*) as n, min(e) as first from comp group by 1, 2, 3),
+ heads as (select win, f, sum(n)::bigint as n_entities, count(*) as n_components, arg_min(c, (-n, first)) as g from sizes group by 1, 2)
+ select win as "window", f as factor, n_entities, n_components, n_components = 1 as connected, (select string_agg(e, ',' order by e) from comp where comp.win = heads.win and comp.f = heads.f and comp.c <> heads.g) as outside from heads""")
+def m17_report(v):
+    return M.connectivity(v.runs, list(FACTORS), "year")
+
+
 @query("m18_weighted_pearson", "resid", """select venue, case when vx > 1e-12 and vy > 1e-12 then round((sxy / sw - mx * my) / sqrt(vx * vy), 5) end as r from (select venue, sum(w) as sw, sum(w * x * y) as sxy, sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my,
  sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2) as vx, sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2) as vy from (select venue, fin_h as x, residual::double as y, n_hist::double as w from resid) group by 1)""", RESID)
 def m18(v):
@@ -253,12 +292,14 @@ def m19(v):
     return similarity(v).select("a", "b", F.round("sim", 5).alias("sim"), F.round("fold_sd", 5).alias("fold_sd"), "folds", "overlap", "weight")
 
 
-BLEND = {"fam": ("sim contests", "select s.*, least(x.family, y.family) as fa, greatest(x.family, y.family) as fb from sim s join (select distinct venue, family from contests) x on x.venue = s.a join (select distinct venue, family from contests) y on y.venue = s.b"), **SIM}
+BLEND = {"held": ("resid", "select venue, count(distinct race_id) as n from resid group by 1"), "fam": ("sim contests", "select s.*, least(x.family, y.family) as fa, greatest(x.family, y.family) as fb from sim s join (select distinct venue, family from contests) x on x.venue = s.a join (select distinct venue, family from contests) y on y.venue = s.b"), **SIM}
 
 
-@query("m20_pair_blend", "fam", """select a, b, met, round(case when met then (weight * sim + 5 * pool) / (weight + 5) else pool end, 5) as value from (select *, coalesce(overlap >= 5 and weight >= 10 and sim is not null, false) as met from fam) join (select fa, fb, avg(sim) as pool from fam group by 1, 2) using (fa, fb)""", BLEND)
+@query("m20_pair_blend", "fam held", """select a, b, met, round(case when met then (weight * sim + 5 * pool) / (weight + 5) else pool end, 5) as value
+ from (select fam.*, coalesce(overlap >= 5 and weight >= 10 and sim is not null, false) and coalesce(least(x.n, y.n), 0) >= 6 as met from fam left join held x on x.venue = fam.a left join held y on y.venue = fam.b) join (select fa, fb, avg(sim) as pool from fam group by 1, 2) using (fa, fb)""", BLEND)
 def m20(v):
-    t = M.pair_blend(similarity(v), v.contests.select("venue", "family").distinct())
+    held = residuals(v).groupBy("venue").agg(F.countDistinct("race_id").alias("n"))
+    t = M.pair_blend(similarity(v), v.contests.select("venue", "family").distinct(), held, sides=6)
     return t.select("a", "b", "met", F.round("value", 5).alias("value"))
 
 
@@ -295,6 +336,14 @@ def m23(v):
     return r6(M.edge_agreement(near(v), edges(v)), "jaccard")
 
 
+@query("m23_edge_spearman", "edges sim", """select n, round(case when n >= 3 then rho end, 6) as rho from (select count(*) as n, corr(x, y) as rho from (
+ select rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0::double as x, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as y
+ from (select 4 - e.rank as score, round(p.sim, 9) as s from edges e join sim p on p.a = least(e.source, e.target) and p.b = greatest(e.source, e.target) where p.sim is not null)))""", EDGES)
+def m23_spearman(v):
+    pairs = similarity(v).withColumn("sim", F.round("sim", 9))
+    return r6(M.edge_spearman(pairs, edges(v).withColumn("score", 4 - F.col("rank"))), "rho")
+
+
 COVS = {"covs": ("entries contests", "select venue, name, value from (select venue, avg(laps_completed) as laps, count(*)::double / count(distinct race_id) as field from entries join contests using (race_id) group by 1) unpivot (value for name in (laps, field))")}
 CUTS = {"gains": ("covs sim", """with c as (select venue, name, round(value, 6) as value from covs), s as (select c.name, t.threshold, c.venue, c.value <= t.threshold as lft from c join (select distinct name, value as threshold from c) t on t.name = c.name)
  select g.name, g.threshold, n_left, n_right, wl + wr - bt as gain from (select x.name, x.threshold, avg(sim) filter (where x.lft and y.lft) as wl, avg(sim) filter (where not x.lft and not y.lft) as wr, avg(sim) filter (where x.lft <> y.lft) as bt
@@ -312,6 +361,33 @@ def m24(v):
     return t.select("name", F.round("threshold", 6).alias("threshold"), "n_left", "n_right", F.round("gain", 5).alias("gain"))
 
 
+#: A level of the tree in SQL: candidates, their gains, the best of each node, and where its venues go.
+_LEVEL = """{n}v as (select t.node, t.venue, name, value, count(distinct t.venue) over (partition by t.node, name) as k, m from (select *, count(*) over (partition by node) as m from {at} where node >= {lo}) t join c on c.venue = t.venue where m >= 6),
+ {n}s as (select v.node, v.name, x.threshold, v.venue, v.value <= x.threshold as lft from {n}v v join (select node, name, (value + lead(value) over (partition by node, name order by value)) / 2 as threshold from (select distinct node, name, value from {n}v where k = m)) x on x.node = v.node and x.name = v.name where x.threshold is not null),
+ {n}g as (select a.node, a.name, a.threshold, avg(sim) filter (where a.lft and b.lft) + avg(sim) filter (where not a.lft and not b.lft) - avg(sim) filter (where a.lft <> b.lft) as gain from sim p join {n}s a on a.venue = p.a join {n}s b on b.venue = p.b and b.node = a.node and b.name = a.name and b.threshold = a.threshold where sim is not null group by 1, 2, 3),
+ {n} as (select g.node, arg_min((g.name, g.threshold, n_left, n_right, round(gain, 9)), (-round(gain, 9), g.name, g.threshold)) as x from {n}g g join (select node, name, threshold, count(*) filter (where lft) as n_left, count(*) filter (where not lft) as n_right from {n}s group by 1, 2, 3) z on z.node = g.node and z.name = g.name and z.threshold = g.threshold
+  where least(n_left, n_right) >= 3 and round(gain, 9) > 0 group by 1),
+ {to} as (select t.venue, case when s.node is null then t.node else 2 * t.node + case when c.value <= s.x[2] then 0 else 1 end end as node from {at} t left join {n} s on s.node = t.node left join c on c.venue = t.venue and c.name = s.x[1])"""
+_TREE = "with c as (select venue, name, round(value, 6) as value from covs), at0 as (select distinct venue, 1::bigint as node from c), " + ", ".join(_LEVEL.format(n=f"s{k}", at=f"at{k}", to=f"at{k + 1}", lo=2**k) for k in range(3))
+
+
+def tree(v):
+    return M.partition_tree(similarity(v).select("a", "b", "sim"), covariates(v))
+
+
+@query("m24_partition_tree", "covs sim", _TREE + " " + " union all ".join(f"select node, {k} as depth, x[1] as name, round(x[2], 6) as threshold, x[3] as n_left, x[4] as n_right, round(x[5], 5) as gain from s{k}" for k in range(3)), CUTS)
+def m24_tree(v):
+    t = tree(v)[1]
+    return t.select("node", "depth", "name", F.round("threshold", 6).alias("threshold"), "n_left", "n_right", F.round("gain", 5).alias("gain"))
+
+
+@query("m25_leaf_labels", "covs sim contests", _TREE + """, l as (select at3.venue, node as leaf, ttype as label from at3 left join (select distinct venue, ttype from contests) x on x.venue = at3.venue)
+ select venue, leaf, size, majority, label, label = majority as agrees from l join (select leaf, count(distinct venue) as size from l group by 1) s using (leaf)
+ left join (select leaf, arg_min(label, (-n, label)) as majority from (select leaf, label, count(*) as n from l where label is not null group by 1, 2) group by 1) m using (leaf)""", CUTS)
+def m25_labels(v):
+    return M.leaf_labels(tree(v)[0], v.contests.select("venue", F.col("ttype").alias("label")).distinct())
+
+
 @query("m25_leaf_agreement", "runs", """with c as (select family as leaf, ttype as label, count(*) as c from runs group by 1, 2), t as (select (select sum(c * (c - 1) / 2.0::double) from c) as ij, (select sum(c)::double from c) as n,
  (select sum(r * (r - 1) / 2.0::double) from (select sum(c) as r from c group by leaf)) as i, (select sum(r * (r - 1) / 2.0::double) from (select sum(c) as r from c group by label)) as j, (select sum(m)::double from (select max(c) as m from c group by leaf)) as m)
  select round(m / n, 6) as purity, round((ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)), 6) as ari from t""")
