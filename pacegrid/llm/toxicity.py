@@ -7,9 +7,11 @@ that toxic rows have far more often than others; words around a match that only
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -68,7 +70,10 @@ class Matcher:
                 spared.append((start, end))
             elif len(key) > len(at.get(start, "")):
                 at[start] = key
-        return [(s, k) for s, k in at.items() if not any(a <= s and s + len(k.rstrip()) <= b + 1 for a, b in spared)]
+        # a match is in an exception if, of those that begin no later, the one that reaches farthest reaches its end
+        spared.sort()
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        return [(s, k) for s, k in at.items() if not ((i := bisect_right(starts, s)) and s + len(k.rstrip()) <= reach[i - 1] + 1)]
 
     def features(self, text: str | None) -> tuple[float, float]:
         """The weights of the matches in all, and by length (a hundred words)."""
