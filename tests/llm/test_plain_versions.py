@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -106,32 +107,128 @@ def test_repeated_labels_and_texts_have_one_meaning(spark):
     assert (a.embeddings == b.embeddings).all() and (a.weights == b.weights).all()
 
 
+def plain_tree(node_list):
+    """(label, children) of a page's nodes of one slot; children by label."""
+    return node_list[0].label, [plain_tree(own) for own in wrappers.groups(node_list).values()]
+
+
+def slot_tree(slot):
+    return slot.label, [slot_tree(c) for c in slot.ordered()]
+
+
 def plain_matching(a, b):
-    if a.label != b.label:
+    if a[0] != b[0]:
         return 0
     best = 0
-    for n in range(min(len(a.children), len(b.children)) + 1):
-        for xs in itertools.combinations(a.children, n):
-            for ys in itertools.combinations(b.children, n):
-                best = max(best, sum(plain_matching(x, y) for x, y in zip(xs, ys)) if all(x.label == y.label for x, y in zip(xs, ys)) else 0)
+    for n in range(min(len(a[1]), len(b[1])) + 1):
+        for xs in itertools.combinations(a[1], n):
+            for ys in itertools.combinations(b[1], n):
+                best = max(best, sum(plain_matching(x, y) for x, y in zip(xs, ys)) if all(x[0] == y[0] for x, y in zip(xs, ys)) else 0)
     return 1 + best
 
 
 def test_tree_matching_is_the_largest():
     rng = np.random.default_rng(3)
 
-    def tree(depth):
-        s = wrappers.Slot(str(rng.choice(["a", "b"])))
-        s.children = [tree(depth - 1) for _ in range(int(rng.integers(0, 4)) if depth else 0)]
-        return s
+    def html(depth):
+        return "".join(f"<{t}>{html(depth - 1)}</{t}>" for t in rng.choice(["div", "ul", "section", "h2", "pre"], int(rng.integers(0, 6)))) if depth else "x"
 
     for _ in range(150):
-        x, y = tree(2), tree(2)
-        assert wrappers.matching(x, y, {}) == plain_matching(x, y)
-        if x.label == y.label:
-            pairs = wrappers.aligned(x.children, y.children, {})
-            assert all(p < q for p, q in zip(pairs, pairs[1:]))
-            assert 1 + sum(plain_matching(x.children[i], y.children[j]) for i, j in pairs) == plain_matching(x, y)
+        pages = [parse(html(3)) for _ in range(3)]
+        wrapper = wrappers.as_slots(pages[0])
+        wrappers.merge(wrapper, wrappers.as_slots(pages[1]))
+        size, pairs = wrappers.matching([pages[2]], wrapper)
+        assert size == len(pairs) == plain_matching(plain_tree([pages[2]]), slot_tree(wrapper))
+        assert all(nodes[0].label == slot.label for nodes, slot in pairs)
+
+
+def test_heaviest_chain_is_that_of_all_selections():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5, 9):
+        for _ in range(30):
+            places, weights = rng.permutation(n).tolist(), rng.integers(1, 5, n).tolist()
+            best = max(sum(weights[k] for k in c) for m in range(n + 1) for c in itertools.combinations(range(n), m) if all(places[i] < places[j] for i, j in zip(c, c[1:])))
+            got = wrappers.heaviest_chain(places, weights)
+            assert sum(weights[k] for k in got) == best and all(places[i] < places[j] for i, j in zip(got, got[1:]))
+
+
+def sections(names, shown=()):
+    own = "".join(f"<div class={n}><p>words of {n}</p></div>" for n in names)
+    return f"<html><body><div>{own}{''.join(shown)}</div></body></html>"
+
+
+def test_large_hosts_in_any_order_and_partitioning(spark):
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    box = "<div class=xbox><p>the same words everywhere</p></div>"
+    rows = [(k, f"http://big.example/{k}", sections([f"own{letters(k)}q{letters(i)}" for i in range(400)], [box] * (k >= 2))) for k in range(10)]
+    seen = set()
+    for order, parts in ((rows, 1), (rows[::-1], 1), (rows, 5), (rows[3:] + rows[:3], 3)):
+        df = spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1).repartition(parts) if parts > 1 else spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1)
+        got = tuple(sorted((r["page_id"], r["text"]) for r in wrappers.extract_pages(df).collect()))
+        assert not any("the same words everywhere" in t for _, t in got) and all(t.count("words of") == 400 for _, t in got)
+        seen.add(got)
+    assert len(seen) == 1
+
+
+def test_long_pages_of_alternating_blocks_take_seconds():
+    long = "".join(f"<h2>head {k}</h2><p>{'words ' * 5}{k}</p>" for k in range(8_000))
+    a, b = parse(f"<body><div>{long}</div></body>"), parse(f"<body><div><p>first</p>{long}</div></body>")
+    began = time.time()
+    wrapper = wrappers.merge(wrappers.as_slots(a), wrappers.as_slots(b))
+    wrapper.number()
+    assert len(wrappers.slot_texts(a, wrapper)) > 16_000 - 1 and wrappers.extract(b, wrapper, frozenset([(0, 0)])).startswith("first head 0")
+    odd = parse("".join(f"<div class=k{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}><p>{k}</p></div>" for k in range(15_000)))
+    assert len(wrappers.slots_of(odd, wrappers.as_slots(odd))) == 45_001
+    assert time.time() - began < 5
+
+
+def plain_texts(pages, share, least):
+    """Main texts by counting each text of each path of labels over a host's different pages, by plain loops (blocks keep their order)."""
+
+    def texts(node, path=()):
+        for c in node.children:
+            if c.tag == "#text":
+                yield path + ("#text",), c.text
+            else:
+                yield from texts(c, path + (c.label,))
+
+    counts, different = {}, {}
+    for host, page in {(h, p) for _, h, p in pages}:
+        different[host] = different.get(host, 0) + 1
+        for x in set(texts(parse(page))):
+            counts[host, x] = counts.get((host, x), 0) + 1
+    out = {}
+    for k, host, page in pages:
+        every = list(texts(parse(page)))
+        kept = [t for t in every if different[host] < least or counts[host, t] < share * different[host]]
+        out[k] = " ".join(t for _, t in (kept or every))
+    return out
+
+
+def test_template_counts_against_plain_loops(spark):
+    rng = np.random.default_rng(6)
+    pages = []
+    for k in range(60):
+        host = f"h{k % 4}.example" if k < 57 else "few.example"
+        body = "".join(f"<div class={c}>{f'fixed {c} of {host}' if rng.random() < 0.7 else f'own {c} {k}'}</div>" for c in "qrstuv" if rng.random() < 0.85)
+        pages.append((k, host, f"<html><body><section>{body}<pre>page {k}</pre></section></body></html>"))
+    pages += [(100 + k, pages[0][1], pages[0][2]) for k in range(40)]  # copies of one page count once
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", p) for k, h, p in pages], "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["text"] for r in wrappers.extract_pages(df).collect()} == plain_texts(pages, 0.6, 5)
+
+
+def test_all_of_an_article_is_kept():
+    assert wrappers.extract(parse("<main>one</main><div class=ad>x</div><main>two</main>")) == "one two"
+    assert wrappers.extract(parse("<article><header><h1>T</h1><p>standfirst</p></header><p>body</p></article>")) == "T standfirst body"
+    kept = "<article><section id=discussion><p>Discussion text</p></section><div class=related-methods><p>Methods</p></div><div class=comments><p>Nice</p></div><div class='ad box'>buy</div></article>"
+    assert wrappers.extract(parse(kept)) == "Discussion text Methods"
+
+
+def test_exceptions_of_a_very_long_text_take_no_time():
+    m = toxicity.Matcher(toxicity.Model({" scum ": 2.0}, [" pond scum "], (-2.0, 1.0, 0.5)))
+    text = toxicity.folded("pond scum and scum " * 100_000)
+    began = time.time()
+    assert len(m.found(text)) == 100_000 and time.time() - began < 3
 
 
 def test_long_deep_and_repeated_pages(spark):
