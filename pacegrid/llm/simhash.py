@@ -163,6 +163,8 @@ def near_links(fps: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
     by the same rule on its remaining bits, twice at most; a group then agrees on over 45 of 64 bits, where distinct
     fingerprints are few."""
     parts = budget + 1
+    if BITS < 4 * parts:
+        raise ValueError(f"a budget of {budget} bits leaves blocks of under 4 of {BITS} bits; the largest is {BITS // 4 - 1} (llm/similar.py has wider fingerprints)")
     at = [("", list(range(BITS - 1, -1, -1)))]
     level = fps.select("fp").distinct().withColumn("path", F.lit(""))
     levels = []

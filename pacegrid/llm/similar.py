@@ -117,6 +117,26 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([names[moved], names[up[moved]]], 1) if len(moved) else np.zeros((0, 2), np.int64)
 
 
+def _contracted(links: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Links (a, b) that join what the given ones do, fewer than nodes in a task: tasks of about so many links each return a forest, with
+    each node linked to the smallest of its tree. Few rounds of stars are left to do then."""
+    table = materialize(links.select("a", "b"), "links")
+    tasks = max(1, -(-table.count() // rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = np.zeros((0, 2), np.int64), 0
+        waiting: list[np.ndarray] = []
+        for b in batches:
+            waiting.append(b[["a", "b"]].to_numpy(np.int64))
+            n += len(b)
+            if n > 2 * rows:
+                held, waiting, n = _forest(np.concatenate([held, *waiting])), [], 0
+        held = _forest(np.concatenate([held, *waiting]))
+        yield pd.DataFrame({"a": held[:, 0], "b": held[:, 1]})
+
+    return table.coalesce(tasks).mapInPandas(run, "a long, b long")
+
+
 def _spanning(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
     """Which links (a, b) make a minimum spanning forest of them: each part takes its nearest link, until none leads out of its part."""
     names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -300,7 +320,7 @@ def _compared(edges: DataFrame, named: DataFrame, texts: DataFrame, words: int,
 
     The most frequent component of a part of that graph is at home there, and only others are compared with it and with each other: a
     task has two tiles of shingle sets, a set is copied once for each tile that it meets, and no pair is a row."""
-    of = materialize(connected_components(edges).withColumnRenamed("component", "part"), "parts")
+    of = materialize(connected_components(_contracted(edges)).withColumnRenamed("component", "part"), "parts")
     rows = materialize(of.join(named.select("node", "component", "least"), "node"), "members")
     sizes = rows.groupBy("part", "component").agg(F.count("*").alias("n"))
     home = sizes.groupBy("part").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
@@ -335,7 +355,7 @@ def _merged(named: DataFrame, links: DataFrame) -> DataFrame:
     component, so what earlier links joined is not followed again."""
     at = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     ends = links.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    of = connected_components(ends).filter("node <> component").select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    of = connected_components(_contracted(ends)).filter("node <> component").select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return named.join(materialize(of, "components"), "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
 
 

@@ -30,6 +30,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids are held in 16 bits: a vocabulary of over 65,536 ids can't be used")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.codes = Codes(most)

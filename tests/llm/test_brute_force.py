@@ -320,3 +320,9 @@ def test_empty_tables(spark, empty):
     assert quality.with_score(empty, quality.fit(empty, labels)).count() == 0
     assert toxicity.with_score(empty, toxicity.fit(empty, labels)).count() == 0
     assert language.with_language(empty, language.fit(empty)).count() == 0
+
+
+def test_a_budget_beyond_the_fingerprint_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="largest is 15"):
+        simhash.simhash_components(docs, budget=20)

@@ -102,3 +102,21 @@ def test_most_pairs_at_the_similarity_are_candidates():
         g, code = layout.deal(prints)
         hit += bool(((g[0] == g[1]) & (np.bitwise_count((code[0] ^ code[1]).astype(np.uint64)) <= 1)).any()) and np.bitwise_count(prints[0, :2] ^ prints[1, :2]).sum() <= layout.limit
     assert hit > 0.97 * 400
+
+
+def test_contracted_links_join_the_same(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (70, 2))] + [(5, 5)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+
+    def parts(links):
+        up = {}
+        find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+        for a, b in links:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in up if find(x) != x}
+
+    for rows in (10, 1000):
+        got = [tuple(r) for r in similar._contracted(df, rows).collect()]
+        assert parts(got) == parts([p for p in pairs if p[0] != p[1]])
+    assert len(got) < 60 and similar._contracted(df.filter("false")).count() == 0
