@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,18 @@ def labelled(documents: DataFrame, labels: DataFrame, column: str, per_class: in
     return known.groupBy("label").agg(F.count("*").alias("n")), rows
 
 
+def trained(rows: DataFrame, train: Callable[[pd.DataFrame], object]) -> object | None:
+    """What `train` makes of all rows, a bounded sample, in a task of its own, so that the driver holds neither the sample nor what training
+    takes, and a lost executor has it done again. None for an empty sample."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if held := [b for b in batches if len(b)]:
+            yield pd.DataFrame({"model": [pickle.dumps(train(pd.concat(held, ignore_index=True)))]})
+
+    found = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
+
+
 class Codes(dict):
     """Words to small integers; a word that isn't there yet gets the next one, and waits in `fresh` for its values.
 

@@ -2,7 +2,7 @@
 
 A document is the average of learned vectors: of its words, of their character n-grams, of their shapes and of pairs of
 neighbouring shapes, each found by hashing. A softmax over that average gives the classes. It is trained by stochastic
-gradient descent in numpy on a bounded sample of labelled rows, and applied by a Pandas UDF: as the score is linear in the
+gradient descent in numpy on a bounded sample of labelled, trained rows, and applied by a Pandas UDF: as the score is linear in the
 average, each word's share is made once and looked up."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, labelled
+from .common import Codes, labelled, trained
 
 BUCKETS = 1 << 16
 PIECE = 1 << 18  # bytes of words whose features are made at once
@@ -199,17 +199,20 @@ def train(texts: list[str], labels: np.ndarray, dims: int = 16, epochs: int = 4,
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000, seed: int = 7) -> Model | None:
-    """A model from about per_class labelled documents of each class at most (a documented bound: what the driver holds
-    does not grow with the corpus). Rows of fold 1 are never read for it; of several labels of a doc_id the largest counts, of several
+    """A model from about per_class labelled documents of each class at most (a documented bound: what the training
+    task holds does not grow with the corpus). Rows of fold 1 are never read for it; of several labels of a doc_id the largest counts, of several
     texts the smallest. None when a class has no labelled row."""
     counts, picked = labelled(documents, labels, "quality", per_class, seed)
     totals = {r["label"]: r["n"] for r in counts.collect()}
     if len(totals) < 2:
         return None
-    rows = picked.toPandas().sort_values("doc_id")
-    if rows["label"].nunique() < 2:
-        return None
-    return train(rows["text"].tolist(), rows["label"].to_numpy(np.int64), seed=seed, prior=totals[1] / (totals[0] + totals[1]))
+    prior = totals[1] / (totals[0] + totals[1])
+
+    def learn(rows: pd.DataFrame) -> Model | None:
+        rows = rows.sort_values("doc_id")
+        return train(rows["text"].tolist(), rows["label"].to_numpy(np.int64), seed=seed, prior=prior) if rows["label"].nunique() == 2 else None
+
+    return trained(picked, learn)
 
 
 class Scorer:

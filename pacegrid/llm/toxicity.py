@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled
+from .common import labelled, trained
 
 #: Letters of other scripts by the Latin letter they look like, and digits by the letter they stand for.
 LOOKALIKES = {
@@ -119,10 +119,16 @@ def train(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 20.
     texts, toxic = [texts[i] for i in keep], toxic[keep]
     plain = [folded(t) for t in texts]
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
+    # a first count by hash: only what shares a bucket with `least` rows is counted by name, as most words are rare
+    buckets = np.zeros(1 << 23, np.uint16)
+    place = lambda t: np.fromiter({hash(k) & len(buckets) - 1 for k in candidates(t)}, np.int64)
+    for t, y in zip(plain, toxic):
+        if y:
+            buckets[place(t)] += 1
     bad, good = Counter(), Counter()
     for t, y in zip(plain, toxic):
         if y:
-            bad.update(candidates(t))
+            bad.update(k for k in candidates(t) if buckets[hash(k) & len(buckets) - 1] >= least)
     wanted = {k for k, n in bad.items() if n >= least}
     for t, y in zip(plain, toxic):
         if not y:
@@ -162,10 +168,13 @@ def train(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 20.
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, seed: int = 9, exceptions: tuple[str, ...] = ()) -> Model:
     """A model from about per_class labelled documents of each class at most (a documented bound). Rows of fold 1 are never
     read for it; of several labels of a doc_id the largest counts, of several texts the smallest. Without labelled rows the lexicon is empty."""
-    rows = labelled(documents, labels, "toxic", per_class, seed)[1].toPandas().sort_values("doc_id")
-    if rows["label"].nunique() < 2:
-        return Model({}, [folded(x) for x in exceptions], (-3.0, 1.0, 1.0))
-    return train(rows["text"].tolist(), rows["label"].to_numpy(np.int64), exceptions=exceptions)
+
+    def learn(rows: pd.DataFrame) -> Model | None:
+        rows = rows.sort_values("doc_id")
+        return train(rows["text"].tolist(), rows["label"].to_numpy(np.int64), exceptions=exceptions) if rows["label"].nunique() == 2 else None
+
+    model = trained(labelled(documents, labels, "toxic", per_class, seed)[1], learn)
+    return model or Model({}, [folded(x) for x in exceptions], (-3.0, 1.0, 1.0))
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
