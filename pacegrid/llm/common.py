@@ -59,7 +59,7 @@ class Codes(dict):
 
     It is emptied between batches when it has grown past `most` words, so its memory is bounded whatever the corpus holds."""
 
-    def __init__(self, most: int = 800_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most, self.fresh = most, []
 

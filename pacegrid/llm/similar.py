@@ -33,11 +33,11 @@ class Shingler:
     """Texts to their sets of shingles, as sorted 64-bit hashes; each word is hashed once. A-Z are lower-cased and words parted by ASCII
     white space, as for the fingerprints of op3. A text of fewer words is one shingle, one without words has none."""
 
-    def __init__(self, words: int, most: int = 400_000):
+    def __init__(self, words: int, most: int = 200_000):
         self.words, self.codes, self.values, self.size = words, Codes(most), np.zeros(1 << 12, np.uint64), 0
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if self.codes.full() or self.size > 1 << 25:
+        if self.codes.full() or self.size > 1 << 24:
             self.codes.restart()
             self.size = 0
         codes = self.codes.of((text or "").encode("utf-8", "surrogatepass").lower().split())

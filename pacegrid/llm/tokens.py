@@ -22,7 +22,7 @@ class WordEncoder:
     """Ids of whole texts. The vocabulary's rules never join what white space parts, so the ids of each word are made
     once, by the library, and then looked up; a test holds the ids against the library's own over whole texts."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
