@@ -135,6 +135,13 @@ def text_rule_scan(docs: DataFrame, key: str, text: str, first: list[str], secon
     return lines.filter(has(first) & has(second) & ~has(exempt)).select(key, "line_no")
 
 
+def required_phrases(docs: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
+    """Q14, second part. key and phrase of each required phrase that a text lacks, case folded. A null text lacks them all."""
+    plain = F.lower(F.coalesce(F.col(text), F.lit("")))
+    gone = F.array_compact(F.array(*[F.when(~plain.contains(p.lower()), F.lit(p)) for p in phrases]))
+    return docs.select(key, F.explode(gone).alias("phrase"))
+
+
 def edge_rules(edges: DataFrame, most: int = 5) -> DataFrame:
     """Q15. Edges (source, target, rank, score) that break a rule: self edge, repeated, ranks not 1, 2, ..., too many, score rising with the rank."""
     w = W.partitionBy("source").orderBy("rank", "target")
@@ -157,6 +164,13 @@ def overlapping_ranges(ranges: DataFrame) -> DataFrame:
     return x.join(y, on).filter("note_a is null and note_b is null").select(F.col("name_a").alias("name"), F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
+def uncovered_years(ranges: DataFrame, active: DataFrame) -> DataFrame:
+    """Q17, second part. The (name, year) of `active` that no range (name, first_year, last_year) of that name covers, each once."""
+    r = ranges.select(F.col("name").alias("_name"), "first_year", "last_year")
+    on = (F.col("name") == F.col("_name")) & F.col("year").between(F.col("first_year"), F.col("last_year"))
+    return active.select("name", "year").distinct().join(r, on, "left_anti")
+
+
 def list_mirror(texts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Q18. Keys whose list inside a text (words of letters and digits in brackets) differs from the ordered rows (key, rank, id)."""
     want = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")).alias("_w"))
@@ -175,6 +189,13 @@ def schema_and_vocab(df: DataFrame, columns: list[str], allowed: dict[str, list]
     return out
 
 
+def gap_rules(stored: DataFrame, key: str, nth: str, gap: str) -> DataFrame:
+    """Q20, second part. key and fault of rows where being the first (nth = 1) and having no gap don't go together, or a number is negative."""
+    odd = F.coalesce(F.col(nth) == 1, F.lit(False)) != F.col(gap).isNull()
+    fault = F.when((F.col(gap) < 0) | (F.col(nth) < 0), "negative").when(odd, "debut")
+    return stored.select(key, fault.alias("fault")).filter("fault is not null")
+
+
 def derived_recheck(stored: DataFrame, derived: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Q20. Keys whose stored columns differ from those derived anew."""
     d = derived.select(key, *[F.col(c).alias(f"_d_{c}") for c in columns])

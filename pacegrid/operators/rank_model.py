@@ -66,34 +66,100 @@ def pl_fit(rows: DataFrame, xs: list[str], ridge: float = 0.5, tol: float = 1e-8
     return w
 
 
-def pl_walk_forward(rows: DataFrame, xs: list[str], ridge: float = 0.5, least: int = 20, every: int = 1, steps: int = 8) -> DataFrame:
-    """M03. Utilities of every contest after `least` others, by weights fitted on earlier contests alone. every: contests between refits.
+def _features(specs: dict[str, list[str]]) -> list[str]:
+    return sorted({x for xs in specs.values() for x in xs})
 
-    Each fit is a cut in the list of contests. All cuts are fitted together: a Newton step is one join of the cuts' weights
-    with the contests before them and one aggregate by cut; the driver keeps a weight vector a cut."""
-    spark = rows.sparkSession
-    races = [r["race_seq"] for r in rows.select("race_seq").distinct().orderBy("race_seq").collect()]  # a row a contest
-    scored = races[least:]
-    cuts = [scored[k - k % every] for k in range(len(scored))]
-    weights = {c: np.zeros(len(xs)) for c in sorted(set(cuts))}
-    rows = rows.select("race_id", "race_seq", "driver_id", "finish", *xs).persist()
-
-    def table(of: dict) -> DataFrame:
-        return spark.createDataFrame([(int(c), [float(x) for x in w]) for c, w in of.items()], "cut int, w array<double>")
 
+def _of_cuts(rows: DataFrame, xs: list[str], fits: dict[tuple[str, int], np.ndarray]) -> tuple[DataFrame, Column]:
+    """The contests before each cut, once for each feature set with a fit there, with that fit's utility as a column."""
+    spark, cuts = rows.sparkSession, sorted({c for _, c in fits})
+    table = spark.createDataFrame([(s, int(c), [float(x) for x in w]) for (s, c), w in fits.items()], "spec string, cut int, w array<double>")
+    before = rows.withColumn("cut", F.explode(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("race_seq"))))
     u = sum((F.col("w")[k] * F.col(x) for k, x in enumerate(xs)), F.lit(0.0))
-    for _ in range(steps if weights else 0):
-        train = rows.join(F.broadcast(table(weights)), F.col("race_seq") < F.col("cut"))
-        worst = 0.0
-        for r in pl_terms(train, xs, u, ["cut"], True).collect():
-            step, size = _newton_step(r, xs, weights[r["cut"]], ridge)
-            weights[r["cut"]] = weights[r["cut"]] - step
-            worst = max(worst, size)
-        if worst < 1e-8:
+    return before.join(F.broadcast(table), "cut"), u  # a short vector a contest and set
+
+
+def walk_forward_fits(rows: DataFrame, specs: dict[str, list[str]], cuts: list[int], ridge: float = 0.5, steps: int = 20, tol: float = 1e-8) -> dict[tuple[str, int], np.ndarray]:
+    """M03. {(set, cut): weights over all features in name order, zero outside the set}, each fitted on contests before the cut (race_seq < cut).
+
+    The first Newton step of all fits comes from one pass: at weights zero a contest's gradient and Hessian are the same in every fit, so a cut's are
+    prefix sums of a row a contest. From there all fits go on together, one aggregate a step; those that are flat drop out of the next one."""
+    xs = _features(specs)
+    own = {s: [xs.index(x) for x in of] for s, of in specs.items()}
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+
+    def terms(r) -> tuple[np.ndarray, np.ndarray]:
+        h = np.zeros((len(xs), len(xs)))
+        for i, j in pairs:
+            h[i, j] = h[j, i] = r[f"h_{xs[i]}_{xs[j]}"]
+        return np.array([r[f"g_{x}"] for x in xs]), h
+
+    def newton(spec: str, g: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+        at, full = own[spec], np.zeros(len(xs))
+        g = (g + 2 * ridge * w)[at]
+        full[at] = np.linalg.solve(h[np.ix_(at, at)] + 2 * ridge * np.eye(len(at)), g)
+        return full, float(np.abs(g).max(initial=0.0))
+
+    first = sorted(pl_terms(rows, xs, F.lit(0.0), ["race_seq"], True).collect(), key=lambda r: r["race_seq"])  # a row a contest
+    seqs, sums = [r["race_seq"] for r in first], [terms(r) for r in first]
+    g0 = np.cumsum([np.zeros(len(xs)), *[g for g, _ in sums]], axis=0)
+    h0 = np.cumsum([np.zeros((len(xs), len(xs))), *[h for _, h in sums]], axis=0)
+    weights, last, value = {}, {}, {}
+    for s in specs:
+        for c in sorted(set(cuts)):
+            k = int(np.searchsorted(seqs, c))
+            last[s, c], _ = newton(s, g0[k], h0[k], np.zeros(len(xs)))
+            weights[s, c] = -last[s, c]
+    left = {k for k in weights if k[1] > seqs[0]} if seqs else set()
+    for _ in range(steps):
+        if not left:
             break
-    at = spark.createDataFrame([(int(s), int(c)) for s, c in zip(scored, cuts)], "race_seq int, cut int")
-    out = rows.join(F.broadcast(at), "race_seq").join(F.broadcast(table(weights)), "cut")
-    return out.select("race_id", "race_seq", "driver_id", "finish", u.alias("u"))
+        train, u = _of_cuts(rows, xs, {k: weights[k] for k in left})
+        for r in pl_terms(train, xs, u, ["spec", "cut"], True).collect():
+            k = r["spec"], r["cut"]
+            now = r["nll"] + ridge * weights[k] @ weights[k]
+            if now > value.get(k, np.inf) + 1e-9 * abs(now):  # overshot: half the step
+                last[k] = last[k] / 2
+                weights[k] = weights[k] + last[k]
+                continue
+            value[k] = now
+            last[k], size = newton(k[0], *terms(r), weights[k])
+            if size < tol * max(1.0, abs(now)):
+                left.discard(k)
+            else:
+                weights[k] = weights[k] - last[k]
+    return weights
+
+
+def _walk(rows: DataFrame, specs: dict[str, list[str]], least: int, every: int) -> tuple[DataFrame, dict[int, int]]:
+    """Entrants that have every feature of every set, so that all sets see identical contests, and {contest scored: its cut}."""
+    xs = _features(specs)
+    rows = materialize(rows.select("race_id", "race_seq", "driver_id", "finish", *xs).dropna(subset=xs), "walk")
+    scored = [r["race_seq"] for r in rows.select("race_seq").distinct().orderBy("race_seq").collect()][least:]  # a row a contest
+    return rows, {s: scored[k - k % every] for k, s in enumerate(scored)}
+
+
+def pl_walk_forward(rows: DataFrame, specs: dict[str, list[str]], ridge: float = 0.5, least: int = 20, every: int = 1) -> DataFrame:
+    """M03. spec, race_id, race_seq, driver_id, finish, u of every contest after `least` others, by weights fitted on earlier contests alone,
+    for several feature sets on identical contests. every: contests between refits. No contest scored: no rows."""
+    rows, cut = _walk(rows, specs, least, every)
+    fits, spark = walk_forward_fits(rows, specs, list(cut.values()), ridge), rows.sparkSession
+    at = [(s, int(q), [float(x) for x in fits[s, c]]) for q, c in cut.items() for s in specs]
+    out = rows.join(F.broadcast(spark.createDataFrame(at, "spec string, race_seq int, w array<double>")), "race_seq")
+    u = sum((F.col("w")[k] * F.col(x) for k, x in enumerate(_features(specs))), F.lit(0.0))
+    return out.select("spec", "race_id", "race_seq", "driver_id", "finish", u.alias("u"))
+
+
+def walk_forward_gradient(rows: DataFrame, specs: dict[str, list[str]], ridge: float = 0.5, least: int = 20, every: int = 1) -> DataFrame:
+    """spec, cut, gradient: the largest absolute entry of the penalised gradient at each fit of M03, over the set's features."""
+    rows, cut = _walk(rows, specs, least, every)
+    fits, xs = walk_forward_fits(rows, specs, list(cut.values()), ridge), _features(specs)
+    if not fits:
+        return rows.sparkSession.createDataFrame([], "spec string, cut int, gradient double")
+    train, u = _of_cuts(rows, xs, fits)
+    t = pl_terms(train, xs, u, ["spec", "cut", "w"])
+    g = [F.when(F.col("spec").isin([s for s, of in specs.items() if x in of]), F.abs(F.col(f"g_{x}") + 2 * ridge * F.col("w")[k])).otherwise(0.0) for k, x in enumerate(xs)]
+    return t.select("spec", "cut", F.array_max(F.array(*g)).alias("gradient"))
 
 
 def predicted_rank(rows: DataFrame) -> DataFrame:
@@ -135,6 +201,14 @@ def wilcoxon(rows: DataFrame, d: Column) -> DataFrame:
     return s.join(ties).select("n", "w_plus", "w_minus", z.alias("z"), p("w_plus", "n").alias("p"))
 
 
+def paired_gate(rows: DataFrame, d: Column, most: float = 0.0167, least: float = 0.005) -> DataFrame:
+    """Z06. One row: n, z and one-sided p of the signed ranks of the differences, their mean, whether it reaches `least` (lifts), and the verdict:
+    adopt when p is `most` or less and the mean lifts, else keep. Without differences: keep."""
+    t = wilcoxon(rows, d).join(rows.agg(F.avg(d).alias("mean_d")))  # two single rows
+    lifts = F.coalesce(F.col("mean_d") >= least, F.lit(False))
+    return t.select("n", "z", "p", "mean_d", lifts.alias("lifts"), F.when(lifts & (F.col("p") <= most), "adopt").otherwise("keep").alias("verdict"))
+
+
 def bootstrap_mean_ci(rows: DataFrame, value: str, key: str, group: str, reps: int = 4000, level: float = 0.95, seed: int = 1) -> DataFrame:
     """M10. Percentile interval of the mean per group. Row number floor(u * n) of each draw, u from md5(group, replicate, draw, seed).
     A group's values (contests, not entrants) are one array, which each replicate draws from in place: nothing is joined."""

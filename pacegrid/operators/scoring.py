@@ -261,6 +261,20 @@ def murphy(bins: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("slope", slope).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).drop("sw", "sx", "sy", "sxx", "sxy")
 
 
+def stratum_bundle(units: DataFrame, strata: dict[str, Column], kind: str, tie: list[str], n_bins: int = 10, every: str = "all") -> DataFrame:
+    """K10. stratum, market, <kind>, metric, value: K02 to K06 of each stratum and market, of all units (<kind> = `every`) and of each value of
+    `kind`. strata: name to condition; they may overlap, and a unit counts in each that it meets. Metrics that are undefined have no row.
+
+    Units are copied once for each stratum and twice for the kind, and written once for both the skills and the bins."""
+    keys = ["stratum", "market", kind]
+    at = F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in strata.items()]))
+    t = units.withColumn("stratum", F.explode(at)).withColumn(kind, F.explode(F.array_compact(F.array(F.lit(every), F.col(kind)))))
+    t = materialize(t.select(*keys, *tie, "p_model", "p_base", "outcome"), "strata")
+    both = skill(t, keys).join(murphy(equal_mass_bins(t, keys, tie, n_bins), keys), keys).withColumn("n", F.col("n").cast("double"))
+    metrics = [c for c in both.columns if c not in keys]
+    return both.unpivot(keys, metrics, "metric", "value").filter("value is not null")
+
+
 def fixed_bins(units: DataFrame, edges: list[float], keys: list[str], least: int = 100) -> DataFrame:
     """K07. Bins between fixed edges with more than `least` units: n, mean p, observed rate."""
     b = F.lit(0)

@@ -397,7 +397,14 @@ def l35a(v):
     return t.select("venue", "era_key", *[(F.col(f"`{k}`").cast("long") if n == "n" else F.round(F.col(f"`{k}`"), 6)).alias(n) for k, n in names.items()])
 
 
-@query("l35_ols_start_effect")
+#: The coefficient by Cramer's rule on centred cross-products.
+_COV = {"cov": ("qis", "select venue, era_key, count(*) as n, " + ", ".join(f"covar_pop({a}, {b}) as {m}" for m, a, b in (
+    ("ss", "z_start", "z_start"), ("sf", "z_start", "fin_h"), ("sp", "z_start", "pace_h"), ("ff", "fin_h", "fin_h"), ("fp", "fin_h", "pace_h"), ("pp", "pace_h", "pace_h"),
+    ("sy", "z_start", "z_finish"), ("fy", "fin_h", "z_finish"), ("py", "pace_h", "z_finish"))) + " from qis group by 1, 2"), **QIS}
+
+
+@query("l35_ols_start_effect", "cov", """select venue, era_key, n, case when n >= 5 then round((sy * (ff * pp - fp * fp) - sf * (fy * pp - fp * py) + sp * (fy * fp - ff * py))
+ / (ss * (ff * pp - fp * fp) - sf * (sf * pp - fp * sp) + sp * (sf * fp - ff * sp)), 6) end as beta from cov""", _COV)
 def l35(v):
     return r6(L.ols_start_effect(qis_rows(v), ["venue", "era_key"]), "beta")
 

@@ -275,7 +275,8 @@ def d12(v):
     return D.pick_summary(picks(v).filter("reason = 'graded'"), "side").select("side", "n", F.round("win_rate", 6).alias("win_rate"), F.round("break_even", 6).alias("break_even"), F.round("profit", 4).alias("profit"), F.round("roi", 6).alias("roi"))
 
 
-@query("d13_capture_debt", "contests", "select count(*) as scored, count(*) filter (where race_id % 3 <> 0) as priced, count(*) - count(*) filter (where race_id % 3 <> 0) as debt, true as active, count(*) - count(*) filter (where race_id % 3 <> 0) > 2 as red from contests where race_id % 4 <> 0")
+@query("d13_capture_debt", "contests", """select scored, priced, scored - priced as debt, active, active and scored - priced > 2 as red from (select count(*) as scored, count(p.race_id) as priced, date '2001-08-06' - max(make_date(s.year, s.month, 1)) <= 45 as active
+ from contests s left join (select race_id from contests where race_id % 3 <> 0) p using (race_id) where race_id in (select race_id from contests where race_id % 4 <> 0))""")
 def d13(v):
     c = v.contests.withColumn("date", F.make_date("year", "month", F.lit(1)))
     as_of = F.date_add(F.lit("2001-08-01").cast("date"), 5)
@@ -379,8 +380,16 @@ def k09(v):
     return D.calibration_verdict(boot(v), F.col("market") != "win").select("market", "verdict")
 
 
-@query("k10_stratum_bundle", "units line", f"""select market, metric, round(value, 5) as value from (select market, bss, ll_skill, n::double as n, reliability, resolution, slope from (select market, 1 - b_model / b_base as bss, 1 - ll_model / ll_base as ll_skill, n from (select market, {_SKILL} from units group by 1)) join line using (market)) unpivot (value for metric in (bss, ll_skill, n, reliability, resolution, slope))""", LINE)
+_METRICS = ["b_model", "b_base", "bss", "ll_model", "ll_base", "ll_skill", "n", "reliability", "resolution", "uncertainty", "slope", "intercept"]
+_CELL = "stratum, market, ttype"
+BUNDLE = {"cells": ("units", "select * exclude (ttype), unnest(['all', ttype]) as ttype from (select *, unnest(['all', case when year <= 1997 then 'early' else 'late' end]) as stratum from units)"),
+ "cellbins": ("cells", f"select {_CELL}, bin, count(*) as n, avg(p_model) as x, avg(outcome) as y from (select *, case {_EDGES} end as bin from (select *, row_number() over (partition by {_CELL} order by p_model, race_id, id, id2) - 1 as k, count(*) over (partition by {_CELL}) as n from cells)) group by all"),
+ "cellline": ("cellbins", f"""select *, (sy - slope * sx) / sw as intercept from (select *, (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0) as slope from (select {_CELL}, sum(n * pow(x - y, 2)) / sum(n) as reliability, sum(n * pow(y - o, 2)) / sum(n) as resolution,
+  max(o) * (1 - max(o)) as uncertainty, sum(n) as sw, sum(n * x) as sx, sum(n * y) as sy, sum(n * x * x) as sxx, sum(n * x * y) as sxy from (select *, sum(n * y) over w / sum(n) over w as o from cellbins window w as (partition by {_CELL})) group by all))"""),
+ "cellskill": ("cells", f"select *, 1 - b_model / b_base as bss, 1 - ll_model / ll_base as ll_skill from (select {_CELL}, {_SKILL.replace('count(*)', 'count(*)::double')} from cells group by all)"), **UNITS}
+
+
+@query("k10_stratum_bundle", "cellskill cellline", f"select {_CELL}, metric, round(value, 5) as value from (select {_CELL}, {', '.join(_METRICS)} from cellskill join cellline using ({_CELL})) unpivot (value for metric in ({', '.join(_METRICS)}))", BUNDLE)
 def k10(v):
-    t = D.skill(units(v), ["market"]).join(D.murphy(bins(v), ["market"]), "market").withColumn("n", F.col("n").cast("double"))
-    long = t.unpivot("market", ["bss", "ll_skill", "n", "reliability", "resolution", "slope"], "metric", "value")
-    return long.select("market", "metric", F.round("value", 5).alias("value"))
+    strata = {"all": F.lit(True), "early": F.col("year") <= 1997, "late": F.col("year") > 1997}
+    return D.stratum_bundle(units(v), strata, "ttype", ["race_id", "id", "id2"]).withColumn("value", F.round("value", 5))

@@ -107,6 +107,14 @@ def q14(v):
     return Q.text_rule_scan(v.table("documents"), "doc_id", "text", ["the ", "der "], ["on"], ["license"])
 
 
+PHRASES = ["the", "license", "data"]
+
+
+@query("q14_required_phrases", "", f"select doc_id, phrase from documents, (select unnest({PHRASES}) as phrase) where not contains(lower(coalesce(text, '')), phrase)")
+def q14_required(v):
+    return Q.required_phrases(v.table("documents"), "doc_id", "text", PHRASES)
+
+
 @query("q15_edge_rules", "near", """select source, target, rank, fault from (select *, case when source = target then 'self' when c > 1 then 'repeated' when k <> rank then 'rank' when rank > 5 then 'many' when score > p then 'score' end as fault from (
  select *, row_number() over w as k, lag(score) over w as p, count(*) over (partition by source, target) as c from (select venue as source, case when rank = 2 and venue = 'v03' then venue else other end as target, rank + case when venue = 'v05' then 1 else 0 end as rank, case when rank = 3 then 9 else round(sim, 6) end as score from near where rank <= 6) window w as (partition by source order by rank, target))) where fault is not null""", EDGES)
 def q15(v):
@@ -123,13 +131,28 @@ def q16(v):
     return Q.count_identities(t, ["a", "b"], "n").select("race_id")
 
 
-@query("q17_overlapping_ranges", "contests", "select venue as name, 1 as a, 2 as b from contests where substr(venue, 2)::int % 3 = 0 and substr(venue, 2)::int % 2 = 1 group by 1")
-def q17(v):
+#: Two ranges a venue, with a documented or an undocumented overlap at some and a year between them at others.
+RANGES = {"numbered": ("contests", "select distinct venue as name, substr(venue, 2)::int as k from contests"),
+ "ranges": ("numbered", """select name, 1 as id, 1995 as first_year, case when k % 3 = 0 then 1998 else 1997 end as last_year, case when k % 2 = 0 then 'split' end as note from numbered
+ union all select name, 2, case when k % 5 = 0 then 1999 else 1998 end, 9999, null from numbered""")}
+
+
+def venue_ranges(v):
     n = F.substring("venue", 2, 2).cast("int")
     names = v.contests.select(F.col("venue").alias("name"), n.alias("k")).distinct()
     a = names.select("name", F.lit(1).alias("id"), F.lit(1995).alias("first_year"), F.when(F.col("k") % 3 == 0, 1998).otherwise(1997).alias("last_year"), F.when(F.col("k") % 2 == 0, "split").alias("note"))
-    b = names.select("name", F.lit(2).alias("id"), F.lit(1998).alias("first_year"), F.lit(9999).alias("last_year"), F.lit(None).cast("string").alias("note"))
-    return Q.overlapping_ranges(a.unionByName(b))
+    b = names.select("name", F.lit(2).alias("id"), F.when(F.col("k") % 5 == 0, 1999).otherwise(1998).alias("first_year"), F.lit(9999).alias("last_year"), F.lit(None).cast("string").alias("note"))
+    return a.unionByName(b)
+
+
+@query("q17_overlapping_ranges", "ranges", "select x.name, x.id as a, y.id as b from ranges x join ranges y on x.name = y.name and x.id < y.id and x.first_year <= y.last_year and y.first_year <= x.last_year where x.note is null and y.note is null", RANGES)
+def q17(v):
+    return Q.overlapping_ranges(venue_ranges(v))
+
+
+@query("q17_uncovered_years", "ranges contests", "select distinct venue as name, year from contests c where not exists (select 1 from ranges r where r.name = c.venue and c.year between r.first_year and r.last_year)", RANGES)
+def q17_uncovered(v):
+    return Q.uncovered_years(venue_ranges(v), v.contests.select(F.col("venue").alias("name"), "year"))
 
 
 @query("q18_list_mirror", "entries", "select race_id from entries where race_id % 4 = 0 group by 1 having count(*) > 1")
@@ -146,10 +169,25 @@ def q19(v):
     return Q.schema_and_vocab(e, ["race_id", "driver_id", "finish", "start", "status", "team_name", "make", "laps_completed"], {"status": ["running", "accident"], "make": ["ASIA", "EUROPE"]}).select("column", "value", "n")
 
 
-@query("q20_derived_recheck", "contests", "select race_id from contests where race_id % 6 = 0")
+#: Stored columns with faults: a visit counted twice, gaps one too large or lost, and the same derived anew from the contests.
+STORED = {"derived": ("contests", """select race_id, (select count(*) from contests p where p.venue = t.venue and p.race_seq <= t.race_seq) as nth, year - (select max(p.year) from contests p where p.venue = t.venue and p.race_seq < t.race_seq) as gap from contests t"""),
+ "stored": ("derived", "select race_id, case when race_id % 6 = 0 then nth + 1 else nth end as nth, case when race_id % 7 = 0 then null when race_id % 11 = 0 then gap - 2 else gap end as gap from derived")}
+
+
+def stored_features(d):
+    nth, gap = F.col("nth_at_venue"), F.col("seasons_since")
+    return d.withColumns({"nth_at_venue": F.when(F.col("race_id") % 6 == 0, nth + 1).otherwise(nth), "seasons_since": F.when(F.col("race_id") % 7 == 0, None).when(F.col("race_id") % 11 == 0, gap - 2).otherwise(gap)})
+
+
+@query("q20_gap_rules", "stored", "select race_id, case when gap < 0 or nth < 0 then 'negative' else 'debut' end as fault from stored where gap < 0 or nth < 0 or (nth = 1) <> (gap is null)", STORED)
+def q20_gaps(v):
+    return Q.gap_rules(stored_features(C.schedule_features(v.contests, ["q1"], 1998)), "race_id", "nth_at_venue", "seasons_since")
+
+
+@query("q20_derived_recheck", "stored derived", "select race_id from stored s join derived d using (race_id) where s.nth is distinct from d.nth or s.gap is distinct from d.gap", STORED)
 def q20(v):
     d = C.schedule_features(v.contests, ["q1"], 1998)
-    s = d.withColumn("nth_at_venue", F.when(F.col("race_id") % 6 == 0, F.col("nth_at_venue") + 1).otherwise(F.col("nth_at_venue")))
+    s = stored_features(d)
     return Q.derived_recheck(s, d, "race_id", ["nth_at_venue", "seasons_since"])
 
 

@@ -55,9 +55,20 @@ def m02_flat(v):
     return t.select((F.abs("residual_x_fin") < 1e-4).alias("flat_fin"), (F.abs("residual_x_start") < 1e-4).alias("flat_start")).join(model_rows(v).agg(F.count("*").alias("n")))
 
 
+#: Feature sets that are compared on identical contests.
+SETS = {"two": ["x_fin", "x_start"], "four": list(WEIGHTS)}
+
+
 @query("m03_pl_walk_forward")
 def m03(v):
-    return r6(M.pl_walk_forward(model_rows(v), ["x_fin", "x_start"], least=20), "u")
+    return r6(M.pl_walk_forward(model_rows(v), SETS, least=20), "u")
+
+
+@query("m03_walk_forward_flat", "mrows", f"select unnest({list(SETS)}) as spec, race_seq as cut, true as flat from (select distinct race_seq from mrows order by race_seq offset 20)", ROWS)
+def m03_flat(v):
+    """Whether the penalised likelihood is flat at the weights of every set and cut; tests hold the weights against a plain fit."""
+    t = M.walk_forward_gradient(model_rows(v), SETS, least=20)
+    return t.select("spec", "cut", (F.col("gradient") < 1e-3).alias("flat"))
 
 
 @query("m04_pl_score_field")
@@ -130,17 +141,24 @@ SIGNED = {"signed": ("paired", """select n, w_plus, w_minus, round((w_plus - n *
  (select sum(c * c * c - c) as ties from (select count(*) as c from paired where d <> 0 group by abs(d)))"""), **PAIRED}
 
 
-@query("m09_wilcoxon", "signed", "select n, round(w_plus, 6) as w_plus, round(w_minus, 6) as w_minus, z from signed", SIGNED)
+#: p of the signed ranks: over 50 pairs the normal tail by Simpson's rule, else the counts of rank sums over 2^n.
+TAIL = {"curve": ("signed", "select (w_plus - n * (n + 1) / 4.0::double - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double) as low from signed"),
+ "normal": ("curve", """select sum((case when i in (0, 6000) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-pow(low + i * 0.005::double, 2) / 2)) * 0.005::double / 3 / sqrt(2 * pi()) as p from curve, range(6001) r(i)"""),
+ "exact": ("signed", """with recursive w(k, ways) as (select 0::bigint, [case when s = 0 then 1.0::double else 0.0::double end for s in range(0, n * (n + 1) // 2 + 1)] from signed where n between 1 and 50
+  union all select k + 1, [ways[s + 1] + case when s > k then ways[s - k] else 0.0::double end for s in range(0, len(ways))] from w, signed where k < n)
+ select list_sum(ways[ceil(w_plus)::bigint + 1 :]) / pow(2, n) as p from w, signed where k = n"""),
+ "tail": ("signed normal exact", "select *, case when n > 50 then (select p from normal) when n = 0 then 1.0::double else (select p from exact) end as p from signed"), **SIGNED}
+
+
+@query("m09_wilcoxon", "tail", "select n, round(w_plus, 6) as w_plus, round(w_minus, 6) as w_minus, z, round(p, 6) as p from tail", TAIL)
 def m09(v):
-    return r6(M.wilcoxon(paired(v), F.col("d")).select("n", "w_plus", "w_minus", "z"), "w_plus", "w_minus", "z")
+    return r6(M.wilcoxon(paired(v), F.col("d")).select("n", "w_plus", "w_minus", "z", "p"), "w_plus", "w_minus", "z", "p")
 
 
-@query("z06_paired_gate", "paired signed", "select n, z, round(avg_d, 6) as mean_d, avg_d >= 0.005 as lifts from signed, (select avg(d) as avg_d from paired)", SIGNED)
+@query("z06_paired_gate", "paired tail", """select n, z, round(p, 6) as p, round(avg_d, 6) as mean_d, avg_d >= 0.005 as lifts, case when p <= 0.0167 and avg_d >= 0.005 then 'adopt' else 'keep' end as verdict
+ from tail, (select avg(d) as avg_d from paired)""", TAIL)
 def z06(v):
-    d = paired(v)
-    t = M.wilcoxon(d, F.col("d")).join(d.agg(F.avg("d").alias("mean_d")))
-    verdict = F.when((F.col("p") <= 0.0167) & (F.col("mean_d") >= 0.005), "adopt").otherwise("keep")
-    return r6(t.withColumn("verdict", verdict).select("n", "z", "mean_d", (F.col("mean_d") >= 0.005).alias("lifts")), "z", "mean_d")
+    return r6(M.paired_gate(paired(v), F.col("d")), "z", "p", "mean_d")
 
 
 _U = "(('0x' || substr(md5({k}), 1, 13))::ubigint)::double / 4503599627370496.0::double"
@@ -154,12 +172,13 @@ def m10(v):
     return r6(M.bootstrap_mean_ci(rho(v).drop("n"), "rho", "race_id", "ttype", reps=500), "mean", "lo", "hi")
 
 
-@query("m11_two_sample", "runs", """select n1, n2, round(mean / (sd / sqrt(n1)), 6) as t, round(r1 - n1 * (n1 + 1) / 2.0::double, 6) as u, round((r1 - n1 * (n1 + 1) / 2.0::double - n1 * n2 / 2.0::double) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0::double), 6) as z from (
+@query("m11_two_sample", "runs", """select n1, n2, round(mean / (sd / sqrt(n1)), 6) as t, (select round(greatest(0, 1 - 2 * sum((case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(1 + pow(i / 4000.0::double * far, 2) / df, -(df + 1) / 2.0::double)) * far / 12000
+  * exp(lgamma((df + 1) / 2.0::double) - lgamma(df / 2.0::double)) / sqrt(df * pi())), 6) from (select abs(mean / (sd / sqrt(n1))) as far, (n1 - 1)::double as df), range(4001) r(i) group by far, df) as p, round(r1 - n1 * (n1 + 1) / 2.0::double, 6) as u, round((r1 - n1 * (n1 + 1) / 2.0::double - n1 * n2 / 2.0::double) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0::double), 6) as z from (
  select count(*) filter (where f) as n1, count(*) filter (where not f) as n2, sum(r) filter (where f) as r1, avg(d) filter (where f) as mean, stddev_samp(d) filter (where f) as sd from (
  select start - finish as d, month >= 9 as f, rank() over (order by start - finish) + (count(*) over (partition by start - finish) - 1) / 2.0::double as r from runs))""")
 def m11(v):
     t = v.runs.select((F.col("start") - F.col("finish")).alias("d"), (F.col("month") >= 9).alias("f"))
-    return r6(M.two_sample(t, "d", "f").select("n1", "n2", "t", "u", "z"), "t", "u", "z")
+    return r6(M.two_sample(t, "d", "f").select("n1", "n2", "t", "p", "u", "z"), "t", "p", "u", "z")
 
 
 VALUES, HALF_LIVES, BURNS, LEAST = ["finish", "start", "laps_completed", "gain"], [2, 4, 8, 16], [10, 15], [1, 5]
