@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,13 @@ class Shingler:
         return np.unique(out)
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The rows in frames of so many at most, so that a task holds few shingle sets at a time."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]
+
+
 def set_id(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
@@ -160,14 +168,12 @@ def _dealt(nodes: DataFrame, layout: Layout) -> DataFrame:
     """A row for each node and half of a block: g, node, size, component, code, c0, c1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                b = batch.iloc[k : k + 500]
-                prints = np.frombuffer(b"".join(b["print"]), np.uint64).reshape(len(b), -1)
-                g, code = layout.deal(prints)
-                each = g.shape[1]
-                row = {c: np.repeat(b[c].to_numpy(), each) for c in ("node", "size", "component")}
-                yield pd.DataFrame({"g": g.ravel(), **row, "code": code.ravel(), **{f"c{i}": np.repeat(prints[:, i].view(np.int64), each) for i in range(_CHECK)}})
+        for b in _slices(batches):
+            prints = np.frombuffer(b"".join(b["print"]), np.uint64).reshape(len(b), -1)
+            g, code = layout.deal(prints)
+            each = g.shape[1]
+            row = {c: np.repeat(b[c].to_numpy(), each) for c in ("node", "size", "component")}
+            yield pd.DataFrame({"g": g.ravel(), **row, "code": code.ravel(), **{f"c{i}": np.repeat(prints[:, i].view(np.int64), each) for i in range(_CHECK)}})
 
     checks = ", ".join(f"c{i} long" for i in range(_CHECK))
     return nodes.select("node", "size", "component", "print").mapInPandas(run, f"g long, node long, size int, component long, code long, {checks}")
@@ -276,7 +282,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingler(t) for t in b["text"]]
             own = [k for k, (s, n) in enumerate(zip(sets, b["node"])) if set_id(s) == n]
             yield pd.DataFrame({"node": b["node"].iloc[own], "hashes": [sets[k].tobytes() for k in own]})
@@ -286,16 +292,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
     sets = materialize(sets, "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = np.zeros(len(b), bool)
+            keep = np.zeros(b.num_rows, bool)
             for k, (ha, hb) in enumerate(zip(b["ha"], b["hb"])):
-                x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
+                x, y = (np.frombuffer(h.as_buffer(), np.uint64) for h in (ha, hb))  # in place: the sets are most of a batch
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep[k] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
-            yield b.loc[keep, ["a", "b"]]
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInPandas(compare, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -329,7 +335,7 @@ def _compared(edges: DataFrame, named: DataFrame, texts: DataFrame, words: int,
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingler(t) for t in b["text"]]
             own = [k for k, (s, n) in enumerate(zip(sets, b["node"])) if set_id(s) == n]
             yield pd.DataFrame({"node": b["node"].iloc[own], "hashes": [sets[k].tobytes() for k in own]})
@@ -368,7 +374,7 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingler(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "node": [set_id(s) for s in sets], "size": [len(s) for s in sets], "print": [wide_fingerprint(s, layout.longs).tobytes() for s in sets]})
 
