@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.inversions import PIECE
+from ..functions.segments import segmented
 from ..functions.stats import pearson
 
 RUN = ["race_id", "driver_id"]
@@ -324,9 +326,29 @@ def ols_sums(rows: DataFrame, y: str, xs: list[str], keys: list[str]) -> DataFra
 
 def ols_start_effect(rows: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     """L35. The coefficient of z_start in an OLS of z_finish on z_start, fin_h and pace_h; null under `least` rows. Normal equations of 4 x 4."""
-    names = ["_1", "z_start", "fin_h", "pace_h"]
-    sums = ols_sums(rows, "z_finish", names[1:], keys)
-    plain = sums.select(*keys, *[F.col(f"`{c}`").alias(c.replace("*", "__")) for c in sums.columns if c not in keys])
+    return _start_coefficient(_plain_sums(rows, keys), keys, least)
+
+
+def ols_prior_effect(rows: DataFrame, keys: list[str], order: str = "race_seq", least: int = 5) -> DataFrame:
+    """L35, as of each contest of a key: the coefficient from the key's rows of strictly earlier contests, and their number n; null under
+    `least` rows. Sums are a row a contest, then running sums, so no contest's rows are read again for a later one."""
+    at = [*keys, order]
+    sums = _plain_sums(rows, at)
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    prior = sums.select(*at, *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in sums.columns if c not in at])
+    return _start_coefficient(prior, at, least)
+
+
+_OLS = ["_1", "z_start", "fin_h", "pace_h"]
+
+
+def _plain_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    sums = ols_sums(rows, "z_finish", _OLS[1:], keys)
+    return sums.select(*keys, *[F.col(f"`{c}`").alias(c.replace("*", "__")) for c in sums.columns if c not in keys])
+
+
+def _start_coefficient(sums: DataFrame, keys: list[str], least: int) -> DataFrame:
+    names = _OLS
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -337,8 +359,8 @@ def ols_start_effect(rows: DataFrame, keys: list[str], least: int = 5) -> DataFr
                 out.append(float(np.linalg.lstsq(a, v, rcond=None)[0][1]) if r["_1___1"] >= least else None)
             yield b[keys].assign(n=b["_1___1"].astype("int64"), beta=pd.Series(out, index=b.index, dtype="float64"))
 
-    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", n long, beta double"
-    return plain.mapInPandas(solve, schema)
+    schema = ", ".join(f"{k} {dict(sums.dtypes)[k]}" for k in keys) + ", n long, beta double"
+    return sums.mapInPandas(solve, schema)
 
 
 def elapsed_clock(laps: DataFrame) -> DataFrame:
@@ -349,11 +371,18 @@ def elapsed_clock(laps: DataFrame) -> DataFrame:
     return laps.withColumn("clock", F.when(fine, F.sum("lap_time").over(w)))
 
 
-def gap_ahead(clocked: DataFrame, dirty: float = 3.0) -> DataFrame:
-    """Z04. The time since another car last crossed the line, and whether it is under the threshold."""
-    w = W.partitionBy("race_id").orderBy("clock", "driver_id", "lap")
-    t = clocked.filter("clock is not null").withColumn("gap", F.col("clock") - F.lag("clock").over(w))
-    return t.withColumn("dirty", F.col("gap") < dirty)
+def gap_ahead(clocked: DataFrame, dirty: float = 3.0, most: int | None = None, piece: int = PIECE) -> DataFrame:
+    """Z04. The time since another car last crossed the line, and whether it is under the threshold.
+
+    A contest of over `piece` rows is cut into segments of the clock, each a window of its own; its first row takes the last clock of the
+    segments before. most: the rows of the largest contest or a bound of them, counted where it isn't given."""
+    t = segmented(clocked.filter("clock is not null"), "clock", ["race_id"], most, piece)
+    part = ["race_id", "_segment"]
+    last = F.max("_end").over(W.partitionBy("race_id").orderBy("_segment").rowsBetween(W.unboundedPreceding, -1))
+    before = t.groupBy(*part).agg(F.max("clock").alias("_end")).select(*part, last.alias("_before"))
+    ahead = F.lag("clock").over(W.partitionBy(*part).orderBy("clock", "driver_id", "lap"))
+    t = t.withColumn("_ahead", ahead).join(before, part).withColumn("gap", F.col("clock") - F.coalesce("_ahead", "_before"))
+    return t.withColumn("dirty", F.col("gap") < dirty).drop("_segment", "_ahead", "_before")
 
 
 def tyre_age(laps: DataFrame, pits: DataFrame) -> DataFrame:

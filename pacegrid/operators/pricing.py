@@ -16,7 +16,17 @@ def softmax(u: Column, group: list[str]) -> Column:
     return e / F.sum(e).over(w)
 
 
-def win_prob(field: DataFrame) -> DataFrame:
+def win_prob(field: DataFrame, pieces: int = 1) -> DataFrame:
+    """P01. pieces: the tasks that a contest's field is spread over, by entrant; each sums its part, shifted by the part's largest u, and the
+    parts of a contest meet as a row each."""
+    if pieces > 1:
+        part, whole = ["race_id", "_part"], W.partitionBy("race_id")
+        t = field.withColumn("_part", F.pmod(F.xxhash64("driver_id"), F.lit(pieces))).withColumn("top", F.max("u").over(W.partitionBy(*part)))
+        t = t.withColumn("e", F.exp(F.col("u") - F.col("top")))
+        sums = t.groupBy(*part).agg(F.max("top").alias("t"), F.sum("e").alias("s"))
+        scale = F.exp(F.col("t") - F.max("t").over(whole))
+        sums = sums.withColumn("scale", scale).select(*part, (F.col("scale") / F.sum(F.col("s") * F.col("scale")).over(whole)).alias("_share"))
+        return t.join(sums, part).withColumn("p_win", F.col("e") * F.col("_share")).drop("top", "e", "_part", "_share")
     return field.withColumn("top", F.max("u").over(W.partitionBy("race_id"))).withColumn("e", F.exp(F.col("u") - F.col("top"))).withColumn("p_win", F.col("e") / F.sum("e").over(W.partitionBy("race_id"))).drop("top", "e")
 
 

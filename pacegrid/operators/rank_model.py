@@ -7,23 +7,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.inversions import pair_counts, tied_pairs
+from ..functions.inversions import PIECE, pair_counts, tied_pairs
 from ..functions.ranks import ranked
 from ..functions.stats import avg_rank, pearson, safe_div, signed_rank_sf, student_sf, uniform
 from ..sources.shared import materialize
 
 
-def pl_terms(rows: DataFrame, xs: list[str], u: Column, keys: list[str], hessian: bool = False) -> DataFrame:
+def _running(t: DataFrame, parts: dict[str, Column], race: list[str]) -> DataFrame:
+    """_m, the contest's largest utility, _e = exp(u - m), its running sums from behind times each of `parts`, and _q, e times the sum of
+    1 / S so far; a contest is one window."""
+    back = W.partitionBy(*race).orderBy(F.desc("finish")).rowsBetween(W.unboundedPreceding, 0)
+    fore = W.partitionBy(*race).orderBy("finish").rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("_m", F.max("_u").over(W.partitionBy(*race))).withColumn("_e", F.exp(F.col("_u") - F.col("_m")))
+    t = t.withColumns({c: F.sum(F.col("_e") * x).over(back) for c, x in parts.items()})
+    return t.withColumn("_q", F.col("_e") * F.sum(1 / F.col("_S")).over(fore))
+
+
+def _running_in_pieces(t: DataFrame, parts: dict[str, Column], race: list[str], piece: int) -> DataFrame:
+    """The columns of `_running` where a contest is cut at every `piece` places: sums inside a segment, shifted by its own largest utility,
+    and a row a segment with what those behind it (for 1 / S, those before it) add up to. Windows, sums and joins go by contest and segment."""
+    part = [*race, "_segment"]
+    inside, of_race = W.partitionBy(*part), W.partitionBy(*race)
+    back = inside.orderBy(F.desc("finish")).rowsBetween(W.unboundedPreceding, 0)
+    fore = inside.orderBy("finish").rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("_segment", F.floor((F.col("finish") - 1) / F.lit(piece)))
+    t = t.withColumn("_top", F.max("_u").over(inside)).withColumn("_e", F.exp(F.col("_u") - F.col("_top")))
+    ends = t.groupBy(*part).agg(F.max("_top").alias("_t"), *[F.sum(F.col("_e") * x).alias(f"{c}_all") for c, x in parts.items()])
+    ends = ends.withColumn("_m", F.max("_t").over(of_race)).withColumn("_scale", F.exp(F.col("_t") - F.col("_m")))
+    behind = of_race.orderBy(F.desc("_segment")).rowsBetween(W.unboundedPreceding, -1)
+    more = [F.coalesce(F.sum(F.col(f"{c}_all") * F.col("_scale")).over(behind), F.lit(0.0)).alias(f"{c}_more") for c in parts]
+    t = t.withColumns({c: F.sum(F.col("_e") * x).over(back) for c, x in parts.items()}).join(ends.select(*part, "_m", "_scale", *more), part)
+    t = t.withColumns({"_e": F.col("_e") * F.col("_scale"), **{c: F.col(c) * F.col("_scale") + F.col(f"{c}_more") for c in parts}})
+    before = of_race.orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
+    sums = t.groupBy(*part).agg(F.sum(1 / F.col("_S")).alias("_inverse"))
+    sums = sums.select(*part, F.coalesce(F.sum("_inverse").over(before), F.lit(0.0)).alias("_passed"))
+    t = t.withColumn("_so_far", F.sum(1 / F.col("_S")).over(fore)).join(sums, part)
+    return t.withColumn("_q", F.col("_e") * (F.col("_so_far") + F.col("_passed")))
+
+
+def pl_terms(rows: DataFrame, xs: list[str], u: Column, keys: list[str], hessian: bool = False, piece: int | None = None) -> DataFrame:
     """M01, per key: nll (sum over ranks of log S - u), gradient g_<x>, and Hessian h_<x>_<y>, without the ridge.
 
     rows hold one entrant of one contest each, with its finish. S is the sum of exp(u) over the entrant and those behind
-    it: a running sum in reverse finish order, after a shift by the contest's largest u; q the prefix sum of 1 / S."""
+    it: a running sum in reverse finish order, after a shift by the contest's largest u; q the prefix sum of 1 / S.
+    piece: how many places of a contest one task takes; none: a contest is one window. `field_piece` tells which is due."""
     race = [*keys, "race_id"]
-    back = W.partitionBy(*race).orderBy(F.desc("finish")).rowsBetween(W.unboundedPreceding, 0)
-    fore = W.partitionBy(*race).orderBy("finish").rowsBetween(W.unboundedPreceding, 0)
-    t = rows.withColumn("_u", u).withColumn("_m", F.max("_u").over(W.partitionBy(*race))).withColumn("_e", F.exp(F.col("_u") - F.col("_m")))
-    t = t.withColumns({"_S": F.sum("_e").over(back), **({f"_b_{x}": F.sum(F.col("_e") * F.col(x)).over(back) for x in xs} if hessian else {})})
-    t = t.withColumn("_q", F.col("_e") * F.sum(1 / F.col("_S")).over(fore))
+    t, parts = rows.withColumn("_u", u), {"_S": F.lit(1.0), **({f"_b_{x}": F.col(x) for x in xs} if hessian else {})}
+    t = _running(t, parts, race) if piece is None else _running_in_pieces(t, parts, race, piece)
     aggs = [F.sum(F.log("_S") + F.col("_m") - F.col("_u")).alias("nll")]
     aggs += [F.sum((F.col("_q") - 1) * F.col(x)).alias(f"g_{x}") for x in xs]
     if hessian:
@@ -31,6 +61,11 @@ def pl_terms(rows: DataFrame, xs: list[str], u: Column, keys: list[str], hessian
     return t.groupBy(*keys).agg(*aggs) if keys else t.agg(*aggs)
 
 
+def field_piece(entries: DataFrame, piece: int = PIECE) -> int | None:
+    """`piece` if some contest has more places than that, else none: contests are windows of their own then."""
+    return piece if (entries.agg(F.max("finish")).first()[0] or 0) > piece else None
+
+
 def utility(xs: list[str], w) -> Column:
     return sum((F.lit(float(k)) * F.col(x) for x, k in zip(xs, w)), F.lit(0.0))
 
@@ -46,9 +81,9 @@ def pl_fit(rows: DataFrame, xs: list[str], ridge: float = 0.5, tol: float = 1e-8
     the driver solves a system of len(xs)."""
     rows, w, before = rows.select("race_id", "finish", *xs).persist(), np.zeros(len(xs)), np.inf
     try:
-        step = np.zeros(len(xs))
+        step, piece = np.zeros(len(xs)), field_piece(rows)
         for _ in range(most):
-            r = pl_terms(rows, xs, utility(xs, w), [], True).first()
+            r = pl_terms(rows, xs, utility(xs, w), [], True, piece).first()
             if r["nll"] is None:
                 break
             value = r["nll"] + ridge * w @ w

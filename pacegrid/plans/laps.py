@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.segments import largest
 from ..functions.stats import pearson
 from ..operators import history as H
 from ..operators import laps as L
@@ -397,18 +398,30 @@ def l35a(v):
     return t.select("venue", "era_key", *[(F.col(f"`{k}`").cast("long") if n == "n" else F.round(F.col(f"`{k}`"), 6)).alias(n) for k, n in names.items()])
 
 
+_PAIRS = {
+    "ss": ("z_start", "z_start"), "sf": ("z_start", "fin_h"), "sp": ("z_start", "pace_h"), "ff": ("fin_h", "fin_h"), "fp": ("fin_h", "pace_h"), "pp": ("pace_h", "pace_h"),
+    "sy": ("z_start", "z_finish"), "fy": ("fin_h", "z_finish"), "py": ("pace_h", "z_finish"),
+}
+_COV = {"cov": ("qis", "select venue, era_key, count(*) as n, " + ", ".join(f"covar_pop({a}, {b}) as {m}" for m, (a, b) in _PAIRS.items()) + " from qis group by 1, 2"), **QIS}
 #: The coefficient by Cramer's rule on centred cross-products.
-_COV = {"cov": ("qis", "select venue, era_key, count(*) as n, " + ", ".join(f"covar_pop({a}, {b}) as {m}" for m, a, b in (
-    ("ss", "z_start", "z_start"), ("sf", "z_start", "fin_h"), ("sp", "z_start", "pace_h"), ("ff", "fin_h", "fin_h"), ("fp", "fin_h", "pace_h"), ("pp", "pace_h", "pace_h"),
-    ("sy", "z_start", "z_finish"), ("fy", "fin_h", "z_finish"), ("py", "pace_h", "z_finish"))) + " from qis group by 1, 2"), **QIS}
+_BETA = """case when n >= 5 then round((sy * (ff * pp - fp * fp) - sf * (fy * pp - fp * py) + sp * (fy * fp - ff * py))
+ / (ss * (ff * pp - fp * fp) - sf * (sf * pp - fp * sp) + sp * (sf * fp - ff * sp)), 6) end"""
 
 
-@query("l35_ols_start_effect", "cov", """select venue, era_key, n, case when n >= 5 then round((sy * (ff * pp - fp * fp) - sf * (fy * pp - fp * py) + sp * (fy * fp - ff * py))
- / (ss * (ff * pp - fp * fp) - sf * (sf * pp - fp * sp) + sp * (sf * fp - ff * sp)), 6) end as beta from cov""", _COV)
+@query("l35_ols_start_effect", "cov", f"select venue, era_key, n, {_BETA} as beta from cov", _COV)
 def l35(v):
     return r6(L.ols_start_effect(qis_rows(v), ["venue", "era_key"]), "beta")
 
 
+_PRIOR = {"prior": ("qis", "select venue, era_key, race_seq, " + ", ".join(f"any_value({m}) as {m}" for m in ("n", *_PAIRS)) + " from (select venue, era_key, race_seq, count(*) over w as n, "
+ + ", ".join(f"covar_pop({a}, {b}) over w as {m}" for m, (a, b) in _PAIRS.items()) + " from qis window w as (partition by venue, era_key order by race_seq range between unbounded preceding and 1 preceding)) group by 1, 2, 3"), **QIS}
+
+
+@query("l35_ols_prior_effect", "prior", f"select venue, era_key, race_seq, n, {_BETA} as beta from prior", _PRIOR)
+def l35b(v):
+    return r6(L.ols_prior_effect(qis_rows(v), ["venue", "era_key"]), "beta")
+
+
 CONTEND = {"cont": ("runs", """select race_id, driver_id from (select r.*, row_number() over (partition by race_id order by points desc, driver_id) as k, count(*) over (partition by race_id) as field from (
  select *, sum(greatest(0, 40 - finish)) over (partition by year, driver_id order by race_seq rows between unbounded preceding and current row) as points from runs) r
  where race_id in (select max(race_id) from runs group by year)) where k <= 4 and field >= 4""")}
@@ -435,7 +448,7 @@ CLOCK = {"clk": ("laps", "select *, case when count(*) over w = lap and min(lap_
 
 @query("z04_gap_ahead", "clk", "select race_id, driver_id, lap, round(clock, 7) as clock, round(clock - lag(clock) over w, 7) as gap, clock - lag(clock) over w < 3 as dirty from clk where clock is not null window w as (partition by race_id order by clock, driver_id, lap)", CLOCK)
 def z04(v):
-    t = L.gap_ahead(L.elapsed_clock(v.laps))
+    t = L.gap_ahead(L.elapsed_clock(v.laps), most=largest(v.laps, ["race_id"]))
     return t.select("race_id", "driver_id", "lap", F.round("clock", 7).alias("clock"), F.round("gap", 7).alias("gap"), "dirty")
 
 

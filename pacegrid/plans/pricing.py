@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.inversions import PIECE
+from ..functions.segments import largest
 from ..operators import pricing as P
 from ..operators import scoring as D
 from .history import PAIRS, win_shares
@@ -28,7 +30,8 @@ def field(v):
 
 @query("p01_win_prob", "win", "select race_id, driver_id, round(p_win, 6) as p_win from win", WIN)
 def p01(v):
-    return r6(P.win_prob(field(v)).select("race_id", "driver_id", "p_win"), "p_win")
+    pieces = -(-largest(v.entries, ["race_id"]) // PIECE)
+    return r6(P.win_prob(field(v), pieces).select("race_id", "driver_id", "p_win"), "p_win")
 
 
 @query("p02_h2h_prob", "field", "select a.race_id, a.driver_id, round(avg(1 / (1 + exp(b.u - a.u))), 6) as mean_p, count(*) as n from field a join field b on a.race_id = b.race_id and a.driver_id <> b.driver_id group by 1, 2", FIELD)

@@ -34,7 +34,7 @@ ROWS = {"mrows": ("elig", "select *, 0.3::double * x_pace + 0.2::double * x_fin
  select *, sum(e) over (partition by race_id order by finish desc rows between unbounded preceding and current row) as s from (
  select *, exp(u - m) as e from (select *, max(u) over (partition by race_id) as m from mrows))))""", ROWS)
 def m01(v):
-    t = M.pl_terms(model_rows(v), ["x_fin", "x_start"], F.col("u"), [])
+    t = M.pl_terms(model_rows(v), ["x_fin", "x_start"], F.col("u"), [], piece=M.field_piece(v.entries))
     ridge = 0.5 * sum(w * w for w in WEIGHTS.values())
     return t.select(F.round(F.col("nll") + ridge, 4).alias("nll"), F.round(F.col("g_x_fin") + 2 * 0.5 * 0.2, 4).alias("g_fin"), F.round(F.col("g_x_start") + 2 * 0.5 * 0.25, 4).alias("g_start"))
 
@@ -71,16 +71,30 @@ def m03_flat(v):
     return t.select("spec", "cut", (F.col("gradient") < 1e-3).alias("flat"))
 
 
-@query("m04_pl_score_field")
-def m04(v):
-    xs = ["x_fin", "x_start"]
-    rows = model_rows(v)
-    w = M.pl_fit(rows, xs)
+def next_field(v, w):
+    """The last contest's entrants with enough history, by their form and start as of now, under the weights of x_fin and x_start."""
     form = H.current_form(v.runs, ["driver_id"], name="fin_h")
     last = v.contests.agg(F.max("race_id").alias("race_id"))
     field = v.entries.join(F.broadcast(last), "race_id").select("race_id", "driver_id", "start").join(form, "driver_id", "left").filter("n >= 5")
     z = field.withColumns({"x_fin": -H.z_within(F.col("fin_h"), ["race_id"], True), "x_start": -H.z_within(F.col("start").cast("double"), ["race_id"], True)})
-    return M.predicted_rank(z.withColumn("u", M.utility(xs, w))).select("race_id", "driver_id", F.round("u", 4).alias("u"), "predicted")
+    return M.predicted_rank(z.withColumn("u", M.utility(["x_fin", "x_start"], w))).select("race_id", "driver_id", F.round("u", 4).alias("u"), "predicted")
+
+
+@query("m04_pl_score_field")
+def m04(v):
+    return next_field(v, M.pl_fit(model_rows(v), ["x_fin", "x_start"]))
+
+
+NEXT = {
+    "now": ("runs", "select driver_id, sum(finish * pow(2, -(nth - 1) / 8.0::double)) / sum(pow(2, -(nth - 1) / 8.0::double)) as fin_h, count(*) as n from (select *, row_number() over (partition by driver_id order by race_seq desc) as nth from runs) group by 1"),
+    "nextfield": ("entries contests now", "select race_id, driver_id, " + ", ".join(_Z.format(c=c, n=n) for c, n in (("fin_h", "fin"), ("start", "start"))) + " from entries join now using (driver_id) where n >= 5 and race_id = (select max(race_id) from contests) window w as (partition by race_id)"),
+}
+
+
+@query("m04_score_given_weights", "nextfield", "select race_id, driver_id, round(u, 4) as u, row_number() over (partition by race_id order by u desc, driver_id) as predicted from (select *, 0.2::double * x_fin + 0.25::double * x_start as u from nextfield)", NEXT)
+def m04_given(v):
+    """The same scores under fixed weights, which SQL can follow."""
+    return next_field(v, [WEIGHTS["x_fin"], WEIGHTS["x_start"]])
 
 
 RESID = {"resid": ("mrows contests", "select m.*, c.year, c.venue, c.family, finish - row_number() over (partition by race_id order by u desc, driver_id) as residual from mrows m join contests c using (race_id)"), **ROWS}
