@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +58,23 @@ def trained(rows: DataFrame, train: Callable[[pd.DataFrame], object]) -> object
     return pickle.loads(found["model"]) if found else None
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, over a task's batches, and then the memory that the worker no longer uses goes back to the system: workers outlive their tasks,
+    and what a library's allocator keeps adds up with that of the workers beside it. The rows are those of `run`."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the system's library has it
+                give_back(0)
+
+    return whole
+
+
 class Codes(dict):
     """Words to small integers; a word that isn't there yet gets the next one, and waits in `fresh` for its values.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, materialize
+from .common import Codes, materialize, trimmed
 from .components import connected_components
 from .simhash import Union, trie_pairs
 
@@ -176,7 +176,7 @@ def _dealt(nodes: DataFrame, layout: Layout) -> DataFrame:
             yield pd.DataFrame({"g": g.ravel(), **row, "code": code.ravel(), **{f"c{i}": np.repeat(prints[:, i].view(np.int64), each) for i in range(_CHECK)}})
 
     checks = ", ".join(f"c{i} long" for i in range(_CHECK))
-    return nodes.select("node", "size", "component", "print").mapInPandas(run, f"g long, node long, size int, component long, code long, {checks}")
+    return nodes.select("node", "size", "component", "print").mapInPandas(trimmed(run), f"g long, node long, size int, component long, code long, {checks}")
 
 
 def _pivots(dealt: DataFrame, similarity: float, limit: int, pivots: int, turn: int) -> DataFrame:
@@ -245,7 +245,7 @@ def _across(dealt: DataFrame, half: int, similarity: float, limit: int, tile: in
                 found = thinned(np.concatenate([found, *waiting]))[:, :2]
                 yield pd.DataFrame({"a": found.max(1, initial=np.iinfo(np.int64).min), "b": found.min(1, initial=np.iinfo(np.int64).max)})
 
-    return sets.mapInPandas(join, "a long, b long").distinct()
+    return sets.mapInPandas(trimmed(join), "a long, b long").distinct()
 
 
 def _meets(own: Column) -> Column:
@@ -275,21 +275,31 @@ def _portions(b: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
         yield b.iloc[lo:]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of `similarity` or more, counted exactly."""
-    pairs = materialize(pairs, "candidates")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(texts: DataFrame, wanted: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, hashes: the shingle set of each node of `wanted` (doc_id, node), once. A set is as large as its text, so sets are not shuffled to
+    tell repeats: only nodes whose row stands several times in the table, which `nodes` says, are made unique after reading."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for b in _slices(batches):
             sets = [shingler(t) for t in b["text"]]
             own = [k for k, (s, n) in enumerate(zip(sets, b["node"])) if set_id(s) == n]
-            yield pd.DataFrame({"node": b["node"].iloc[own], "hashes": [sets[k].tobytes() for k in own]})
+            yield pd.DataFrame({"node": b["node"].iloc[own], "hashes": [sets[k].tobytes() for k in own]}).drop_duplicates("node")
+
+    found = materialize(texts.join(wanted.distinct(), "doc_id").mapInPandas(trimmed(read), "node long, hashes binary"), "sets")
+    again = nodes.filter("times > 1").select("node")
+    if again.isEmpty():
+        return found
+    return found.join(again, "node", "left_anti").unionByName(found.join(again, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of `similarity` or more, counted exactly."""
+    pairs = materialize(pairs, "candidates")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     wanted = nodes.join(needed, "node", "left_semi").select("node", F.col("least").alias("doc_id"))
-    sets = texts.join(wanted, "doc_id").mapInPandas(read, "node long, hashes binary").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    sets = _sets(texts, wanted, nodes, words)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +311,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
                 keep[k] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(trimmed(compare), "a long, b long")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -321,7 +331,7 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return both >= similarity * either - 1e-9
 
 
-def _compared(edges: DataFrame, named: DataFrame, texts: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
+def _compared(edges: DataFrame, named: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
     """Links (a, b) between nodes of different components that the candidate graph joins, by comparing all of them exactly.
 
     The most frequent component of a part of that graph is at home there, and only others are compared with it and with each other: a
@@ -333,14 +343,7 @@ def _compared(edges: DataFrame, named: DataFrame, texts: DataFrame, words: int,
     tiles = home.select("part", F.col("m.component").alias("home"), F.ceil(F.col("m.n") / tile).alias("t"), F.ceil((F.col("all") - F.col("m.n")) / tile).alias("r")).filter("r > 0")
     placed = materialize(rows.join(tiles, "part").select("part", "node", "component", F.col("least").alias("doc_id"), "home", "t", "r"), "placed")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
-        for b in _slices(batches):
-            sets = [shingler(t) for t in b["text"]]
-            own = [k for k, (s, n) in enumerate(zip(sets, b["node"])) if set_id(s) == n]
-            yield pd.DataFrame({"node": b["node"].iloc[own], "hashes": [sets[k].tobytes() for k in own]})
-
-    sets = materialize(texts.join(placed.select("doc_id", "node"), "doc_id").mapInPandas(read, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    sets = _sets(texts, placed.select("doc_id", "node"), nodes, words)
     dealt = placed.withColumn("m", F.explode(_meets(F.col("component") == F.col("home")))).select(F.xxhash64("part", "m.x", "m.y").alias("key"), "m.kind", "m.side", "node", "component")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -378,15 +381,18 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             sets = [shingler(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "node": [set_id(s) for s in sets], "size": [len(s) for s in sets], "print": [wide_fingerprint(s, layout.longs).tobytes() for s in sets]})
 
-    signs = materialize(texts.mapInPandas(sign, "doc_id long, node long, size int, print binary"), "signs")
-    nodes = materialize(signs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print")), "nodes")
+    signs = materialize(texts.mapInPandas(trimmed(sign), "doc_id long, node long, size int, print binary"), "signs")
+    # rows of a node's smallest doc_id: a row counts as repeated where several of one doc_id have one set
+    often = signs.groupBy("node", "doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("node", F.col("doc_id").alias("least"), "times")
+    nodes = signs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print"))
+    nodes = materialize(nodes.join(often, ["node", "least"], "left").withColumn("times", F.coalesce("times", F.lit(1).cast("long"))), "nodes")
     named = nodes.withColumn("component", F.col("node"))
     few = Layout(layout.width, min(6, layout.blocks), layout.limit)  # enough to join most of a large group; the rest is found across
     for turn in range(turns):
         near = _pivots(_dealt(named.filter("size > 0"), few), similarity, layout.limit, pivots, turn)
         named = _merged(named, materialize(_verified(near, texts, nodes, words, similarity), "links"))
     edges = _across(_dealt(named.filter("size > 0"), layout), layout.width // 2, similarity, layout.limit, tile)
-    named = _merged(named, materialize(_compared(edges, named, texts, words, similarity, min(tile, 256)), "links"))
+    named = _merged(named, materialize(_compared(edges, named, texts, nodes, words, similarity, min(tile, 256)), "links"))
     roots = materialize(named.select("node", "least", F.col("component").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("stays"))
     return signs.select("doc_id", "node").join(roots.join(least, "root").select("node", "stays"), "node").select("doc_id", "stays")

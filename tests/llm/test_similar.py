@@ -120,3 +120,14 @@ def test_contracted_links_join_the_same(spark):
         got = [tuple(r) for r in similar._contracted(df, rows).collect()]
         assert parts(got) == parts([p for p in pairs if p[0] != p[1]])
     assert len(got) < 60 and similar._contracted(df.filter("false")).count() == 0
+
+
+def test_rows_repeated_many_times_and_one_id_with_several_texts(spark):
+    """A row that stands 40 times, its near copy twice, and an id whose two rows have different texts, one near the first."""
+    words = [f"w{x}" for x in range(120)]
+    near = " ".join([*words[:-1], "zz"])
+    rows = [(5, " ".join(words))] * 40 + [(9, near)] * 2 + [(7, "another text of quite different words here"), (7, near + " yy"), (11, "alone among the others it stays as it is")]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [5] * 40 + [11]
+    signs = spark.createDataFrame([(5, t) for t in (" ".join(words), near)], "doc_id long, text string")
+    assert similar.keep_one(signs).count() == 2  # all rows of one id stay
