@@ -186,3 +186,11 @@ def test_looks_are_states_of_prefixes(spark):
     for k in (1, 5, 12):
         one = D.roi_state(picks.filter(F.col("race_id") < k).withColumn("side", F.lit("s")), ["side"], 50).first()
         assert all(looks[k][c] == pytest.approx(one[c]) if one[c] is not None else looks[k][c] is None for c in ("N", "K", "total", "roi", "p_boot", "bound", "t"))
+
+
+def test_a_contest_and_a_block_exchange_one_row(spark):
+    fitter = B.Fitter(spark.createDataFrame(races(), SCHEMA), FACTORS)
+    try:
+        assert fitter.base.count() == 24  # before: a row an entrant and role
+    finally:
+        fitter.close()
